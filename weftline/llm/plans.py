@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import mixing, packing, reading, tokens
+from weftline.llm import mixing, packing, reading, similar, tokens
 from weftline.plans.registry import Registry, table
 from weftline.session import Staging
 
@@ -68,3 +68,12 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached share of every source of every mix."""
     m = _mixer(spark, sf_dir)
     return m.report(m.copies())
+
+
+@llm.query()
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of package files that share at least 0.6 of their symbols, or of their dependencies."""
+    files = table(spark, sf_dir, "semantic_package_file")
+    sets = similar.sets_of(files, "file_id", ["symbols", "dependencies"], "imported_at")
+    pairs = similar.SimilarSets(sets).record_pairs()
+    return pairs.select(F.col("field").alias("field_name"), F.col("record_a").cast("bigint").alias("file_id_a"), F.col("record_b").cast("bigint").alias("file_id_b"))
