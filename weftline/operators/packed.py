@@ -139,19 +139,19 @@ def parses(text: str, atomic: bool = False) -> list[tuple[float, list[str]]]:
     return [(c, list(k)) for k, c in sorted(best.items(), key=lambda x: (x[1], x[0]))]
 
 
-PARSED = "text_id bigint, text string, parse_no int, n_parses int, base_bits double, items array<string>"
+PARSED = "text string, n bigint, parse_no int, n_parses int, base_bits double, items array<string>"
 
 
 def _parser(atomic: bool):  # noqa: ANN202
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for tid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found = parses(text, atomic)
-                rows += [(tid, text, k, len(found), bits, items) for k, (bits, items) in enumerate(found)]
+                rows += [(text, n, k, len(found), bits, items) for k, (bits, items) in enumerate(found)]
             cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["text_id", "text", "parse_no", "n_parses", "base_bits", "items"])
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["text", "n", "parse_no", "n_parses", "base_bits", "items"])
 
     return run
 
@@ -159,16 +159,14 @@ def _parser(atomic: bool):  # noqa: ANN202
 def choose_parses(texts: DataFrame, atomic: bool = False) -> DataFrame:
     """``texts`` has one string column ``text`` (nulls allowed). Result: text, items: its cheapest parse."""
     counted = texts.filter(F.col("text").isNotNull() & F.col("text").rlike(r"\S")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
-    st = Staging(texts.sparkSession, "packed")
-    parsed = st.put(counted.select(F.xxhash64("text").alias("text_id"), "text", "n").select("text_id", "text").mapInArrow(_parser(atomic), PARSED))
-    weights = counted.select("text", "n")
+    parsed = Staging(texts.sparkSession, "packed").put(counted.mapInArrow(_parser(atomic), PARSED))
     # Code lengths from counts over the whole table; a text's weight is shared by its parses.
-    part = parsed.join(weights, "text").select("n_parses", "n", F.explode("items").alias("item"))
+    part = parsed.select("n_parses", "n", F.explode("items").alias("item"))
     code = part.groupBy("item").agg(F.sum(F.col("n") / F.col("n_parses")).alias("c"))
     total = code.agg(F.sum("c").alias("total"))
     bits = -F.log2(F.col("c") / F.col("total")) + F.lit(SPELL_BITS) * F.length("item") / F.greatest(F.col("c"), F.lit(1.0))
     code = code.crossJoin(F.broadcast(total)).select("item", bits.alias("bits"))  # one row of totals
-    open_ = parsed.filter(F.col("n_parses") > 1).select("text_id", "text", "parse_no", "base_bits", "items", F.explode_outer("items").alias("item"))
+    open_ = parsed.filter(F.col("n_parses") > 1).select("text", "parse_no", "base_bits", "items", F.explode_outer("items").alias("item"))
     scored = open_.join(code, "item", "left").groupBy("text", "parse_no").agg((F.first("base_bits") + F.coalesce(F.sum("bits"), F.lit(0.0))).alias("cost"), F.first("items").alias("items"))
     won = scored.groupBy("text").agg(F.min_by("items", F.struct(F.round("cost", 6), "parse_no")).alias("items"))
     return parsed.filter(F.col("n_parses") == 1).select("text", "items").unionByName(won)
@@ -181,6 +179,7 @@ def split_packed(df: DataFrame, row_id: str, field: str, atomic: bool = False) -
     are both read; equal (row, pos, item) collapse.
     """
     rows = df.filter(F.col(row_id).isNotNull() & F.col(field).isNotNull()).select(F.col(row_id).alias("row_id"), F.col(field).alias("text")).distinct()
+    rows = Staging(df.sparkSession, "rows").put(rows)
     chosen = choose_parses(rows.select("text"), atomic)
     x = rows.join(chosen, "text").select("row_id", F.posexplode("items").alias("p", "item"))
     return x.select("row_id", (F.col("p") + 1).cast("int").alias("pos"), "item").distinct()
