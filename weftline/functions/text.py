@@ -46,7 +46,7 @@ def strip_comments(c: Column) -> Column:
 
 def split_multi(c: Column) -> Column:
     """Pieces between ``;``, ``,`` or ``|``, trimmed, empty ones dropped; an empty list for null."""
-    parts = F.filter(F.transform(F.split(c, r"[;,|]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, r"[;,|]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     return F.coalesce(parts, F.array().cast("array<string>"))
 
 

@@ -1,14 +1,14 @@
 """References to records that do not exist, by compressed bitmaps.
 
-1. References and parents are reduced to (key, period) and (key, born period, ended period)
-   before anything is shuffled, so a key that holds a third of all rows becomes a few rows.
+1. References are reduced to (key, period) and parents to distinct lifetimes before anything is
+   shuffled, so a key that holds a third of all rows becomes a few rows.
 2. Both are laid out by key range (a hash of the key). Within a range the keys are
    dictionary-encoded as integers, and one compressed bitmap per period is built of the keys
    referenced, of those alive during all of the period and of those alive at some time in it.
 3. referenced AND-NOT alive-at-some-time leaves certain orphans; referenced AND alive-at-some-time
    AND-NOT alive-throughout leaves the keys whose references must be compared with the exact times.
-4. The surviving bits are decoded to (key, period) and joined to the reference rows; only rows of
-   the second kind are compared with the lifetimes themselves.
+4. The surviving bits are decoded to (key, period) and joined to the reference rows; survivors of
+   the second kind bring the lifetimes that cover a part of the period, and the exact times decide.
 
 Defined results
 * a null key is no reference; a reference whose time is null is an orphan only if its key names
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from weftline.session import Staging, parts_for
 
-SURVIVORS = "range_id bigint, key string, period int, verdict int"
+SURVIVORS = "key string, period int, starts array<bigint>, ends array<bigint>"
 FAR = 2**31 - 2
 NO_TIME = -(2**31) + 2
-ORPHAN, COMPARE = 1, 2
+EVER, NEVER = -(2**62), 2**62  # microseconds before and after all times
 SPARSE = 4096  # a container with fewer members is a sorted list of 16-bit places, as in Roaring bitmaps
 
 
@@ -94,30 +94,37 @@ class Bitmap:
 
 
 def _range_survivors(t: pa.Table) -> pa.Table:
-    """One key range: rows (range_id, key, kind, a, b); kind 0 is a reference of period a, 1 a life of periods a to b."""
+    """One key range: rows (range_id, key, kind, a, b, start, end); kind 0 is a reference of period a, 1 a life
+    of periods a to b. Certain orphans come without lifetimes, doubtful keys with those that cover a part of the period."""
     coded = t.column("key").combine_chunks().dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    kind, a, b = (t.column(c).to_numpy() for c in ("kind", "a", "b"))
-    ref, life = kind == 0, kind == 1
-    ever = Bitmap.of(code[life])
-    lc, born, ended = code[life], a[life], b[life]
-    found: list[tuple[np.ndarray, int, int]] = []
+    kind, a, b, start, end = (t.column(c).to_numpy() for c in ("kind", "a", "b", "start", "end"))
+    ref, life = kind == 0, np.flatnonzero(kind == 1)
+    life = life[np.argsort(code[life], kind="stable")]
+    lc, born, ended, start, end = code[life], a[life], b[life], start[life], end[life]
+    ever = Bitmap.of(lc)
+    places, periods, spans, counts = [], [], [], []
     for p in np.unique(a[ref]):
         refs = Bitmap.of(code[ref & (a == p)])
-        if p == NO_TIME:
-            found.append((refs.and_not(ever).places(), int(p), ORPHAN))
-            continue
-        some = Bitmap.of(lc[(born <= p) & (ended >= p)])
-        whole = Bitmap.of(lc[(born < p) & (ended > p)])
-        found.append((refs.and_not(some).places(), int(p), ORPHAN))
-        found.append((refs.and_(some).and_not(whole).places(), int(p), COMPARE))
-    places = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
-    period = np.concatenate([np.full(len(f[0]), f[1], np.int32) for f in found]) if found else np.empty(0, np.int32)
-    verdict = np.concatenate([np.full(len(f[0]), f[2], np.int32) for f in found]) if found else np.empty(0, np.int32)
-    rid = t.column("range_id")[0].as_py() if t.num_rows else 0
-    return pa.table({"range_id": pa.array(np.full(len(places), rid, np.int64)), "key": coded.dictionary.take(pa.array(places)).cast(pa.string()), "period": period, "verdict": verdict})
+        touch = (born <= p) & (ended >= p)
+        some = ever if p == NO_TIME else Bitmap.of(lc[touch])
+        gone = refs.and_not(some).places()
+        doubt = np.empty(0, np.int64)
+        if p != NO_TIME:
+            doubt = refs.and_(some).and_not(Bitmap.of(lc[(born < p) & (ended > p)])).places()
+        part = np.flatnonzero(touch)
+        lo, hi = np.searchsorted(lc[part], doubt), np.searchsorted(lc[part], doubt, side="right")
+        places += [gone, doubt]
+        periods.append(np.full(len(gone) + len(doubt), p, np.int32))
+        counts += [np.zeros(len(gone), np.int64), hi - lo]
+        spans.append(part[np.concatenate([np.arange(i, j) for i, j in zip(lo, hi)])] if len(doubt) else np.empty(0, np.int64))
+    join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+    n, at = join(counts, np.int64), join(spans, np.int64)
+    offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v[at])) for v in (start, end)]
+    return pa.table({"key": coded.dictionary.take(pa.array(join(places, np.int64))).cast(pa.string()), "period": join(periods, np.int32), "starts": lists[0], "ends": lists[1]})
 
 
 def _month(c: Column) -> Column:
@@ -141,33 +148,27 @@ def find_orphans(
     r = refs.filter(have).select(
         *[F.col(c) for c in dict.fromkeys([*carry, *keys])], text.alias("__key"), F.col(ref_at).alias("__t"), F.coalesce(_month(F.col(ref_at)), F.lit(NO_TIME)).alias("__p")
     )
-    end = F.col(ended) if ended else F.lit(None).cast("timestamp")
-    lives = (
-        parents.filter(have).select(text.alias("__key"), F.col(born).alias("__from"), end.alias("__to")).filter(F.col("__to").isNull() | F.col("__from").isNull() | (F.col("__to") > F.col("__from")))
-    )
-    # Small facts per key: periods only. A month in which a life begins or ends is not wholly covered.
-    lo, hi = F.coalesce(_month(F.col("__from")), F.lit(NO_TIME)), F.coalesce(_month(F.col("__to")), F.lit(FAR))
-    facts = Staging(spark, "orphans").put(
-        r.select("__key", F.lit(0).alias("kind"), F.col("__p").alias("a"), F.lit(0).alias("b")).unionByName(lives.select("__key", F.lit(1).alias("kind"), lo.alias("a"), hi.alias("b"))).distinct()
-    )
+    start = F.coalesce(F.unix_micros(F.col(born).cast("timestamp")), F.lit(EVER))
+    if ended:
+        lives = parents.filter(have).select(text.alias("key"), start.alias("start"), F.coalesce(F.unix_micros(F.col(ended).cast("timestamp")), F.lit(NEVER)).alias("end")).filter("end > start").distinct()
+    else:  # without an end only the first beginning counts
+        lives = parents.filter(have).groupBy(text.alias("key")).agg(F.min(start).alias("start")).withColumn("end", F.lit(NEVER))
+    # A month in which a life begins or ends is not wholly covered.
+    lo = F.when(F.col("start") == EVER, NO_TIME).otherwise(_month(F.timestamp_micros("start")))
+    hi = F.when(F.col("end") == NEVER, FAR).otherwise(_month(F.timestamp_micros("end")))
+    zero = F.lit(0).cast("bigint")
+    facts = r.select(F.col("__key").alias("key"), F.lit(0).alias("kind"), F.col("__p").alias("a"), F.lit(0).alias("b"), zero.alias("start"), zero.alias("end")).distinct()
+    st = Staging(spark, "orphans")
+    facts = st.put(facts.unionByName(lives.select("key", F.lit(1).alias("kind"), lo.alias("a"), hi.alias("b"), "start", "end")))
     ranges = parts_for(facts.count(), keys_per_range)
-    ranged = facts.select(F.pmod(F.xxhash64("__key"), F.lit(ranges)).alias("range_id"), F.col("__key").alias("key"), "kind", "a", "b")
-    survivors = ranged.groupBy("range_id").applyInArrow(_range_survivors, SURVIVORS).select(F.col("key").alias("__key"), F.col("period").alias("__p"), "verdict")
-    hit = r.join(survivors, ["__key", "__p"])
-    sure = hit.filter(F.col("verdict") == ORPHAN)
-    doubtful = hit.filter(F.col("verdict") == COMPARE)
-    # Exact times: no lifetime of the key covers the reference. Nothing is gathered per key.
-    spans = (lives if ended else lives.groupBy("__key").agg(F.min(F.coalesce("__from", F.lit("0001-01-01").cast("timestamp"))).alias("__from"), F.lit(None).cast("timestamp").alias("__to"))).alias("s")
-    d = doubtful.alias("d")
-    covers = (
-        (F.col("d.__key") == F.col("s.__key"))
-        & (F.col("s.__from").isNull() | (F.col("s.__from") <= F.col("d.__t")))
-        & (F.col("s.__to").isNull() | (F.col("d.__t") < F.col("s.__to")))
-    )
-    late = d.join(spans, covers, "left_anti")
+    ranged = facts.select(F.pmod(F.xxhash64("key"), F.lit(ranges)).alias("range_id"), "*")
+    survivors = st.put(ranged.groupBy("range_id").applyInArrow(_range_survivors, SURVIVORS).select(F.col("key").alias("__key"), F.col("period").alias("__p"), "starts", "ends"))
+    at = F.unix_micros(F.col("__t").cast("timestamp"))
+    alive = F.exists(F.arrays_zip("starts", "ends"), lambda s: (s["starts"] <= at) & (at < s["ends"]))
+    found = r.join(survivors, ["__key", "__p"]).filter((F.size("starts") == 0) | ~alive)
     out = list(dict.fromkeys([*carry, *keys]))
     period = F.when(F.col("__p") != NO_TIME, F.col("__p")).alias("period")
-    return sure.unionByName(late).select(*out, period).distinct()
+    return found.select(*out, period).distinct()
 
 
 def period_text(months: Column) -> Column:

@@ -172,14 +172,15 @@ def choose_parses(texts: DataFrame, atomic: bool = False) -> DataFrame:
     return parsed.filter(F.col("n_parses") == 1).select("text", "items").unionByName(won)
 
 
-def split_packed(df: DataFrame, row_id: str, field: str, atomic: bool = False) -> DataFrame:
-    """One value per row: (row_id, pos, item), each once however often the row was delivered.
+def split_packed(df: DataFrame, row_id: str, field: str, at: str, atomic: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One value per row: (row_id, carried columns, pos, item), each once however often the row was delivered.
 
-    ``atomic`` says that values hold no white space. Deliveries of one row with different texts
-    are both read; equal (row, pos, item) collapse.
+    Of a row delivered more than once the latest by ``at`` counts, ties by the greater text.
+    ``atomic`` says that values hold no white space.
     """
-    rows = df.filter(F.col(row_id).isNotNull() & F.col(field).isNotNull()).select(F.col(row_id).alias("row_id"), F.col(field).alias("text")).distinct()
-    rows = Staging(df.sparkSession, "rows").put(rows)
+    best = F.max(F.struct(F.col(at), F.col(field).alias("text"), *[F.col(c) for c in carry if c != at])).alias("b")
+    one = df.filter(F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("row_id")).agg(best)
+    rows = Staging(df.sparkSession, "rows").put(one.select("row_id", "b.text", *[F.col("b")[c].alias(c) for c in carry]).filter(F.col("text").isNotNull()))
     chosen = choose_parses(rows.select("text"), atomic)
-    x = rows.join(chosen, "text").select("row_id", F.posexplode("items").alias("p", "item"))
-    return x.select("row_id", (F.col("p") + 1).cast("int").alias("pos"), "item").distinct()
+    x = rows.join(chosen, "text").select("row_id", *carry, F.posexplode("items").alias("p", "item"))
+    return x.select("row_id", *carry, (F.col("p") + 1).cast("int").alias("pos"), "item")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import hierarchy, nested, orphans, packed
 from weftline.plans.registry import Registry, table
-from weftline.session import whole_number
+from weftline.session import Staging, whole_number
 
 records = Registry()
 
@@ -56,8 +56,8 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     contracts = table(spark, sf_dir, "semantic_contract")
     by_contract = orphans.find_orphans(refs, contracts, keys=["contract_id"], ref_at="referenced_at", carry=["ref_id"], born="created_at", ended="deleted_at")
     m = table(spark, sf_dir, "frontend_compiler_m_lang")
-    named = packed.split_packed(m, "row_id", "evidence_ids", atomic=True).select("row_id", F.upper(F.trim("item")).alias("evidence_id")).distinct()
-    seen = m.select("row_id", "observed_at").distinct().join(named, "row_id")
+    named = packed.split_packed(m, "row_id", "evidence_ids", "observed_at", atomic=True, carry=("observed_at",))
+    seen = Staging(spark, "named").put(named.select("row_id", "observed_at", F.upper(F.trim("item")).alias("evidence_id")))
     evidence = table(spark, sf_dir, "frontend_compiler_evidence").select(F.upper(F.trim("evidence_id")).alias("evidence_id"), "published_at", "retired_at")
     by_evidence = orphans.find_orphans(seen, evidence, keys=["evidence_id"], ref_at="observed_at", carry=["row_id"], born="published_at", ended="retired_at")
 
@@ -77,23 +77,27 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @records.query()
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References to nodes, contracts and evidence that did not exist when named."""
-    return _orphans(spark, sf_dir).distinct()
+    return _orphans(spark, sf_dir)
 
 
 @records.query()
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphans per table, field and month."""
-    return orphans.orphan_report(_orphans(spark, sf_dir).distinct(), "src_table", "field_name", "ref_period")
+    return orphans.orphan_report(_orphans(spark, sf_dir), "src_table", "field_name", "ref_period")
 
 
 @records.query()
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value of the packed fields with its place."""
     m, e = table(spark, sf_dir, "frontend_compiler_m_lang"), table(spark, sf_dir, "frontend_compiler_evidence")
-    fields = [(m, "frontend_compiler_m_lang", "evidence_ids", True), (e, "frontend_compiler_evidence", "semantic_features", False), (e, "frontend_compiler_evidence", "suggested_matrices", False)]
+    fields = [
+        (m, "frontend_compiler_m_lang", "evidence_ids", "observed_at", True),
+        (e, "frontend_compiler_evidence", "semantic_features", "published_at", False),
+        (e, "frontend_compiler_evidence", "suggested_matrices", "published_at", False),
+    ]
     found = [
-        packed.split_packed(df, "row_id", field, atomic).select(F.lit(src).alias("src_table"), "row_id", F.lit(field).alias("field_name"), "pos", "item")
-        for df, src, field, atomic in fields
+        packed.split_packed(df, "row_id", field, at, atomic).select(F.lit(src).alias("src_table"), "row_id", F.lit(field).alias("field_name"), "pos", "item")
+        for df, src, field, at, atomic in fields
     ]
     return reduce(DataFrame.unionByName, found)
 
