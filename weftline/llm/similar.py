@@ -1,8 +1,8 @@
 """All similar pairs between set-valued records, by multi-index binary sketches.
 
 1. Each record's set is its distinct, trimmed, non-blank values. Equal sets form one class.
-2. Values that only one class holds cannot be shared. A class keeps its shared values (its core) and
-   the number of others. A core that cannot reach the threshold with any partner is set aside;
+2. Values that occur once cannot be shared. A class keeps its other values (its core) and the number
+   of those. A core that cannot reach the threshold with any partner is set aside;
    this test is exact. Classes with the same core are sketched once, whoever holds them.
 3. One-bit minhashes: for each of m * b hash functions, one bit of the least hash over the core.
    Bits of two sets agree with probability (1 + J) / 2. They are packed into a code of m segments.
@@ -16,7 +16,7 @@ The join never pairs records of equal sets or of equal cores: those pairs follow
 
 Defined results
 * null and empty lists, null and blank members hold no value; sets below ``min_size`` have no pairs;
-* repeated deliveries: the latest counts, ties by the greater list; a null id is no record;
+* repeated deliveries: the latest counts, ties by the hash of the set; a null id is no record;
 * similarity is shared / union, compared exactly as integers;
 * an empty table gives an empty result; extra columns are ignored.
 """
@@ -28,13 +28,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.session import Staging, release_shuffles
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-
 
 def segments_for(n: int, num: int, den: int, miss: float) -> tuple[int, int]:
     """Bits per segment and segments for n cores: a bucket holds a few unrelated cores on average."""
@@ -99,58 +97,56 @@ SKETCH = "core bigint, size int, least int, code bigint, seg bigint"
 
 
 class SimilarSets:
-    """The classes, cores and pairs of one set-valued column (or several, told apart by ``field``)."""
+    """The cores and pairs of one set-valued column (or several, told apart by ``field``)."""
 
     def __init__(self, sets: DataFrame, num: int = 3, den: int = 5, min_size: int = 3, miss: float = 0.004, seed: int = 11) -> None:
-        """``sets``: field, record (bigint), items (sorted distinct values). Threshold num / den."""
-        spark = sets.sparkSession
-        self.spark, self.st = spark, Staging(spark, "similar")
+        """``sets``: field, record (bigint), at, items (sorted distinct values), one row per delivery. Threshold num / den."""
+        self.spark, self.st = sets.sparkSession, Staging(sets.sparkSession, "similar")
         self.num, self.den, self.miss, self.seed = num, den, miss, seed
-        big = sets.filter(F.size("items") >= min_size)
-        # A class is known by two 64-bit hashes of its field and values; its id is the first.
-        h1, h2 = F.xxhash64("field", "items"), F.xxhash64(F.lit(seed), "items", "field")
-        self.members = self.st.put(big.select(h1.alias("cls"), h2.alias("cls2"), "field", "record", "items"))
-        classes = self.members.groupBy("cls", "cls2", "field").agg(F.first("items").alias("items"))
-        words = classes.select("cls", "field", F.size("items").alias("size"), F.explode("items").alias("item"))
-        df = words.groupBy("field", F.xxhash64("item").alias("h")).agg(F.count(F.lit(1)).alias("df"))
-        common = df.filter("df > 1").select("field", "h")
-        core = (
-            words.select("cls", "field", "size", F.xxhash64("item").alias("h"))
-            .join(common, ["field", "h"], "left_semi")
-            .groupBy("cls", "field", "size")
-            .agg(F.sort_array(F.collect_list("h")).alias("core_items"))
-        )
-        shared = F.size("core_items")
+        known = sets.withColumn("cls", F.when(F.size("items") >= min_size, F.xxhash64("field", "items")))
+        self.members = known.groupBy("field", "record").agg(F.max(F.struct("at", "cls")).alias("b")).select("field", "record", "b.cls").filter("cls IS NOT NULL")
+        big = known.filter("cls IS NOT NULL")
+        words = big.select("cls", F.size("items").alias("size"), F.explode(F.transform("items", lambda v: F.xxhash64("field", v))).alias("h"))
+        # A value counted once is held by one class only. One counted more may be so too, if its class has
+        # copies; it then stays in the core, which changes no similarity.
+        common = words.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("h")
+        core = words.join(common, "h", "left_semi").groupBy("cls", "size").agg(F.collect_set("h").alias("hs"))
+        shared = F.size("hs")
         # The best partner holds the whole core and nothing else, but at least min_size values.
         best_union = F.col("size") + F.greatest(shared, F.lit(min_size)) - shared
-        alive = core.filter(shared * den >= best_union * num)
+        alive = self.st.put(core.filter(shared * den >= best_union * num).select("cls", "hs"))
+        release_shuffles(self.spark)
+        found = big.select("cls", "field", "items").join(alive, "cls").dropDuplicates(["cls"])
+        in_core = F.filter("items", lambda v: F.array_contains("hs", F.xxhash64("field", v)))
+        found = found.select("cls", "field", F.size("items").alias("size"), in_core.alias("core_items"))
         # Equal cores share one sketch; ``own`` is the number of values only this class holds.
-        self.cores = self.st.put(alive.select("cls", "field", F.xxhash64("field", "core_items").alias("core"), (F.col("size") - shared).cast("int").alias("own"), "core_items"))
-        release_shuffles(spark)
+        self.cores = self.st.put(found.select("cls", "field", F.xxhash64("field", "core_items").alias("core"), (F.col("size") - F.size("core_items")).cast("int").alias("own"), "core_items"))
+        self.st.drop(alive)
+        release_shuffles(self.spark)
 
     def candidates(self) -> DataFrame:
         """(a, b): pairs of different cores whose sketches meet, a < b."""
         one = self.cores.groupBy("field", "core").agg(F.min("own").alias("least"), F.first("core_items").alias("core_items"))
-        one = self.st.put(one.select("core", F.col("least").cast("int").alias("least"), "core_items", "field"))
-        self.unique = one
+        self.unique = one = self.st.put(one.select("core", F.col("least").cast("int").alias("least"), "core_items", "field"))
         per = {r[0]: r[1] for r in one.groupBy("field").count().collect()}  # one row per field
-        found = None
+        found = self.spark.createDataFrame([], "a bigint, b bigint")
+        r = radius_for(64, self.num, self.den, self.miss / 2)
         for field, n in sorted(per.items()):
             b, m = segments_for(n, self.num, self.den, self.miss / 2)
-            r = radius_for(64, self.num, self.den, self.miss / 2)
-            index = one.filter(F.col("field") == field).select("core", "least", "core_items").mapInArrow(_sketcher(b, m, self.seed), SKETCH)
+            hashed = F.transform("core_items", lambda v: F.xxhash64(v))
+            index = one.filter(F.col("field") == field).select("core", "least", hashed.alias("h")).mapInArrow(_sketcher(b, m, self.seed), SKETCH)
             x, y = index.alias("x"), index.alias("y")
             lo, hi = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
             # At best all of the smaller core is shared; each side has its least number of own values beside.
             reach = lo * self.den >= (hi + F.col("x.least") + F.col("y.least")) * self.num
             near = F.bit_count(F.col("x.code").bitwiseXOR(F.col("y.code"))) <= r
             hit = x.join(y, (F.col("x.seg") == F.col("y.seg")) & (F.col("x.core") < F.col("y.core")) & reach & near)
-            got = hit.select(F.col("x.core").alias("a"), F.col("y.core").alias("b")).distinct()
-            found = got if found is None else found.unionByName(got)
-        return found if found is not None else self.spark.createDataFrame([], "a bigint, b bigint")
+            found = found.unionByName(self.st.put(hit.select(F.col("x.core").alias("a"), F.col("y.core").alias("b")).distinct()))
+            release_shuffles(self.spark)
+        return found
 
     def core_pairs(self) -> DataFrame:
-        """(a, b, shared, joined): verified pairs of different cores; joined is the size of their union."""
+        """(a, b, shared, joined): pairs of different cores, verified on the values; joined is the size of their union."""
         c = self.candidates()
         u = self.unique
         x = c.join(u.select(F.col("core").alias("a"), F.col("core_items").alias("xs"), F.col("least").alias("xl")), "a").join(u.select(F.col("core").alias("b"), F.col("core_items").alias("ys"), F.col("least").alias("yl")), "b")
@@ -160,8 +156,8 @@ class SimilarSets:
 
     def class_pairs(self) -> DataFrame:
         """(cls_a, cls_b): classes with different sets that are similar."""
+        pairs = self.st.put(self.core_pairs())
         c = self.cores.select("cls", "core", "own", F.size("core_items").alias("n"))
-        pairs = self.core_pairs()
         groups = c.groupBy("core", "own", "n").agg(F.count(F.lit(1)).alias("k"))
         ok = lambda shared, joined: shared * self.den >= (joined + F.col("x.own") + F.col("y.own")) * self.num
         # Between different cores: which numbers of own values still fit.
@@ -169,31 +165,24 @@ class SimilarSets:
         wide = pairs.join(gx, F.col("a") == F.col("x.core")).join(gy, F.col("b") == F.col("y.core")).filter(ok(F.col("shared"), F.col("joined")))
         across = wide.select("a", F.col("x.own").alias("oa"), "b", F.col("y.own").alias("ob"))
         # Within a core: the same, from the counts alone.
-        hx, hy = groups.alias("x"), groups.alias("y")
-        same = hx.join(hy, (F.col("x.core") == F.col("y.core")) & (F.col("x.own") <= F.col("y.own")) & ok(F.col("x.n"), F.col("x.n")))
+        same = gx.join(gy, (F.col("x.core") == F.col("y.core")) & (F.col("x.own") <= F.col("y.own")) & ok(F.col("x.n"), F.col("x.n")))
         within = same.filter((F.col("x.own") < F.col("y.own")) | (F.col("x.k") > 1)).select(F.col("x.core").alias("a"), F.col("x.own").alias("oa"), F.col("y.core").alias("b"), F.col("y.own").alias("ob"))
         both = across.unionByName(within)
-        left = c.select(F.col("core").alias("a"), F.col("own").alias("oa"), F.col("cls").alias("ca"))
-        right = c.select(F.col("core").alias("b"), F.col("own").alias("ob"), F.col("cls").alias("cb"))
+        left = c.select(F.col("core").alias("a"), F.col("own").alias("oa"), F.col("cls").alias("cls_a"))
+        right = c.select(F.col("core").alias("b"), F.col("own").alias("ob"), F.col("cls").alias("cls_b"))
         x = both.join(left, ["a", "oa"]).join(right, ["b", "ob"])
-        fits = (F.col("a") != F.col("b")) | (F.col("oa") != F.col("ob")) | (F.col("ca") < F.col("cb"))
-        return x.filter(fits & (F.col("ca") != F.col("cb"))).select(F.col("ca").alias("cls_a"), F.col("cb").alias("cls_b"))
+        fits = (F.col("a") != F.col("b")) | (F.col("oa") != F.col("ob")) | (F.col("cls_a") < F.col("cls_b"))
+        return x.filter(fits & (F.col("cls_a") != F.col("cls_b"))).select("cls_a", "cls_b")
 
-    def record_pairs(self, verify: bool = True) -> DataFrame:
-        """(field, record_a, record_b): all similar pairs of records, verified on the original values."""
+    def record_pairs(self) -> DataFrame:
+        """(field, record_a, record_b): all similar pairs of records."""
         p = self.class_pairs()
-        sets = self.members.groupBy("cls").agg(F.first("items").alias("items"))
-        if verify:
-            x = p.join(sets.select(F.col("cls").alias("cls_a"), F.col("items").alias("xs")), "cls_a").join(sets.select(F.col("cls").alias("cls_b"), F.col("items").alias("ys")), "cls_b")
-            shared = F.size(F.array_intersect("xs", "ys"))
-            p = x.filter(shared * self.den >= (F.size("xs") + F.size("ys") - shared) * self.num).select("cls_a", "cls_b")
-        of = self.members.select("cls", "field", "record")
-        x = p.join(of.select(F.col("cls").alias("cls_a"), "field", F.col("record").alias("ra")), "cls_a").join(of.select(F.col("cls").alias("cls_b"), F.col("record").alias("rb")), "cls_b")
+        m = self.members
+        x = p.join(m.select(F.col("cls").alias("cls_a"), "field", F.col("record").alias("ra")), "cls_a").join(m.select(F.col("cls").alias("cls_b"), F.col("record").alias("rb")), "cls_b")
         between = x.select("field", F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"))
         # Equal sets: every pair of their records.
-        many = of.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("cls"))).filter("k > 1").drop("k")
-        m1, m2 = many.alias("m"), many.select("cls", F.col("record").alias("r2")).alias("n")
-        equal = m1.join(m2, "cls").filter(F.col("record") < F.col("r2")).select("field", F.col("record").alias("record_a"), F.col("r2").alias("record_b"))
+        other = m.select("cls", F.col("record").alias("record_b"))
+        equal = m.join(other, "cls").filter(F.col("record") < F.col("record_b")).select("field", F.col("record").alias("record_a"), "record_b")
         return between.unionByName(equal)
 
 
@@ -205,7 +194,6 @@ def value_set(c: str | Column) -> Column:
 
 
 def sets_of(df: DataFrame, record: str, fields: list[str], at: str) -> DataFrame:
-    """(field, record, items): the latest delivery of each record, one row per field."""
-    best = F.max(F.struct(F.col(at), *[F.col(f) for f in fields])).alias("b")
-    one = df.filter(F.col(record).isNotNull()).groupBy(F.col(record).alias("record")).agg(best)
-    return one.select("record", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), value_set(F.col("b")[f]).alias("items")) for f in fields])).alias("s")).select("s.field", "record", "s.items")
+    """(field, record, at, items): one row per delivery and field."""
+    one = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), value_set(f).alias("items")) for f in fields]))
+    return df.filter(F.col(record).isNotNull()).select(F.col(record).alias("record"), F.col(at).alias("at"), one.alias("s")).select("s.field", "record", "at", "s.items")
