@@ -34,6 +34,10 @@ from pyspark.sql import functions as F
 from weftline.session import Staging, release_shuffles
 
 
+#: Fixed value: white space.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def segments_for(n: int, num: int, den: int, miss: float) -> tuple[int, int]:
     """Bits per segment and segments for n cores: a bucket holds a few unrelated cores on average."""
     b = int(min(30, max(8, math.ceil(math.log2(max(n, 2))) - 3)))
@@ -189,7 +193,7 @@ class SimilarSets:
 def value_set(c: str | Column) -> Column:
     """Sorted distinct values of a list, trimmed, without nulls and blanks; an empty list for null."""
     c = F.col(c) if isinstance(c, str) else c
-    t = F.transform(c, lambda v: F.regexp_replace(v, r"^[\s ]+|[\s ]+$", ""))
+    t = F.transform(c, lambda v: F.trim(v, F.lit(BLANKS)))
     return F.coalesce(F.array_sort(F.array_distinct(F.filter(t, lambda v: v.isNotNull() & (v != "")))), F.array().cast("array<string>"))
 
 
