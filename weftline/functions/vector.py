@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 
@@ -179,7 +180,7 @@ def gsub(s: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(s, pattern, replacement)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gamma(x: pd.Series) -> pd.Series:
     """Gamma function; NaN at its poles."""
 
@@ -192,7 +193,7 @@ def gamma(x: pd.Series) -> pd.Series:
     return x.map(one, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
     """Logarithm of the gamma function's magnitude; infinite at its poles."""
 

@@ -173,14 +173,19 @@ def _ranked_by_joins(st: Staging, nodes: DataFrame) -> DataFrame:
         going = t.filter(~F.col("rest")).join(far, ["grp", "to"]).select("grp", "node", F.col("to2").alias("to"), F.col("rest2").alias("rest"), F.lit(True).alias("moved"))
         return going.unionByName(t.filter("rest").withColumn("moved", F.lit(False)))
 
-    for k in range(max(1, int(n).bit_length())):
+    # Depths have no gaps and images only shrink: two rounds with the same numbers mean that all trees rest
+    # and that the jumps only permute what is left, which then are the cycles.
+    before = None
+    for k in range(max(1, int(n).bit_length()) + 1):
         after = st.put(peel(jumps))
         st.drop(jumps if k else None)
         jumps = after
         if k % 4 == 3:
             release_shuffles(spark)
-        if not jumps.filter(~F.col("rest")).limit(1).count():
+        now = tuple(jumps.filter(~F.col("rest")).agg(F.count(F.lit(1)), F.countDistinct("grp", "to")).first())
+        if now == before or not now[0]:
             break
+        before = now
     loose = jumps.filter(~F.col("rest"))
     on_cycle = loose.select("grp", F.col("to").alias("node")).distinct().withColumn("c", F.lit(1))
     none = F.lit(-1).cast("bigint")

@@ -95,3 +95,37 @@ def greedy_cover(pairs: DataFrame, obj: str, attr: str, most: int = 10_000) -> l
         covered = left.filter(F.col("o") == F.lit(best["o"])).select("a")
         left = left.join(covered, "a", "left_anti")
     raise RuntimeError("greedy_cover: bound of choices reached")
+
+
+def undominated(pairs: DataFrame, obj: str, attr: str) -> DataFrame:
+    """Objects whose attributes are no proper part of another's; of equal ones the least object stays."""
+    p = pairs.select(F.col(obj).alias("o"), F.col(attr).alias("a")).distinct()
+    n = p.groupBy("o").agg(F.count(F.lit(1)).alias("n"))
+    both = p.join(p.select(F.col("o").alias("o2"), "a"), "a").filter("o <> o2").groupBy("o", "o2").agg(F.count(F.lit(1)).alias("k"))
+    x = both.join(n, "o").join(n.select(F.col("o").alias("o2"), F.col("n").alias("n2")), "o2").filter("k = n AND (n2 > n OR o2 < o)")
+    return n.join(x.select("o").distinct(), "o", "left_anti").select(F.col("o").alias(obj))
+
+
+def exact_cover_size(sets: dict[str, frozenset], most: int = 64) -> list[str]:
+    """A smallest choice of sets that covers everything: branch and bound on the driver, for at most ``most`` sets.
+
+    Larger tables are reduced by ``undominated`` and covered by ``greedy_cover``.
+    """
+    if len(sets) > most:
+        raise ValueError("too many sets for an exact cover")
+    every = frozenset().union(*sets.values()) if sets else frozenset()
+    best: list[str] = sorted(sets)
+
+    def go(left: frozenset, chosen: list[str]) -> None:
+        nonlocal best
+        if not left:
+            best = list(chosen) if len(chosen) < len(best) else best
+            return
+        if len(chosen) + 1 >= len(best):
+            return
+        rare = min(left, key=lambda x: (sum(x in s for s in sets.values()), str(x)))
+        for k in sorted((k for k, s in sets.items() if rare in s), key=lambda k: (-len(sets[k] & left), k)):
+            go(left - sets[k], [*chosen, k])
+
+    go(every, [])
+    return sorted(best)

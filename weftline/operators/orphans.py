@@ -132,7 +132,7 @@ def _month(c: Column) -> Column:
 
 
 def find_orphans(
-    refs: DataFrame, parents: DataFrame, *, keys: list[str], ref_at: str, carry: list[str], born: str, ended: str | None = None, keys_per_range: int = 200_000
+    refs: DataFrame, parents: DataFrame, *, keys: list[str], ref_at: str, carry: list[str], born: str, ended: str | None = None, keys_per_range: int = 50_000
 ) -> DataFrame:
     """Rows of ``refs`` whose key names no record of ``parents`` alive at ``ref_at``.
 

@@ -210,3 +210,51 @@ def merge_graphs(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame,
         edges.append(e.withColumn("src", F.col("src") + base).withColumn("dst", F.col("dst") + base))
         base += (n.agg(F.max("id")).first()[0] or -1) + 1
     return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
+
+
+def structural_match(operations: DataFrame, patterns: DataFrame, key: str, name: str, kinds: str) -> DataFrame:
+    """Operations matched to patterns of the same name and number of operands: (key, match_status, n_patterns).
+
+    Per place ``any`` fits every kind. exact: some pattern has the same kinds; conditional: some fits by ``any``;
+    unsupported: the name is known with other operands only; no_match: the name is unknown.
+    """
+    p = patterns.select(F.col(name).alias("__n"), F.col(kinds).alias("__k"))
+    x = operations.select(key, name, kinds).join(p, F.col(name) == F.col("__n"), "left")
+    same_size = F.size(F.col(kinds)) == F.size("__k")
+    fits = same_size & F.forall(F.zip_with(F.col(kinds), F.col("__k"), lambda a, b: (a == b) | (b == "any")), lambda ok: F.coalesce(ok, F.lit(False)))
+    exact = same_size & (F.col(kinds) == F.col("__k"))
+    g = x.groupBy(key).agg(F.coalesce(F.bool_or(exact), F.lit(False)).alias("e"), F.coalesce(F.bool_or(fits), F.lit(False)).alias("f"), F.count("__n").alias("known"), F.count_if(fits).alias("n_patterns"))
+    s = F.when(F.col("e"), "exact").when(F.col("f"), "conditional").when(F.col("known") > 0, "unsupported").otherwise("no_match")
+    return g.select(key, s.alias("match_status"), "n_patterns")
+
+
+def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str) -> DataFrame:
+    """(left_id, right_id, n_shared) of texts that share a word: an equi-join on words, never a nested loop."""
+    words = lambda df, k: df.select(k, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0))).alias("__w"))
+    return words(left, left_id).join(words(right, right_id), "__w").groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("n_shared"))
+
+
+def witnessed(rows: DataFrame, witnesses: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with ``observed``: whether a witness has the same keys."""
+    w = witnesses.select(*keys).distinct().withColumn("__w", F.lit(True))
+    return rows.join(w, list(keys), "left").withColumn("observed", F.coalesce("__w", F.lit(False))).drop("__w")
+
+
+def override(defaults: DataFrame, work: DataFrame, key: str, value: str) -> DataFrame:
+    """Defaults with the values of ``work`` where it has the key."""
+    w = work.groupBy(key).agg(F.max(value).alias("__v"))
+    return defaults.join(w, key, "left").withColumn(value, F.coalesce("__v", value)).drop("__v")
+
+
+def intermediate_routes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst, mid): the least intermediate with both legs, for each wanted pair that has one."""
+    e = edges.select("src", "dst").distinct()
+    a, b = e.select("src", F.col("dst").alias("mid")), e.select(F.col("src").alias("mid"), "dst")
+    hops = pairs.select("src", "dst").distinct().join(a, "src").join(b, ["mid", "dst"]).filter("mid <> src AND mid <> dst")
+    return hops.groupBy("src", "dst").agg(F.min("mid").alias("mid"))
+
+
+def split_known(candidates: DataFrame, exact: DataFrame, parameterised: DataFrame, key: str, family: str) -> DataFrame:
+    """(key, residual): EXACT where the key is known, PARAMETERISED where its family is, else NEW."""
+    x = candidates.select(key, family).join(exact.select(key).distinct().withColumn("__e", F.lit(1)), key, "left").join(parameterised.select(family).distinct().withColumn("__p", F.lit(1)), family, "left")
+    return x.select(key, F.when(F.col("__e") == 1, "EXACT").when(F.col("__p") == 1, "PARAMETERISED").otherwise("NEW").alias("residual"))

@@ -14,6 +14,14 @@ from weftline.session import Staging, whole_number
 records = Registry()
 
 
+TREES = r"""k AS (SELECT trace_id, TRY_CAST(trim(node_id, E' \t\n') AS BIGINT) AS node_id, TRY_CAST(trim(parent_node_id, E' \t\n') AS BIGINT) AS parent, recorded_at FROM semantic_trace_node),
+      l AS (SELECT trace_id, node_id, parent FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, node_id ORDER BY recorded_at DESC, parent DESC NULLS LAST) AS r FROM k) WHERE r = 1 AND node_id IS NOT NULL AND trace_id IS NOT NULL),
+      n AS (SELECT l.trace_id, l.node_id, u.node_id AS parent FROM l LEFT JOIN l u ON u.trace_id = l.trace_id AND u.node_id = l.parent),
+      d AS (SELECT trace_id, node_id, node_id AS root, 0 AS depth, CAST(node_id AS VARCHAR) AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.trace_id, n.node_id, d.root, d.depth + 1, d.path || '/' || CAST(n.node_id AS VARCHAR) FROM d JOIN n ON n.trace_id = d.trace_id AND n.parent = d.node_id)"""
+LOOPS = """o AS (SELECT n.* FROM n ANTI JOIN d ON d.trace_id = n.trace_id AND d.node_id = n.node_id),
+      c AS (SELECT trace_id, node_id AS src, parent AS dst FROM o UNION SELECT c.trace_id, c.src, o.parent FROM c JOIN o ON o.trace_id = c.trace_id AND o.node_id = c.dst)"""
+
+
 def trace_tours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Euler tours of all traces."""
     t = table(spark, sf_dir, "semantic_trace_node")
@@ -21,7 +29,8 @@ def trace_tours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.build_hierarchy(nodes)
 
 
-@records.query()
+@records.query(f"""WITH RECURSIVE {TREES}, {LOOPS} SELECT trace_id, node_id, root AS root_node_id, depth AS node_depth FROM d WHERE depth >= 12
+      UNION ALL SELECT trace_id, src, -1, CASE WHEN bool_or(src = dst) THEN -1 ELSE -2 END FROM c GROUP BY 1, 2""")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of depth 12 or more, and nodes without a root."""
     t = trace_tours(spark, sf_dir).filter((F.col("depth") >= 12) | (F.col("root") == -1) & (F.col("entry") < 0))
@@ -36,13 +45,14 @@ def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("grp").alias("trace_id"), F.col("node").alias("node_id"), F.col("root").alias("root_node_id"), F.col("depth").cast("int").alias("node_depth"), "entry", "exit", below)
 
 
-@records.query()
+@records.query(f"WITH RECURSIVE {TREES} SELECT trace_id, node_id, path AS node_path FROM d")
 def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rooted node's path from its root."""
     return hierarchy.paths(trace_tours(spark, sf_dir)).select(F.col("grp").alias("trace_id"), F.col("node").alias("node_id"), F.col("path").alias("node_path"))
 
 
-@records.query()
+@records.query(f"""WITH RECURSIVE {TREES}, b AS (SELECT trace_id, node_id AS a, node_id, 0 AS distance FROM d UNION ALL SELECT b.trace_id, b.a, n.node_id, b.distance + 1 FROM b JOIN n ON n.trace_id = b.trace_id AND n.parent = b.node_id)
+      SELECT trace_id, a AS node_id, node_id AS below_node_id, distance FROM b WHERE distance > 0""")
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node with every node below it, and how far below."""
     d = hierarchy.descendants(trace_tours(spark, sf_dir))
@@ -80,6 +90,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orphans(spark, sf_dir)
 
 
+@records.query("""SELECT DISTINCT ref_id, contract_id, strftime(referenced_at, '%Y-%m') AS ref_period FROM semantic_contract_reference r WHERE contract_id IS NOT NULL AND NOT EXISTS
+      (SELECT 1 FROM semantic_contract c WHERE c.contract_id = r.contract_id AND created_at <= referenced_at AND (deleted_at IS NULL OR referenced_at < deleted_at))""")
+def p3_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to contracts that did not exist when named."""
+    o = orphans.find_orphans(table(spark, sf_dir, "semantic_contract_reference"), table(spark, sf_dir, "semantic_contract"), keys=["contract_id"], ref_at="referenced_at", carry=["ref_id"], born="created_at", ended="deleted_at")
+    return o.select("ref_id", "contract_id", orphans.period_text(F.col("period")).alias("ref_period"))
+
+
 @records.query()
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphans per table, field and month."""
@@ -114,6 +132,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _objects(spark, sf_dir).select("src_table", "record_id", "obj_path", "parent_path")
 
 
+@records.query("""SELECT DISTINCT manifest_id AS record_id, '$.files[' || CAST(i - 1 AS VARCHAR) || ']' AS obj_path, f.file_path AS file_path FROM (SELECT manifest_id, unnest(files) AS f, generate_subscripts(files, 1) AS i FROM semantic_package_manifest) WHERE f IS NOT NULL""")
+def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of a manifest's files."""
+    x = nested.flatten_structs(table(spark, sf_dir, "semantic_package_manifest"), "manifest_id", "files", "imported_at", "file")
+    return x.select("record_id", "obj_path", F.get_json_object("payload", "$.file_path").alias("file_path"))
+
+
 @records.query()
 def p5_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of statements: emission written by tag, schema applied on reading."""

@@ -189,3 +189,42 @@ def manifest_of(spark: SparkSession, path: str) -> DataFrame:
     """(member, sha256) of the data files under a folder."""
     f = read_folder(spark, path)
     return f.select(F.regexp_extract("file_path", r"([^/]+)$", 1).alias("member"), F.sha2("content", 256).alias("sha256"))
+
+
+def bundle_members(files: DataFrame) -> DataFrame:
+    """(file_path, member, content, verified) of bundles: base64 of gzip of a JSON array of {path, content (base64), sha256}.
+
+    A bundle that cannot be opened gives one row with null member and verified false.
+    """
+    import base64
+    import gzip
+    import hashlib
+    import json
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                rows = []
+                try:
+                    for m in json.loads(gzip.decompress(base64.b64decode(content.as_py()))):
+                        data = base64.b64decode(m["content"])
+                        rows.append((m["path"], data, hashlib.sha256(data).hexdigest() == m["sha256"]))
+                except (ValueError, OSError, KeyError, TypeError, EOFError):
+                    rows = [(None, None, False)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.binary(), pa.bool_())))], ["file_path", "member", "content", "verified"])
+
+    return files.select("file_path", "content").mapInArrow(run, "file_path string, member string, content binary, verified boolean")
+
+
+def discover(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, kind, language, n_bytes): what a project folder holds and how each file would be read."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file_path"), F.col("length").alias("n_bytes"))
+    low = F.lower("file_path")
+    kind = F.when(low.rlike(r"\.partial$"), "partial").when(low.rlike(r"\.csv(\.gz)?$"), "csv").when(low.rlike(r"\.(jsonl|ndjson)(\.gz)?$"), "jsonl").when(low.rlike(r"\.json(\.gz)?$"), "json").when(low.endswith(".zip"), "zip").when(low.endswith(".xlsx"), "xlsx").when(low.endswith(".parquet"), "parquet").when(language_of(F.col("file_path")).isNotNull(), "source").otherwise("other")
+    return f.select("file_path", kind.alias("kind"), language_of(F.col("file_path")).alias("language"), "n_bytes")
+
+
+def row_range(df: DataFrame, order: list[str], skip: int, take: int) -> DataFrame:
+    """Rows skip + 1 to skip + take in a total order."""
+    return df.orderBy(*order).offset(skip).limit(take)
