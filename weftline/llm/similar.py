@@ -39,8 +39,12 @@ BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\
 
 
 def segments_for(n: int, num: int, den: int, miss: float) -> tuple[int, int]:
-    """Bits per segment and segments for n cores: a bucket holds a few unrelated cores on average."""
-    b = int(min(30, max(8, math.ceil(math.log2(max(n, 2))) - 3)))
+    """Bits per segment and segments for n cores.
+
+    Rows of the index grow by a quarter a bit while comparisons within buckets, and with them unrelated
+    candidates, halve: the sum is least where a bucket holds some fifteen unrelated cores.
+    """
+    b = int(min(30, max(8, math.ceil(math.log2(max(n, 2))) - 4)))
     agree = (1 + num / den) / 2
     return b, math.ceil(math.log(miss) / math.log1p(-(agree**b)))
 
