@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import atexit
 import math
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "weftline", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,6 +38,24 @@ def build_session(app: str = "weftline", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers once per application, unless they find it by path or folder already."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED or root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root:
+        return
+    _SHIPPED.add(sc.applicationId)
+    folder = tempfile.mkdtemp(prefix="weftline-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "weftline_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(os.path.join(root, "weftline")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), root))
+    sc.addPyFile(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set (tests, laptops)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
