@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.session import Staging
@@ -131,7 +131,7 @@ def refine(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
     """(node, class_id): coarsest partition by label in which equal nodes have equal ordered child classes.
 
     Classes are hashes of (own class, child classes); rounds stop when their number no longer grows.
-    edges(src, ordinal, dst). Cyclic graphs are fine; class ids follow the sorted hashes.
+    edges(src, ordinal, dst). Cyclic graphs are fine; a class is named by its least node.
     """
     st = Staging(nodes.sparkSession, "refine")
     cur = st.put(nodes.select("node", F.sha2(F.coalesce(F.col(label).cast("string"), F.lit("\x00")), 256).alias("c")))
@@ -142,9 +142,7 @@ def refine(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
         new = st.put(cur.join(sig, "node", "left").select("node", F.sha2(F.concat_ws("|", "c", F.coalesce("s", F.lit(""))), 256).alias("c")))
         n = new.select("c").distinct().count()
         if n == count:
-            firsts = cur.groupBy("c").agg(F.min("node").alias("m"))
-            ids = firsts.withColumn("class_id", F.row_number().over(Window.orderBy("m")))  # one row per class
-            return cur.join(ids, "c").select("node", "class_id")
+            return cur.join(cur.groupBy("c").agg(F.min("node").alias("class_id")), "c").select("node", "class_id")
         cur, count = new, n
 
 

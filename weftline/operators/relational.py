@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import Staging
+
 # ---------------------------------------------------------------- de-duplication and latest rows
 
 
@@ -20,8 +22,9 @@ def dedup_with_provenance(df: DataFrame, key: str, order: str, provenance: Colum
 
     Null keys form one group. The origins of a group are one text, so they should be short ids.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    first = df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    rest = [c for c in df.columns if c != key]
+    best = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__b"))
+    first = best.select(key, *[F.col(f"__b.{c}").alias(c) for c in rest])
     origin = df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(provenance)), sep).alias("provenance"), F.count(F.lit(1)).alias("n_members"))
     return first.join(origin.withColumnRenamed(key, "__k"), F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
 
@@ -42,9 +45,9 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 def argmin_with_ties(df: DataFrame, keys: Sequence[str], cost: Sequence[str]) -> DataFrame:
     """Per key the rows of least cost and how many they are; more than one is an ambiguity."""
-    w = Window.partitionBy(*keys)
-    best = df.withColumn("__m", F.min(F.struct(*cost)).over(w)).filter(F.struct(*cost) == F.col("__m")).drop("__m")
-    return best.withColumn("n_ties", F.count(F.lit(1)).over(w))
+    per = df.groupBy(*keys, *cost).agg(F.count(F.lit(1)).alias("n_ties"))
+    best = per.groupBy(*keys).agg(F.min(F.struct(*cost, "n_ties")).alias("__m")).select(*keys, "__m.*")
+    return df.join(best, [*keys, *cost])
 
 
 # ---------------------------------------------------------------- quotients
@@ -53,8 +56,18 @@ def argmin_with_ties(df: DataFrame, keys: Sequence[str], cost: Sequence[str]) ->
 def quotient(df: DataFrame, member: str, attributes: Sequence[str], prefix: str) -> DataFrame:
     """Classes of equal attribute vectors: (class_id, attributes, n_members). Ids follow the sorted vectors."""
     classes = df.groupBy(*attributes).agg(F.countDistinct(member).alias("n_members"))
-    w = Window.orderBy(*attributes)  # one row per class
-    return classes.withColumn("class_id", F.concat(F.lit(prefix), F.lpad(F.dense_rank().over(w).cast("string"), 5, "0")))
+    return numbered(classes, attributes, "__n").withColumn("class_id", F.format_string(prefix + "%05d", "__n")).drop("__n")
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Rows numbered from 1 in a total order, by ranges: a row's number is its place in its range plus the rows of the ranges before."""
+    spark = df.sparkSession
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    laid = Staging(spark, "numbered").put(df.repartitionByRange(parts, *order).withColumn("__pid", F.spark_partition_id()))
+    ahead = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    before = laid.groupBy("__pid").agg(F.count(F.lit(1)).alias("__k")).select("__pid", F.coalesce(F.sum("__k").over(ahead), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__pid").orderBy(*order)
+    return laid.withColumn(name, F.row_number().over(inside)).join(F.broadcast(before), "__pid").withColumn(name, F.col(name) + F.col("__before")).drop("__pid", "__before")
 
 
 def set_quotient(pairs: DataFrame, row: str, col: str) -> DataFrame:

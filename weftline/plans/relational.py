@@ -218,7 +218,7 @@ def argmin_ties(spark: SparkSession, d: str) -> DataFrame:
     return R.argmin_with_ties(table(spark, d, "part").select("p_brand", "p_partkey", "p_size", "p_type"), ["p_brand"], ["p_size", "p_type"]).drop("p_type")
 
 
-@q("""SELECT p_brand, p_type, p_size, count(DISTINCT p_partkey) AS n_members, 'Q' || lpad(CAST(dense_rank() OVER (ORDER BY p_brand, p_type, p_size) AS VARCHAR), 5, '0') AS class_id FROM part GROUP BY 1, 2, 3""")
+@q("""SELECT p_brand, p_type, p_size, count(DISTINCT p_partkey) AS n_members, printf('Q%05d', dense_rank() OVER (ORDER BY p_brand, p_type, p_size)) AS class_id FROM part GROUP BY 1, 2, 3""")
 def quotient_signature(spark: SparkSession, d: str) -> DataFrame:
     return R.quotient(table(spark, d, "part"), "p_partkey", ["p_brand", "p_type", "p_size"], "Q")
 
