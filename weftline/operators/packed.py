@@ -163,9 +163,9 @@ def choose_parses(texts: DataFrame, atomic: bool = False) -> DataFrame:
     # Code lengths from counts over the whole table; a text's weight is shared by its parses.
     part = parsed.select("n_parses", "n", F.explode("items").alias("item"))
     code = part.groupBy("item").agg(F.sum(F.col("n") / F.col("n_parses")).alias("c"))
-    total = code.agg(F.sum("c").alias("total"))
-    bits = -F.log2(F.col("c") / F.col("total")) + F.lit(SPELL_BITS) * F.length("item") / F.greatest(F.col("c"), F.lit(1.0))
-    code = code.crossJoin(F.broadcast(total)).select("item", bits.alias("bits"))  # one row of totals
+    total = code.agg(F.sum("c").alias("total")).scalar()
+    bits = -F.log2(F.col("c") / total) + F.lit(SPELL_BITS) * F.length("item") / F.greatest(F.col("c"), F.lit(1.0))
+    code = code.select("item", bits.alias("bits"))
     open_ = parsed.filter(F.col("n_parses") > 1).select("text", "parse_no", "base_bits", "items", F.explode_outer("items").alias("item"))
     scored = open_.join(code, "item", "left").groupBy("text", "parse_no").agg((F.first("base_bits") + F.coalesce(F.sum("bits"), F.lit(0.0))).alias("cost"), F.first("items").alias("items"))
     won = scored.groupBy("text").agg(F.min_by("items", F.struct(F.round("cost", 6), "parse_no")).alias("items"))
