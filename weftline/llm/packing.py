@@ -69,15 +69,15 @@ def plan(counts: dict[int, int], room: int) -> list[tuple[int, list[tuple[int, i
     return out
 
 
-def pieces(items: DataFrame, item_id: str, size: str, spec: DataFrame) -> DataFrame:
-    """(pack_id, item, piece, piece_tokens, room, class): items cut at the capacity; spec is a small table."""
-    whole = F.floor(F.col("n") / F.col("capacity")).cast("bigint")
+def pieces(items: DataFrame, item_id: str, size: str, specs: list[tuple[int, int, int]]) -> DataFrame:
+    """(pack_id, room, joint, item, piece, piece_tokens): items cut at each capacity; specs are (pack_id, capacity, joint)."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(p).cast("int").alias("pack_id"), F.lit(c).cast("bigint").alias("capacity"), F.lit(j).cast("bigint").alias("joint")) for p, c, j in specs]))
+    x = items.select(F.col(item_id).alias("item"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("n"), kinds.alias("s")).select("item", "n", "s.*")
+    whole = F.floor(F.col("n") / F.col("capacity")).cast("int")
     rest = F.col("n") % F.col("capacity")
-    cut = F.when(F.col("n") <= F.col("capacity"), F.array(F.col("n"))).otherwise(
-        F.concat(F.array_repeat(F.col("capacity"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    )
-    x = items.select(F.col(item_id).alias("item"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("n")).crossJoin(F.broadcast(spec))
-    return x.select("pack_id", "room", "joint", "item", F.posexplode(cut).alias("p", "piece_tokens")).select("pack_id", "room", "joint", "item", (F.col("p") + 1).alias("piece"), "piece_tokens")
+    full = F.array_repeat(F.col("capacity"), whole)
+    cut = F.when(F.col("n") <= F.col("capacity"), F.array("n")).when(rest > 0, F.concat(full, F.array(rest))).otherwise(full)
+    return x.select("pack_id", (F.col("capacity") + F.col("joint")).alias("room"), "joint", "item", F.posexplode(cut).alias("p", "piece_tokens")).withColumn("piece", F.col("p") + 1).drop("p")
 
 
 PACKED = "pack_id int, container_id bigint, slot int, item bigint, piece int, piece_tokens bigint"
@@ -93,10 +93,11 @@ def pack(items: DataFrame, item_id: str, size: str, spec: DataFrame, *, pack_id:
     if any(r[1] is None or r[1] <= 0 for r in rows):
         raise ValueError("capacities must be positive")
     rooms = {r[0]: (r[1] + r[2], upper_bounds(r[1] + r[2])) for r in rows}
-    spec_df = spark.createDataFrame([(r[0], r[1], r[1] + r[2], r[2]) for r in rows], "pack_id int, capacity bigint, room bigint, joint bigint")
+    if not rows:
+        return spark.createDataFrame([], PACKED)
     n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     st = Staging(spark, "pack")
-    cut = pieces(items, item_id, size, spec_df)
+    cut = pieces(items, item_id, size, [tuple(r) for r in rows])
     bound_rows = spark.createDataFrame([(p, b, b2) for p, (_, bs) in rooms.items() for b, b2 in zip([0, *bs], bs)], "pack_id int, above bigint, bound bigint")
     size_of = F.col("piece_tokens") + F.col("joint")
     sizes = cut.filter("piece_tokens > 0").select("pack_id", "joint", "piece_tokens").distinct()
