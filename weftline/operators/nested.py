@@ -109,7 +109,7 @@ def visit(record: Any, rules: dict[str, list[tuple[str, str, str]]], top: str) -
 
 
 def _scalars(obj: dict) -> str:
-    return json.dumps({k: v for k, v in obj.items() if not isinstance(v, (dict, list))}, ensure_ascii=False)
+    return json.dumps({k: v for k, v in obj.items() if not isinstance(v, (dict, list))})
 
 
 def _emitter(rules: dict, top: str, payload: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -161,18 +161,23 @@ def flatten_structs(df: DataFrame, record_id: str, member: str, at: str, tag: st
     )
 
 
+def stage_tagged(spark: SparkSession, emitted: DataFrame) -> DataFrame:
+    """Write the emission once, partitioned by tag, and read it back."""
+    path = f"{Staging(spark, 'tagged').root}/by_tag"
+    emitted.write.partitionBy("table_tag").parquet(path)
+    return spark.read.schema("record_id bigint, obj_path string, parent_path string, payload string, table_tag string").parquet(path)
+
+
+def tagged_table(staged: DataFrame, tag: str, ddl: str) -> DataFrame:
+    """One tag's table of a staged emission under its schema; a member missing in an object is null."""
+    rows = staged.filter(F.col("table_tag") == tag)
+    return rows.select("record_id", "obj_path", "parent_path", F.from_json("payload", ddl).alias("o")).select("record_id", "obj_path", "parent_path", "o.*")
+
+
 def write_tagged(spark: SparkSession, emitted: DataFrame, schemas: dict[str, str]) -> dict[str, DataFrame]:
     """Write the emission once, partitioned by tag, and give each tag's table under its schema.
 
     ``schemas`` maps a tag to the DDL of its payload; a member missing in an object is null.
     """
-    st = Staging(spark, "tagged")
-    path = f"{st.root}/by_tag"
-    emitted.write.partitionBy("table_tag").parquet(path)
-    kind = "record_id bigint, obj_path string, parent_path string, payload string, table_tag string"
-    every = spark.read.schema(kind).parquet(path)
-    out = {}
-    for tag, ddl in schemas.items():
-        rows = every.filter(F.col("table_tag") == tag)
-        out[tag] = rows.select("record_id", "obj_path", "parent_path", F.from_json("payload", ddl).alias("o")).select("record_id", "obj_path", "parent_path", "o.*")
-    return out
+    staged = stage_tagged(spark, emitted)
+    return {tag: tagged_table(staged, tag, ddl) for tag, ddl in schemas.items()}

@@ -120,27 +120,73 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+#: Members of each kind of object, as the reference's records define them; parts of open form are JSON text.
+_NODE = "id bigint, kind string, scope bigint, type string, type_origin string, semantics string, effects array<string>, source string, attributes string, extensions string, name string"
+SCHEMAS = {
+    "statement": f"{_NODE}, assign_op string",
+    "expression": f"{_NODE}, typed_operation string, binding bigint, operator string, literal_kind string, text string, function string, arguments string, call_resolution string, double_index boolean",
+    "ast_node": "id bigint, structural_kind string, semantic_facets array<string>, field_mask array<string>, fields string, source_span string, attributes string",
+    "ast_relation": "kind string, `from` bigint, `to` struct<domain:string, id:string>, attributes string",
+    "trace_node": "node_id string, parent_node_id string, node_kind string, semantic_operation string, semantic_family string, arity bigint, operand_roles string, result_role string, type_model string, numeric_model string, effects string, evaluation_order string, binding string, scope string, ownership string, lifetime string, representation string, control_flow string, memory_behavior string, exception_behavior string, primitive_id string, primitive_family string, parameterization string, language_operation string, source_start string, source_end string",
+    "file": "file_path string, file_kind string, lang_id string, semantic_path string, source_hash string, dependencies array<string>, symbols array<string>, file_status string",
+}
+
+
 def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = nested.flatten_json(table(spark, sf_dir, "semantic_document"), "document_id", "payload", "received_at", with_payload=False).withColumn("src_table", F.lit("semantic_document"))
-    man = nested.flatten_structs(table(spark, sf_dir, "semantic_package_manifest"), "manifest_id", "files", "imported_at", "file").withColumn("src_table", F.lit("semantic_package_manifest"))
-    return doc.unionByName(man)
+    """All objects of both tables with their payloads, emitted once and written by tag."""
+    doc = nested.flatten_json(table(spark, sf_dir, "semantic_document"), "document_id", "payload", "received_at")
+    man = nested.flatten_structs(table(spark, sf_dir, "semantic_package_manifest"), "manifest_id", "files", "imported_at", "file")
+    return nested.stage_tagged(spark, doc.unionByName(man))
+
+
+def _flat(spark: SparkSession, sf_dir: str, tag: str) -> DataFrame:
+    return nested.tagged_table(_objects(spark, sf_dir), tag, SCHEMAS[tag])
 
 
 @records.query()
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every object of the nested records with the path of its parent."""
-    return _objects(spark, sf_dir).select("src_table", "record_id", "obj_path", "parent_path")
+    src = F.when(F.col("table_tag") == "file", "semantic_package_manifest").otherwise("semantic_document")
+    return _objects(spark, sf_dir).select(src.alias("src_table"), "record_id", "obj_path", "parent_path")
 
 
 @records.query("""SELECT DISTINCT manifest_id AS record_id, '$.files[' || CAST(i - 1 AS VARCHAR) || ']' AS obj_path, f.file_path AS file_path FROM (SELECT manifest_id, unnest(files) AS f, generate_subscripts(files, 1) AS i FROM semantic_package_manifest) WHERE f IS NOT NULL""")
 def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of a manifest's files."""
-    x = nested.flatten_structs(table(spark, sf_dir, "semantic_package_manifest"), "manifest_id", "files", "imported_at", "file")
-    return x.select("record_id", "obj_path", F.get_json_object("payload", "$.file_path").alias("file_path"))
+    return _flat(spark, sf_dir, "file").select("record_id", "obj_path", "file_path")
+
+
+@records.query()
+def p5_file_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of a manifest's files, all fields."""
+    return _flat(spark, sf_dir, "file")
 
 
 @records.query()
 def p5_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat table of statements: emission written by tag, schema applied on reading."""
-    doc = nested.flatten_json(table(spark, sf_dir, "semantic_document"), "document_id", "payload", "received_at")
-    return nested.write_tagged(spark, doc, {"statement": "id bigint, kind string, scope int"})["statement"]
+    """The flat table of statements."""
+    return _flat(spark, sf_dir, "statement")
+
+
+@records.query()
+def p5_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of expressions."""
+    return _flat(spark, sf_dir, "expression")
+
+
+@records.query()
+def p5_ast_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of the universal AST's nodes."""
+    return _flat(spark, sf_dir, "ast_node")
+
+
+@records.query()
+def p5_ast_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of the universal AST's relations."""
+    return _flat(spark, sf_dir, "ast_relation")
+
+
+@records.query()
+def p5_trace_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of the trace's nodes."""
+    return _flat(spark, sf_dir, "trace_node")
