@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
+from weftline.operators.nested import DOCUMENT_RULES, flatten_json
 
 SF = Path("/root/testdata/sf0.001")
 TABLES = ["p5_statements", "p5_expressions", "p5_ast_nodes", "p5_ast_relations", "p5_trace_nodes", "p5_file_fields"]
@@ -57,3 +59,34 @@ def _whole(text: str) -> bool:
 def test_found_reads_written_emission(spark):
     df = entry.queries()["p5_found"](spark, str(SF))
     assert df.inputFiles() and all("/by_tag/table_tag=" in f for f in df.inputFiles())
+
+
+@needs_tables
+def test_lists_and_objects_kept(spark):
+    docs = {k: json.loads(v) for k, v in latest_rows("semantic_document", "document_id", "received_at", "payload").items() if v and _whole(v)}
+    seen = Counter()
+    for name, rules in zip(TABLES[:5], ["statement", "expression", "leaf", "leaf", "leaf"]):
+        visited = {k.split("*")[0] for k, _, _ in DOCUMENT_RULES[rules]}
+        for r in entry.queries()[name](spark, str(SF)).collect():
+            have = r.asDict(recursive=True)
+            for k, v in at_path(docs[r.record_id], r.obj_path).items():
+                if isinstance(v, (dict, list)) and v and k not in visited:
+                    assert (json.loads(have[k]) if isinstance(have[k], str) else have[k]) == v, (name, r.obj_path, k)
+                    seen[name, k] += 1
+    assert seen.keys() >= {("p5_ast_relations", "to"), ("p5_ast_nodes", "fields"), ("p5_ast_nodes", "source_span"), ("p5_expressions", "source"), ("p5_expressions", "attributes"), ("p5_statements", "effects")}
+
+
+def test_payload_beside_rows(spark):
+    left = {"k": 1, "arguments": {"name": "only", "value": [{"k": 2}, 7]}}
+    expression = {"left": json.dumps(left), "right": [None, {"k": 3}], "value": [4, {"k": 5}], "arguments": [{"name": "a", "value": {"k": 6}}, {"name": "b", "value": 8}, None, {"value": {"k": 9}}], "source": {"lines": [1, 2]}, "odd": "\ud800"}
+    text = json.dumps({"root": {"expression": expression, "effects": ["x", None], "then": "no object", "statements": []}})
+    got = {r.obj_path: json.loads(r.payload) for r in flatten_json(spark.createDataFrame([(1, text, 1)], "id long, p string, at long"), "id", "p", "at").collect()}
+    at = "$.root.expression"
+    assert got == {
+        "$.root": {"effects": ["x", None], "then": "no object", "statements": []},
+        at: {"value": [4, None], "arguments": [{"name": "a"}, {"name": "b", "value": 8}, None, None], "source": {"lines": [1, 2]}, "odd": "\ud800"},
+        f"{at}.left": {"k": 1, "arguments": {"name": "only", "value": [None, 7]}},
+        f"{at}.left.arguments.value[0]": {"k": 2},
+        f"{at}.right[1]": {"k": 3}, f"{at}.value[1]": {"k": 5},
+        f"{at}.arguments[0].value": {"k": 6}, f"{at}.arguments[3].value": {"k": 9},
+    }

@@ -2,14 +2,16 @@
 
 One depth-first visit of each record emits every object once, as (table tag, primary key,
 parent key, payload). The tag names the flat table, the keys are the record id with the
-object's path, and the payload holds the object's own scalar fields as JSON text. The
-emission is written partitioned by tag, and a schema is applied per tag on reading.
+object's path, and the payload holds as JSON text all that the object's own members hold
+besides the objects below it that are rows themselves. The emission is written partitioned by tag, and a schema is applied per tag on reading.
 
 Defined results
 * a null, empty or incomplete payload gives no rows; nor does JSON that is no object;
 * nulls and non-objects inside arrays give no row, but count in the index;
 * one object where an array is usual gets a path without index;
 * text that holds a JSON object or array, where one is looked for, is read in place;
+* a member leaves the payload only if all it holds became rows; in what else stands beside
+  such objects (array members that are no objects, an argument's name) they are null or absent;
 * a key that occurs twice in one object: the last counts, as JSON parsers do;
 * a record id delivered more than once: its latest delivery is visited, ties by the greater payload;
 * extra columns of the input are ignored, so their names cannot clash; an empty table gives
@@ -93,8 +95,8 @@ def _reach(obj: dict, steps: list[str], path: str) -> Iterator[tuple[dict, str]]
         yield from _reach(x, rest, p)
 
 
-def visit(record: Any, rules: dict[str, list[tuple[str, str, str]]], top: str) -> Iterator[tuple[str, str, str, dict]]:
-    """Depth first: (tag, path, path of the nearest enclosing row, object)."""
+def visit(record: Any, rules: dict[str, list[tuple[str, str, str]]], top: str) -> Iterator[tuple[str, str, str, str, dict]]:
+    """Depth first: (tag, path, path of the nearest enclosing row, role, object)."""
     record = _opened(record)
     if not isinstance(record, dict):
         return
@@ -103,24 +105,66 @@ def visit(record: Any, rules: dict[str, list[tuple[str, str, str]]], top: str) -
     while stack:
         tag, role, path, parent, obj = stack.pop()
         if tag:
-            yield tag, path, parent, obj
+            yield tag, path, parent, role, obj
         below = [(t, r, p, path, x) for steps, r, t in compiled[role] for x, p in _reach(obj, steps, path)]
         stack.extend(reversed(below))
 
 
-def _scalars(obj: dict) -> str:
-    return json.dumps({k: v for k, v in obj.items() if not isinstance(v, (dict, list))})
+_GONE = object()
+
+
+def _taken(found: list[tuple[str, str, str]]) -> dict:
+    """The keys of a role's rules as a tree; None where the objects found are rows."""
+    tree: dict = {}
+    for key, _, _ in found:
+        *above, last = (k.rstrip("*") for k in key.split("."))
+        at = tree
+        for k in above:
+            at = at.setdefault(k, {})
+            if at is None:
+                break
+        else:
+            at[last] = None
+    return tree
+
+
+def _without(obj: dict, taken: dict | None) -> Any:
+    """What an object holds besides rows, or _GONE if that is nothing."""
+    if taken is None:
+        return _GONE
+    kept = {k: r for k, v in obj.items() if (r := _rest(v, taken[k]) if k in taken else v) is not _GONE}
+    return kept if kept or not obj else _GONE
+
+
+def _rest(v: Any, taken: dict | None) -> Any:
+    """What a member that rules visit holds besides rows, or _GONE if that is nothing."""
+    v = _opened(v)
+    if isinstance(v, dict):
+        return _without(v, taken)
+    if isinstance(v, list):
+        rest = [_without(o, taken) if isinstance(o := _opened(x), dict) else x for x in v]
+        if any(x is _GONE for x in rest):
+            rest = [None if x is _GONE else x for x in rest]
+            return rest if any(x is not None for x in rest) else _GONE
+        return rest
+    return v
+
+
+def _payload(obj: dict, taken: dict) -> str:
+    own = _without(obj, taken)
+    return json.dumps({} if own is _GONE else own, separators=(",", ":"))
 
 
 def _emitter(rules: dict, top: str, payload: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 20000))
+        taken = {role: _taken(found) for role, found in rules.items()}
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
             for rid, text in zip(b.column(0).to_pylist(), b.column(1)):
                 t = text.as_py()
-                for tag, path, parent, obj in visit(_loads(t) if t else None, rules, top):
-                    for c, v in zip(cols, (tag, rid, path, parent, _scalars(obj) if payload else None)):
+                for tag, path, parent, role, obj in visit(_loads(t) if t else None, rules, top):
+                    for c, v in zip(cols, (tag, rid, path, parent, _payload(obj, taken[role]) if payload else None)):
                         c.append(v)
                 if len(cols[0]) > 50_000:
                     yield _batch(cols)
