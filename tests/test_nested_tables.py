@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
-from weftline.operators.nested import DOCUMENT_RULES, flatten_json
+from weftline.operators.nested import DOCUMENT_RULES, flatten_json, write_tagged
 
 SF = Path("/root/testdata/sf0.001")
 TABLES = ["p5_statements", "p5_expressions", "p5_ast_nodes", "p5_ast_relations", "p5_trace_nodes", "p5_file_fields"]
@@ -90,3 +90,17 @@ def test_payload_beside_rows(spark):
         f"{at}.right[1]": {"k": 3}, f"{at}.value[1]": {"k": 5},
         f"{at}.arguments[0].value": {"k": 6}, f"{at}.arguments[3].value": {"k": 9},
     }
+
+
+def test_beyond_interpreter_limits(spark):
+    deep = '{"root": {"kind": "deep", "attributes": ' + '[{"a": ' * 20_000 + "1" + "}]" * 20_000 + ', "then": {"id": 7}}}'
+    chain = '{"root": ' + '{"then": ' * 2_000 + '{"effects": ' + "[" * 12_000 + "]" * 12_000 + "}" + "}" * 2_000 + "}"
+    digits = "9" * 5_000
+    number = '{"root": {"kind": "long", "attributes": ' + digits + "}}"
+    rows = [(1, deep, 1), (2, deep[:-1], 1), (3, chain, 1), (4, number, 1)]
+    emitted = flatten_json(spark.createDataFrame(rows, "id long, p string, at long"), "id", "p", "at").localCheckpoint()
+    got = emitted.groupBy("record_id").count().collect()
+    assert {r.record_id: r["count"] for r in got} == {1: 2, 3: 2_001, 4: 1}
+    table = {(r.record_id, r.obj_path): r for r in write_tagged(spark, emitted, {"statement": "id int, kind string, attributes string"})["statement"].filter("record_id != 3").collect()}
+    assert table[1, "$.root"].kind == "deep" and table[1, "$.root.then"].id == 7 and table[4, "$.root"].kind == "long"
+    assert table[4, "$.root"].attributes == digits and table[1, "$.root"].attributes == '[{"a":' * 20_000 + "1" + "}]" * 20_000

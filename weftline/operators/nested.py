@@ -15,15 +15,18 @@ Defined results
 * a key that occurs twice in one object: the last counts, as JSON parsers do;
 * a record id delivered more than once: its latest delivery is visited, ties by the greater payload;
 * extra columns of the input are ignored, so their names cannot clash; an empty table gives
-  an empty result. Nesting depth is limited by the visitor's own stack on the heap, not by
-  the interpreter's recursion.
+  an empty result. Depth is limited by stacks on the heap, not by the interpreter's recursion,
+  in parsing, visiting and writing payloads (a member deeper than 900 is held there as JSON
+  text); whole numbers may have any number of digits.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Callable, Iterable, Iterator
+from json.decoder import scanstring
 from typing import Any
 
 import pyarrow as pa
@@ -55,14 +58,105 @@ DOCUMENT_RULES: dict[str, list[tuple[str, str, str]]] = {
 }
 
 
+_GONE = object()
+
+
 def _loads(text: str) -> Any:
     """The JSON value of a whole text, or None if it is broken."""
     try:
         return json.loads(text)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        return _deep_loads(text)
+    except ValueError:
+        return None
+
+
+_BLANK = re.compile(r"[ \t\n\r]*")
+_PLAIN = json.JSONDecoder().scan_once
+
+
+def _deep_loads(text: str) -> Any:
+    """As ``_loads``, with open arrays and objects on a list instead of the interpreter's stack."""
+
+    def skip(i: int) -> int:
+        return _BLANK.match(text, i).end()
+
+    def key(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError("no key")
+        k, i = scanstring(text, i + 1, True)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("no colon")
+        return k, skip(i + 1)
+
+    above: list[tuple[Any, Any]] = []  # open arrays and objects with the key that is being read
+    try:
+        i = skip(0)
+        while True:
+            c = text[i : i + 1]
+            if c in ("[", "{"):
+                v: Any = [] if c == "[" else {}
+                i = skip(i + 1)
+                if text[i : i + 1] != ("]" if c == "[" else "}"):
+                    k = None
+                    if c == "{":
+                        k, i = key(i)
+                    above.append((v, k))
+                    continue
+                i += 1
+            else:
+                v, i = _PLAIN(text, i)
+            while above:  # v is whole
+                into, k = above[-1]
+                if k is None:
+                    into.append(v)
+                else:
+                    into[k] = v
+                i = skip(i)
+                c = text[i : i + 1]
+                if c == ",":
+                    i = skip(i + 1)
+                    if k is not None:
+                        k, i = key(i)
+                        above[-1] = (into, k)
+                    break
+                if c != ("]" if k is None else "}"):
+                    return None
+                v = above.pop()[0]
+                i += 1
+            else:
+                return v if skip(i) == len(text) else None
+    except (ValueError, StopIteration):
         return None
 
 
+def _dumps(v: Any) -> str:
+    """The JSON text of a value of any depth."""
+    try:
+        return json.dumps(v, separators=(",", ":"))
+    except RecursionError:
+        return _deep_dumps(v)
+
+
+def _deep_dumps(v: Any) -> str:
+    out: list[str] = []
+    todo: list[tuple[str, Any]] = [("", v)]  # text to write, then a value or nothing
+    while todo:
+        before, x = todo.pop()
+        out.append(before)
+        if x is _GONE:
+            continue
+        if not isinstance(x, (dict, list)):
+            out.append(json.dumps(x))
+            continue
+        pairs = [(json.dumps(k) + ":", y) for k, y in x.items()] if isinstance(x, dict) else [("", y) for y in x]
+        out.append("{" if isinstance(x, dict) else "[")
+        todo.append(("}" if isinstance(x, dict) else "]", _GONE))
+        todo.extend(("," * (i > 0) + k, y) for i, (k, y) in reversed(list(enumerate(pairs))))
+    return "".join(out)
+
+
 def _opened(v: Any) -> Any:
     """Text that holds a JSON object or array is read in place."""
     if isinstance(v, str) and v.lstrip()[:1] in ("{", "["):
@@ -110,9 +204,6 @@ def visit(record: Any, rules: dict[str, list[tuple[str, str, str]]], top: str) -
         stack.extend(reversed(below))
 
 
-_GONE = object()
-
-
 def _taken(found: list[tuple[str, str, str]]) -> dict:
     """The keys of a role's rules as a tree; None where the objects found are rows."""
     tree: dict = {}
@@ -150,25 +241,45 @@ def _rest(v: Any, taken: dict | None) -> Any:
     return v
 
 
+#: The JSON writer behind text columns stops at a depth of 1,000, so deeper members are text in the payload.
+_DEEP = 900
+
+
+def _deeper(v: Any, most: int) -> bool:
+    level = [v]
+    for _ in range(most + 1):
+        level = [y for x in level if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]
+        if not level:
+            return False
+    return True
+
+
 def _payload(obj: dict, taken: dict) -> str:
     own = _without(obj, taken)
-    return json.dumps({} if own is _GONE else own, separators=(",", ":"))
+    own = {} if own is _GONE else own
+    text = _dumps(own)
+    if text.count("[") + text.count("{") > _DEEP:
+        text = _dumps({k: _dumps(v) if _deeper(v, _DEEP) else v for k, v in own.items()})
+    return text
 
 
 def _emitter(rules: dict, top: str, payload: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20000))
+        sys.set_int_max_str_digits(0)
         taken = {role: _taken(found) for role, found in rules.items()}
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
+            size = 0
             for rid, text in zip(b.column(0).to_pylist(), b.column(1)):
                 t = text.as_py()
                 for tag, path, parent, role, obj in visit(_loads(t) if t else None, rules, top):
-                    for c, v in zip(cols, (tag, rid, path, parent, _payload(obj, taken[role]) if payload else None)):
+                    row = (tag, rid, path, parent, _payload(obj, taken[role]) if payload else None)
+                    for c, v in zip(cols, row):
                         c.append(v)
-                if len(cols[0]) > 50_000:
-                    yield _batch(cols)
-                    cols = [[], [], [], [], []]
+                    size += 64 + len(path) + len(parent) + len(row[4] or "")
+                    if size > 32_000_000:
+                        yield _batch(cols)
+                        cols, size = [[], [], [], [], []], 0
             yield _batch(cols)
 
     return run
@@ -205,6 +316,10 @@ def flatten_structs(df: DataFrame, record_id: str, member: str, at: str, tag: st
     )
 
 
+#: The JSON reader's own bounds on depth and lengths would make a whole row null.
+_NO_LIMITS = {k: str(2**31 - 1) for k in ("maxNestingDepth", "maxNumLen", "maxStringLen")}
+
+
 def stage_tagged(spark: SparkSession, emitted: DataFrame) -> DataFrame:
     """Write the emission once, partitioned by tag, and read it back."""
     path = f"{Staging(spark, 'tagged').root}/by_tag"
@@ -215,7 +330,7 @@ def stage_tagged(spark: SparkSession, emitted: DataFrame) -> DataFrame:
 def tagged_table(staged: DataFrame, tag: str, ddl: str) -> DataFrame:
     """One tag's table of a staged emission under its schema; a member missing in an object is null."""
     rows = staged.filter(F.col("table_tag") == tag)
-    return rows.select("record_id", "obj_path", "parent_path", F.from_json("payload", ddl).alias("o")).select("record_id", "obj_path", "parent_path", "o.*")
+    return rows.select("record_id", "obj_path", "parent_path", F.from_json("payload", ddl, _NO_LIMITS).alias("o")).select("record_id", "obj_path", "parent_path", "o.*")
 
 
 def write_tagged(spark: SparkSession, emitted: DataFrame, schemas: dict[str, str]) -> dict[str, DataFrame]:
