@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
-from weftline.operators.nested import DOCUMENT_RULES, flatten_json, write_tagged
+from weftline.operators.nested import DOCUMENT_RULES, flatten_json, flatten_structs, write_tagged
 
 SF = Path("/root/testdata/sf0.001")
 TABLES = ["p5_statements", "p5_expressions", "p5_ast_nodes", "p5_ast_relations", "p5_trace_nodes", "p5_file_fields"]
@@ -104,3 +104,9 @@ def test_beyond_interpreter_limits(spark):
     table = {(r.record_id, r.obj_path): r for r in write_tagged(spark, emitted, {"statement": "id int, kind string, attributes string"})["statement"].filter("record_id != 3").collect()}
     assert table[1, "$.root"].kind == "deep" and table[1, "$.root.then"].id == 7 and table[4, "$.root"].kind == "long"
     assert table[4, "$.root"].attributes == digits and table[1, "$.root"].attributes == '[{"a":' * 20_000 + "1" + "}]" * 20_000
+
+
+def test_structs_without_time(spark):
+    rows = [(1, [("a",)], None), (1, [("b",)], None), (2, [("old",)], None), (2, [("new",)], 1), (3, [("c",)], 1), (3, None, 2)]
+    df = spark.createDataFrame(rows, "id long, files array<struct<x:string>>, at long")
+    assert {(r.record_id, r.payload) for r in flatten_structs(df, "id", "files", "at", "file").collect()} == {(1, '{"x":"b"}'), (2, '{"x":"new"}')}

@@ -305,8 +305,8 @@ def flatten_json(df: DataFrame, record_id: str, payload: str, at: str, rules: di
 
 def flatten_structs(df: DataFrame, record_id: str, member: str, at: str, tag: str) -> DataFrame:
     """The same emission for an array-of-struct column; stays in the JVM."""
-    one = df.filter(F.col(record_id).isNotNull()).groupBy(record_id).agg(F.max_by(F.col(member), F.col(at)).alias("__m"))
-    x = one.select(F.col(record_id).cast("bigint").alias("record_id"), F.posexplode("__m").alias("__i", "__o")).filter(F.col("__o").isNotNull())
+    one = latest(df.filter(F.col(record_id).isNotNull()), record_id, at, member)
+    x = one.select(F.col(record_id).cast("bigint").alias("record_id"), F.posexplode(member).alias("__i", "__o")).filter(F.col("__o").isNotNull())
     return x.select(
         F.lit(tag).alias("table_tag"),
         "record_id",
