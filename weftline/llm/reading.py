@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -75,9 +75,8 @@ def prose_text(text: str, notices: frozenset[str] = frozenset()) -> str:
             units.append(u if u[-1:] in (".", "!", "?") else u + " .")
             lines.clear()
 
-    longest = max(map(len, notices), default=0)
     for p in split_paragraphs(text):
-        if not fenced and len(p) <= 2 * longest and paragraph_key(p) in notices:
+        if notices and not fenced and paragraph_key(p) in notices:
             continue
         for line in p.split("\n"):
             if "`" in line:
@@ -252,29 +251,50 @@ def edge_paragraphs(text: str) -> list[str]:
     return [p[0], p[-1]] if len(p) > 1 else []
 
 
+def _key_hash(key: str) -> bytes:
+    return xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass"))
+
+
 def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys, texts = [], []
         for t in b.column(0):
             t = t.as_py()
             h = xxhash.xxh3_64_intdigest(t) - 2**63
-            for k in {paragraph_key(p) for p in edge_paragraphs(t) if len(p) <= NOTICE_LENGTH}:
+            for k in {_key_hash(paragraph_key(p)) for p in edge_paragraphs(t)}:
                 keys.append(k)
                 texts.append(h)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(texts, pa.int64())], ["para", "text_hash"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.int64())], ["para", "text_hash"])
+
 
+def _wording(wanted: frozenset[bytes]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The keys whose hashes are wanted, each once per partition."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = set(wanted)
+        for b in batches:
+            found = []
+            for t in b.column(0) if left else ():
+                for k in map(paragraph_key, edge_paragraphs(t.as_py())):
+                    if (h := _key_hash(k)) in left:
+                        left.discard(h)
+                        found.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["para"])
 
-NOTICE_LENGTH = 2000
+    return run
 
 
 def find_notices(docs: DataFrame, text: str, share: float = 0.005, least: int = 5) -> frozenset[str]:
     """First or last paragraphs that stand in at least ``share`` of the different texts: at most 2 / share of them."""
     some = docs.filter(F.col(text).isNotNull()).select(text)
-    seen = some.mapInArrow(_edges, "para string, text_hash bigint")
-    n = some.select(F.approx_count_distinct(F.xxhash64(text), 0.02)).first()[0]
-    # Counted by hash first; the wording travels once per partition.
+    seen = some.mapInArrow(_edges, "para binary, text_hash bigint")
+    n = some.select(F.xxhash64(text).alias("h")).distinct().count()
+    # Counted by hash of the whole paragraph; only the wording of the few found travels.
     found = seen.groupBy("para", "text_hash").agg(F.lit(1).alias("one")).groupBy("para").count().filter(F.col("count") >= max(least, share * n))
-    return frozenset(r["para"] for r in found.collect())
+    wanted = frozenset(bytes(r["para"]) for r in found.collect())
+    if not wanted:
+        return frozenset()
+    return frozenset(r["para"] for r in some.mapInArrow(_wording(wanted), "para string").distinct().collect())
 
 
 LEVELS = "n_words int, is_english boolean, score double, level double"
