@@ -291,6 +291,14 @@ def concept_closure(spark: SparkSession, d: str) -> DataFrame:
     return X.concept_closure(table(spark, d, "part").filter("p_retailprice > 995"), "p_brand", "p_size")
 
 
+@q("""WITH p AS (SELECT DISTINCT lang_id AS o, package_name AS a FROM semantic_package_file WHERE package_name IS NOT NULL AND lang_id IS NOT NULL), n AS (SELECT a, count(*) AS extent_size FROM p GROUP BY 1),
+      c AS (SELECT x.a, y.a AS b, n.extent_size FROM p x JOIN p y ON x.o = y.o JOIN n ON n.a = x.a GROUP BY 1, 2, 3 HAVING count(*) = n.extent_size)
+      SELECT a, extent_size, string_agg(b, ';' ORDER BY b) AS intent FROM c GROUP BY 1, 2""")
+def concept_closure_packages(spark: SparkSession, d: str) -> DataFrame:
+    """Per package, the packages found in all of its languages, over the whole table."""
+    return X.concept_closure(table(spark, d, "semantic_package_file").filter("package_name IS NOT NULL AND lang_id IS NOT NULL"), "lang_id", "package_name")
+
+
 @q()
 def greedy_cover(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers chosen greedily until every part type and brand is covered."""

@@ -122,6 +122,14 @@ def vector_equal_or_subset(spark: SparkSession, d: str) -> DataFrame:
     return R.vector_relations(table(spark, d, "part").filter("p_retailprice > 998").select(F.col("p_size").alias("v"), F.col("p_brand").alias("brand")), "v", "brand")
 
 
+@q("""WITH p AS (SELECT DISTINCT package_name AS v, lang_id AS b FROM semantic_package_file WHERE package_name IS NOT NULL AND lang_id IS NOT NULL), n AS (SELECT v, count(*) AS n FROM p GROUP BY 1),
+      j AS (SELECT x.v AS a, y.v AS b, count(*) AS n_both FROM p x JOIN p y ON x.b = y.b AND x.v < y.v GROUP BY 1, 2)
+      SELECT a, b, n_both, CASE WHEN n_both = na.n AND na.n = nb.n THEN 'EXACT' ELSE 'IMPLICATION' END AS relation FROM j JOIN n na ON na.v = a JOIN n nb ON nb.v = b WHERE n_both = least(na.n, nb.n)""")
+def vector_relations_packages(spark: SparkSession, d: str) -> DataFrame:
+    """Packages whose languages equal or include another's, over the whole table."""
+    return R.vector_relations(table(spark, d, "semantic_package_file").filter("package_name IS NOT NULL AND lang_id IS NOT NULL"), "package_name", "lang_id")
+
+
 @q("""SELECT doc_id, band FROM documents JOIN (VALUES (0, 500, 'short'), (500, 2000, 'medium'), (2000, 10000, 'long'), (10000, 10000000, 'huge')) AS b(lo, hi, band) ON n_chars >= lo AND n_chars < hi""")
 def range_containment(spark: SparkSession, d: str) -> DataFrame:
     bands = spark.createDataFrame([(0, 500, "short"), (500, 2000, "medium"), (2000, 10000, "long"), (10000, 10000000, "huge")], "lo long, hi long, band string")
