@@ -102,6 +102,16 @@ def walk_counts(spark: SparkSession, d: str) -> DataFrame:
     return R.lag_changes(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderpriority").groupBy("previous", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
+@q("""WITH a AS (SELECT c_nationkey AS i, s_nationkey AS j, count(*) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey IS NOT NULL AND s_nationkey IS NOT NULL GROUP BY 1, 2)
+      SELECT x.i, y.j, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM a x JOIN a y ON x.j = y.i GROUP BY 1, 2""")
+def two_hop_walk_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Walks of two purchases between nations of customers and suppliers, diagonal included."""
+    x = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = x.filter("c_nationkey IS NOT NULL AND s_nationkey IS NOT NULL").groupBy(F.col("c_nationkey").alias("i"), F.col("s_nationkey").alias("j")).agg(F.count(F.lit(1)).alias("v"))
+    a = Staging(spark, "walks").put(edges)
+    return M.multiply(a, a)
+
+
 SUPPORT = """need AS (SELECT DISTINCT proof_class AS need, semantic_feature AS feature FROM frontend_compiler_m_lang WHERE proof_class IS NOT NULL AND semantic_feature IS NOT NULL),
       sup AS (SELECT lang_name AS target, semantic_feature AS feature, CASE WHEN bool_or(evidence_state = 'SEEN') THEN true WHEN bool_or(evidence_state = 'ABSENT') THEN false END AS supported FROM frontend_compiler_m_lang WHERE lang_name IS NOT NULL GROUP BY 1, 2),
       t AS (SELECT DISTINCT target FROM sup), g AS (SELECT need, target, feature, supported FROM need CROSS JOIN t LEFT JOIN sup USING (target, feature))"""
