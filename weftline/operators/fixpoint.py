@@ -127,6 +127,14 @@ def horn_closure(rules: DataFrame, facts: DataFrame) -> DataFrame:
     raise RuntimeError("horn: no fixpoint")
 
 
+def horn_blocked(rules: DataFrame, known: DataFrame) -> DataFrame:
+    """(rule, fact, reason) per missing body of each rule whose head is not in ``known``, the closure of ``horn_closure``."""
+    k = known.select("fact")
+    open_ = rules.filter("body IS NOT NULL").select("rule", F.col("head").alias("fact"), "body").distinct().join(k, "fact", "left_anti")
+    missing = open_.join(k.withColumnRenamed("fact", "body"), "body", "left_anti")
+    return missing.select("rule", "fact", F.concat(F.lit("missing dependency: "), F.col("body").cast("string")).alias("reason"))
+
+
 def refine(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
     """(node, class_id): coarsest partition by label in which equal nodes have equal ordered child classes.
 
