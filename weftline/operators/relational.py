@@ -113,6 +113,23 @@ def compare_status(left: DataFrame, right: DataFrame, keys: Sequence[str], value
     return x.select(*keys, c.alias("comparison"))
 
 
+def pairs_within(df: DataFrame, keys: Sequence[str], item: str, block: int = 4096) -> DataFrame:
+    """(keys, item_a, item_b): every pair of a group's different items once, item_a < item_b.
+
+    A group of more than ``block`` rows is cut into blocks by hash and its pairs into pairs of blocks, so that
+    no task holds more than two blocks of a group. Nulls make no group and no item; repeated items count once.
+    """
+    have = reduce(lambda a, c: a & F.col(c).isNotNull(), [*keys, item], F.lit(True))
+    one = df.filter(have).select(*keys, item).distinct()
+    size = one.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__parts"), F.count(F.lit(1)).alias("__k")).filter("__k > 1").drop("__k")
+    x = one.join(size, list(keys)).withColumn("__at", F.pmod(F.xxhash64(item), "__parts").cast("int"))
+    a = x.select(*keys, F.col(item).alias(f"{item}_a"), F.col("__at").alias("__p"), F.explode(F.sequence("__at", F.col("__parts") - 1)).alias("__q"))
+    b = x.select(*keys, F.col(item).alias(f"{item}_b"), F.explode(F.sequence(F.lit(0), "__at")).alias("__p"), F.col("__at").alias("__q"))
+    left, right = F.col(f"{item}_a"), F.col(f"{item}_b")
+    hit = a.join(b, [*keys, "__p", "__q"]).filter((F.col("__p") < F.col("__q")) | (left < right))
+    return hit.select(*keys, F.least(left, right).alias(f"{item}_a"), F.greatest(left, right).alias(f"{item}_b"))
+
+
 def two_hop(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(src, mid, dst) of two edges that do not lead back."""
     a = edges.select(F.col(src).alias("src"), F.col(dst).alias("mid")).distinct()

@@ -13,10 +13,13 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
@@ -68,6 +71,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Writes inside drop the shuffle files of their plan once they are done, as only their result is read again."""
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
+
+
 class Staging:
     """Tables of one run of an operator: written once, read back, dropped when superseded."""
 
@@ -81,7 +95,8 @@ class Staging:
         """Write ``df`` and read it back: later steps do not run it again."""
         self._n += 1
         path = f"{self.root}/t{self._n}"
-        df.write.parquet(path)
+        with tidy_shuffles(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_at = path
         return out
