@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from weftline.llm.reading import Reader, edge_paragraphs, find_notices, fit_ranker, isotonic, paragraph_key, prose_text, read_levels, tokens_of, _Spelled
+from weftline.llm.reading import _Spelled, Reader, edge_paragraphs, find_notices, fit_ranker, isotonic, paragraph_key, prose_text, read_levels, tokens_of, _Spelled
 
 EASY = "the cat sits on a mat . we see the dog . it runs to the red box . you can read it".split(" . ")
 HARD = ["the interoperability of each representation necessitates conservative reconciliation, notwithstanding that the specification deliberately underdetermines its normalisation", "an exhaustive enumeration of every dependency circumscribes the compositionality, insofar as its approximation presupposes parameterisation"]
@@ -62,3 +62,15 @@ def test_documents(spark):
 
 def test_edges():
     assert edge_paragraphs("a\r\n\r\nb\n \nc") == ["a", "c"] and edge_paragraphs("one") == []
+
+
+def test_level_does_not_depend_on_what_was_read_before(monkeypatch):
+    """A memory of spellings of three pieces gives the same tokens as one without bound, also within one text."""
+    r = random.Random(8)
+    texts = [text_of(lv, r) + " We compare the Specification with Interoperability and Compilers here." for lv in (1, 3, 5, 2)]
+    m = Reader(graded(1))
+    alone = [m.read(t) for t in texts]
+    monkeypatch.setattr(_Spelled, "MOST", 3)
+    one = _Spelled()
+    assert [m.read(t, spelled=one) for t in texts] == alone
+    assert [m.read(t, spelled=one) for t in reversed(texts)] == alone[::-1]

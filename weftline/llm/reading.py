@@ -102,7 +102,8 @@ def prose_text(text: str, notices: frozenset[str] = frozenset()) -> str:
 class _Spelled(dict):
     """Pieces between blanks -> their tokens in lower case; a name of code leaves only its closing mark.
 
-    A memory of spellings, emptied when it grows past ``MOST`` so that it stays small whatever it reads.
+    A memory of spellings. ``tidy`` empties it between texts when it has grown past ``MOST``; what a spelling
+    gives never depends on what was read before.
     """
 
     MOST = 400_000
@@ -111,10 +112,12 @@ class _Spelled(dict):
         super().__init__()
         self.capital: set[str] = set()
 
-    def __missing__(self, piece: str) -> list[str]:
+    def tidy(self) -> None:
         if len(self) > self.MOST:
             self.clear()
             self.capital.clear()
+
+    def __missing__(self, piece: str) -> list[str]:
         word = piece.strip("\"'()[]")
         if CODE_NAME.search(word):
             got = [word[-1]] if word[-1] in ".!?;,:" else []
@@ -231,7 +234,9 @@ class Reader:
 
     def read(self, text: str | None, notices: frozenset[str] = frozenset(), spelled: _Spelled | None = None) -> tuple[int, bool, float | None, float | None]:
         """Prose words, whether the prose is English, score and level."""
-        tokens = tokens_of(prose_text(text, notices), _Spelled() if spelled is None else spelled) if text else []
+        spelled = _Spelled() if spelled is None else spelled
+        spelled.tidy()
+        tokens = tokens_of(prose_text(text, notices), spelled) if text else []
         n, v = measure(tokens, self.grades)
         if not n:
             return 0, False, None, None
