@@ -60,3 +60,17 @@ def test_empty_and_bad_capacity(spark):
     assert run(spark, [], [(1, 10, 0)])[0].collect() == []
     with pytest.raises(ValueError, match="positive"):
         run(spark, [1], [(1, 0, 0)])
+
+
+def test_containers_do_not_depend_on_the_session(spark):
+    """The same items give the same containers under 4 and 200 shuffle partitions."""
+    r = random.Random(3)
+    sizes = [int(r.lognormvariate(4, 1)) for _ in range(2000)]
+    found = []
+    for parts in ("4", "200"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        out, _ = run(spark, sizes, [(1, 256, 1)])
+        found.append({(x["item"], x.piece, x.container_id, x.slot) for x in out.collect()})
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]

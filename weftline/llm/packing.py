@@ -29,9 +29,10 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import Staging
+from weftline.session import Staging, parts_for
 
 STEPS = 256
+ROWS_PER_SLICE = 50_000
 COARSE_FROM = 24  # classes with more items per bin than this are reciprocal classes only
 
 
@@ -86,7 +87,8 @@ PACKED = "pack_id int, container_id bigint, slot int, item bigint, piece int, pi
 def pack(items: DataFrame, item_id: str, size: str, spec: DataFrame, *, pack_id: str, capacity: str, joint: str, slices: int | None = None) -> DataFrame:
     """(pack_id, container_id, slot, item, piece, piece_tokens) for every item under every row of ``spec``.
 
-    ``spec`` is collected: one row per kind of container, a bounded table.
+    ``spec`` is collected: one row per kind of container, a bounded table. Items are ranked in ``slices`` by hash;
+    their number follows from the number of items alone, so the same items give the same containers on any cluster.
     """
     spark = items.sparkSession
     rows = spec.select(F.col(pack_id).cast("int"), F.col(capacity).cast("bigint"), F.coalesce(F.col(joint).cast("bigint"), F.lit(0))).distinct().collect()
@@ -95,7 +97,7 @@ def pack(items: DataFrame, item_id: str, size: str, spec: DataFrame, *, pack_id:
     rooms = {r[0]: (r[1] + r[2], upper_bounds(r[1] + r[2])) for r in rows}
     if not rows:
         return spark.createDataFrame([], PACKED)
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = slices or parts_for(items.count(), ROWS_PER_SLICE)
     st = Staging(spark, "pack")
     cut = pieces(items, item_id, size, [tuple(r) for r in rows])
     bound_rows = spark.createDataFrame([(p, b, b2) for p, (_, bs) in rooms.items() for b, b2 in zip([0, *bs], bs)], "pack_id int, above bigint, bound bigint")
