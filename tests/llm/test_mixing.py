@@ -52,3 +52,16 @@ def test_one_source_takes_all(spark):
 def test_names(spark):
     df = spark.createDataFrame([(" Design-Notes\t",), ("DESIGN  notes",), (" ",), (None,)], "s string").select(source_key(F.col("s")))
     assert [r[0] for r in df.collect()] == ["design_notes", "design_notes", None, None]
+
+
+def test_small_source_is_repeated_until_no_text_fits(spark):
+    """Four texts of which each may be used five times meet their goal but for less than the least usable text."""
+    few = [(1, "few", "f1", 5202), (2, "few", "f2", 4400), (3, "few", "f3", 1111), (4, "few", "f4", 1073)]
+    many = [(100 + i, "many", f"m{i}", 40 + i % 17) for i in range(2000)]
+    m = setup(spark, few + many, [(1, "few", 0.3, 5), (1, "many", 0.7, 1)])
+    rows = m.copies().collect()
+    goal = m.goal[1, "few"]
+    got = sum(x.n_tokens * x.copies for x in rows if x.source_key == "few")
+    open_ = [n for i, _, _, n in few if sum(x.copies for x in rows if x.doc_id == i) < 5]
+    assert 0 <= goal - got < min(open_, default=1) + 1
+    assert max(x.copies for x in rows if x.source_key == "few") <= 5

@@ -14,8 +14,8 @@ number of repeats allowed. The convex dual has one multiplier per mix and source
 3. Newton iterations, safeguarded by bisection, run over the histogram (source, tokens of a text):
    each is one distributed aggregation that returns one row per mix and source.
 4. Rates become copies: the whole part, and one more for the texts whose hash lies below their
-   fraction plus a shift; two passes of bucketed sums set the shift, and up to four single texts
-   close what is missing.
+   fraction plus a shift; two passes of bucketed sums set the shift, and further uses of texts that
+   may still be repeated close what is missing, until none fits.
 
 Defined results
 * names are compared without case, outer blanks, and with blanks and hyphens as underscores;
@@ -29,7 +29,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.session import Staging
@@ -119,7 +119,7 @@ class Mixer:
         rate = F.when(z >= F.log("most"), F.col("most")).otherwise(F.exp(F.least(z, F.log("most"))))
         x = x.withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("int"))
         v = _hash_unit(F.col("text_hash"), F.col("mix_id")) - (F.col("rate") - F.col("whole"))
-        x = self.st.put(x.withColumn("v", F.when(F.col("whole") < F.col("most"), v)).select("mix_id", "source_key", "doc_id", "n_tokens", "rate", "whole", "v"))
+        x = self.st.put(x.withColumn("v", F.when(F.col("whole") < F.col("most"), v)).select("mix_id", "source_key", "doc_id", "n_tokens", "rate", "whole", "v", F.col("most").cast("int").alias("most")))
         base = {(r[0], r[1]): r[2] for r in x.groupBy("mix_id", "source_key").agg(F.sum(F.col("n_tokens") * F.col("whole"))).collect()}
         span = dict.fromkeys(base, (-1.0, 1.0))
         below = dict(base)
@@ -141,27 +141,45 @@ class Mixer:
                 span[k] = (stop, stop + edge)
         cut = self._frame([(*k, s[0]) for k, s in span.items()], "cut double")
         y = x.join(cut, ["mix_id", "source_key"])
-        late = self._fill(y.filter(F.col("v") >= F.col("cut")), below)
-        y = y.join(self._frame(late, "doc_id bigint, more int"), ["mix_id", "source_key", "doc_id"], "left")
-        n = (F.col("whole") + F.when(F.col("v") < F.col("cut"), 1).otherwise(0) + F.coalesce("more", F.lit(0))).alias("copies")
+        uses = F.col("whole") + F.when(F.col("v") < F.col("cut"), 1).otherwise(0)
+        y = y.withColumn("uses", uses).withColumn("spare", F.col("most") - F.col("uses"))
+        y = y.join(self._frame(self._fill(y.filter("spare > 0"), below), "doc_id bigint, more int"), ["mix_id", "source_key", "doc_id"], "left")
+        n = (F.col("uses") + F.coalesce("more", F.lit(0))).alias("copies")
         return y.select("mix_id", "source_key", "doc_id", "n_tokens", "rate", n).filter("copies > 0")
 
     def _fill(self, spare: DataFrame, below: dict[tuple[int, str], int]) -> list[tuple[int, str, int, int]]:
-        """Close what is still missing: up to four times the largest unused text that fits, per mix and source."""
+        """Further uses (mix, source, document, how many) that close what is still missing: the largest texts that
+        fit first, each as often as it may still be used, until no usable text fits.
+
+        What is missing is less than one bucket of texts, so only sizes up to that come to the driver: a row per
+        mix, source and size, then as many documents as the chosen sizes need.
+        """
+        gap = {k: int(self.goal[k] - b) for k, b in below.items() if k in self.goal and self.goal[k] - b >= 1}
+        if not gap:
+            return []
+        small = spare.join(self._frame([(*k, v) for k, v in gap.items()], "gap bigint"), ["mix_id", "source_key"]).filter(F.col("n_tokens") <= F.col("gap"))
+        sizes: dict[tuple[int, str], list[tuple[int, int]]] = {}
+        for r in small.groupBy("mix_id", "source_key", "n_tokens").agg(F.sum("spare").alias("k")).collect():
+            sizes.setdefault((r[0], r[1]), []).append((r[2], r[3]))
+        want: dict[tuple[int, str, int], int] = {}
+        for k, found in sizes.items():
+            left = gap[k]
+            for size, most in sorted(found, reverse=True):
+                if n := min(most, left // size):
+                    want[(*k, size)] = n
+                    left -= n * size
+        if not want:
+            return []
+        need = self._frame([(*k, n) for k, n in want.items()], "n_tokens bigint, need int")
+        w = Window.partitionBy("mix_id", "source_key", "n_tokens").orderBy("doc_id")
+        # As many documents of a size as uses are needed are enough, so groups are cut before they are shuffled.
+        first = small.join(need, ["mix_id", "source_key", "n_tokens"]).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.lit(max(want.values())))
         late: list[tuple[int, str, int, int]] = []
-        for _ in range(4):
-            gap = [(*k, int(self.goal[k] - b)) for k, b in below.items() if k in self.goal and self.goal[k] - b >= 1]
-            if not gap:
-                break
-            x = spare.join(self._frame(gap, "gap bigint"), ["mix_id", "source_key"]).filter(F.col("n_tokens") <= F.col("gap"))
-            if late:
-                x = x.join(self._frame(late, "doc_id bigint, more int"), ["mix_id", "source_key", "doc_id"], "left_anti")
-            best = x.groupBy("mix_id", "source_key").agg(F.max(F.struct("n_tokens", "doc_id")).alias("b")).collect()
-            for r in best:
-                late.append((r[0], r[1], r[2]["doc_id"], 1))
-                below[r[0], r[1]] += r[2]["n_tokens"]
-            if not best:
-                break
+        for r in first.select("mix_id", "source_key", "n_tokens", "doc_id", "spare").orderBy("mix_id", "source_key", "n_tokens", "doc_id").collect():
+            k = (r[0], r[1], r[2])
+            if n := min(want[k], r[4]):
+                late.append((r[0], r[1], r[3], n))
+                want[k] -= n
         return late
 
     def report(self, copies: DataFrame) -> DataFrame:
