@@ -90,3 +90,14 @@ def test_spellings_repeats_nulls_and_extra_columns(spark):
 def test_empty(spark):
     e = spark.createDataFrame([], "grp long, node long, parent long")
     assert build_hierarchy(e).collect() == [] and paths(build_hierarchy(e)).collect() == []
+
+
+@pytest.mark.parametrize("block", [500_000, 3])
+def test_any_id(spark, block):
+    """Blocks and joins agree on ids up to the ends of 64 bits."""
+    big = [2**63 - 1, -(2**63), 2**62, -(2**62), 0, -1]
+    rows = [(1, big[0], None), *((1, v, u) for u, v in zip(big, big[1:])), (1, 5, 6), (1, 6, 5), (1, 7, 5), (1, 8, 999)]
+    h = build_hierarchy(spark.createDataFrame(rows, "grp long, node long, parent long"), block).collect()
+    got = {r.node: (r.parent, r.root, r.depth) for r in h}
+    want = {v: (big[k - 1] if k else None, big[0], k) for k, v in enumerate(big)}
+    assert got == want | {5: (6, -1, -1), 6: (5, -1, -1), 7: (5, -1, -2), 8: (None, 8, 0)}

@@ -21,7 +21,7 @@ Defined results
 * a node whose parent is null, no number, or names no node of its group is a root of depth 0;
 * a node that names itself is a cycle of length one: root -1, depth -1;
 * root -1 with depth -1 on a cycle, root -1 with depth -2 where only an ancestor lies on one;
-* a null or unreadable node or group id is no node; siblings are ordered by node id;
+* a null or unreadable node or group id is no node; siblings are ordered by node id, which may be any 64-bit number;
 * repeated deliveries: the latest counts, ties by the greater parent (null least);
 * an empty table gives an empty result; extra columns are ignored.
 """
@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import Staging, parts_for, release_shuffles
+from weftline.operators.relational import numbered
+from weftline.session import Staging, parts_for
 
 TOUR = "grp bigint, node bigint, parent bigint, root bigint, depth bigint, entry bigint, exit bigint"
 BLOCK_ROWS = 500_000
@@ -152,8 +153,6 @@ def _rounds(st: Staging, table: DataFrame, step, left: int) -> DataFrame:  # noq
         moved = after.filter("moved").limit(1).count()
         st.drop(table if k else None)
         table = after
-        if k % 4 == 3:
-            release_shuffles(st.spark)
         if not moved and k >= left:
             break
     return table
@@ -161,10 +160,11 @@ def _rounds(st: Staging, table: DataFrame, step, left: int) -> DataFrame:  # noq
 
 def _ranked_by_joins(st: Staging, nodes: DataFrame) -> DataFrame:
     """The same steps for groups too large for one task."""
-    spark = st.spark
-    n = nodes.count()
-    known = nodes.select("grp", F.col("node").alias("parent")).alias("k")
-    linked = st.put(nodes.join(known.withColumn("hit", F.lit(1)), ["grp", "parent"], "left").select("grp", "node", F.when(F.col("hit") == 1, F.col("parent")).alias("parent")))
+    # Nodes are numbered over all groups, in order of group and id, so that any id leaves room for the enter and leave bit.
+    ids = st.put(numbered(nodes, ["grp", "node"], "code").select("grp", "node", "parent", F.col("code").cast("bigint").alias("code")))
+    n = ids.count()
+    above = ids.select("grp", F.col("node").alias("parent"), F.col("code").alias("up"))
+    linked = st.put(ids.join(above, ["grp", "parent"], "left").select("grp", F.col("code").alias("node"), F.col("up").alias("parent")))
     # Peel. A jump rests at a root; others double until they are longer than any path.
     jumps = linked.select("grp", "node", F.coalesce("parent", "node").alias("to"), F.col("parent").isNull().alias("rest"), F.lit(True).alias("moved"))
 
@@ -180,8 +180,6 @@ def _ranked_by_joins(st: Staging, nodes: DataFrame) -> DataFrame:
         after = st.put(peel(jumps))
         st.drop(jumps if k else None)
         jumps = after
-        if k % 4 == 3:
-            release_shuffles(spark)
         now = tuple(jumps.filter(~F.col("rest")).agg(F.count(F.lit(1)), F.countDistinct("grp", "to")).first())
         if now == before or not now[0]:
             break
@@ -214,18 +212,16 @@ def _ranked_by_joins(st: Staging, nodes: DataFrame) -> DataFrame:
     flat = ways.groupBy("grp", F.shiftright("elem", 1).alias("node0")).agg(
         F.max(F.shiftright("tail", 1)).alias("root0"), F.max(F.when(entering, 1 - F.col("rise"))).alias("depth"), F.max(F.when(entering, F.col("place"))).alias("entry"), F.max(F.when(~entering, F.col("place"))).alias("exit")
     )
-    ids = _ids(trees)
-    named = flat.join(ids.select("grp", F.col("code").alias("node0"), "node", "parent"), ["grp", "node0"]).join(ids.select("grp", F.col("code").alias("root0"), F.col("node").alias("root")), ["grp", "root0"])
-    done = st.put(named.select("grp", "node", "parent", "root", "depth", "entry", "exit").unionByName(cycles))
-    st.drop(jumps, linked, trees, ranked)
+    real = ids.join(linked.select("grp", F.col("node").alias("code"), F.col("parent").alias("up")), ["grp", "code"])
+    real = real.select("grp", F.col("code").alias("node0"), "node", F.when(F.col("up").isNotNull(), F.col("parent")).alias("parent"))
+    named = flat.join(real, ["grp", "node0"]).join(ids.select("grp", F.col("code").alias("root0"), F.col("node").alias("root")), ["grp", "root0"])
+    loops = cycles.withColumnsRenamed({"node": "node0"}).drop("parent").join(real, ["grp", "node0"])
+    order = ["grp", "node", "parent", "root", "depth", "entry", "exit"]
+    done = st.put(named.select(*order).unionByName(loops.select(*order)))
+    st.drop(ids, jumps, linked, trees, ranked)
     return done
 
 
-def _ids(trees: DataFrame) -> DataFrame:
-    """Node ids shifted to make room for the enter and leave bit; ids beyond 62 bits are refused."""
-    return trees.withColumn("code", F.when(F.abs("node") < F.lit(2**62), F.col("node")).otherwise(F.raise_error(F.lit("node ids beyond 62 bits in a group larger than one block"))))
-
-
 def _tour(st: Staging, trees: DataFrame) -> DataFrame:
     """Elements (grp, elem, next, last, way): elem 2v enters v, 2v + 1 leaves it. Siblings are found by a
     global sort, so a node with a third of all rows as children is spread over the partitions."""

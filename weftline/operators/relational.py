@@ -232,13 +232,16 @@ def weighted_counts(df: DataFrame, keys: Sequence[str], weight: str) -> DataFram
 def merge_graphs(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """Graphs as (nodes(id), edges(src, dst)) with dense ids from 0 made one by shifting the ids of each.
 
-    The shifts are the running sizes of the graphs: one number each.
+    The shifts are the running sizes of the graphs: one number each, found in one job. An empty graph takes no ids.
     """
+    tops = reduce(DataFrame.unionByName, [n.select(F.lit(k).alias("k"), F.col("id").cast("bigint").alias("id")) for k, (n, _) in enumerate(graphs)])
+    top = {r["k"]: r["top"] for r in tops.groupBy("k").agg(F.max("id").alias("top")).collect()}
     nodes, edges, base = [], [], 0
-    for n, e in graphs:
+    for k, (n, e) in enumerate(graphs):
         nodes.append(n.withColumn("id", F.col("id") + base))
         edges.append(e.withColumn("src", F.col("src") + base).withColumn("dst", F.col("dst") + base))
-        base += (n.agg(F.max("id")).first()[0] or -1) + 1
+        if top.get(k) is not None:
+            base += top[k] + 1
     return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import math
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_OPEN: list[Staging] = []
 
 
 def build_session(app: str = "weftline", master: str | None = None, **conf: str) -> SparkSession:
@@ -60,10 +62,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests, laptops)."""
+    """The cluster's shared folder; a temporary one only where none is set and all runs on this machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="weftline-")
@@ -90,6 +94,7 @@ class Staging:
         self.root = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._forget)
         self._n = 0
+        _OPEN.append(self)
 
     def put(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back: later steps do not run it again."""
@@ -112,6 +117,11 @@ class Staging:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
+    def close(self) -> None:
+        """Delete all that this run has written; what reads it must be done."""
+        self._delete(self.root)
+        atexit.unregister(self._forget)
+
     def _forget(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
@@ -120,9 +130,11 @@ class Staging:
             pass
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of steps whose results were written."""
-    spark._jvm.System.gc()
+def release_staged(spark: SparkSession) -> None:
+    """Delete the staged tables of all results so far; call it when they have been read."""
+    for st in [s for s in _OPEN if s.spark is spark]:
+        st.close()
+        _OPEN.remove(st)
 
 
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:
