@@ -132,7 +132,7 @@ class Staging:
 
 def release_staged(spark: SparkSession) -> None:
     """Delete the staged tables of all results so far; call it when they have been read."""
-    for st in [s for s in _OPEN if s.spark is spark]:
+    for st in [s for s in _OPEN if s.spark.sparkContext is spark.sparkContext]:
         st.close()
         _OPEN.remove(st)
 
