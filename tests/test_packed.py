@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from weftline.operators.packed import Dialect, parse, parses, split_packed
+from weftline.operators.packed import Code, Dialect, learn_code, parse, parses, split_packed
 
 
 def test_parses_by_hand():
@@ -44,3 +44,33 @@ def test_empty_and_very_long(spark):
     assert split_packed(spark.createDataFrame([], "row_id long, f string, at long"), "row_id", "f", "at").collect() == []
     text = ";".join(f"E{i:06d}" for i in range(20_000))
     assert split_packed(spark.createDataFrame([(1, text, 1)], "row_id long, f string, at long"), "row_id", "f", "at", atomic=True).count() == 20_000
+
+
+def test_the_value_code_decides():
+    """Without code lengths the simplest dialect would win; with them the separator inside an unquoted value is dear."""
+    text = "a_name; b_name, c_name"
+    assert parses(text)[0][1] == ["a_name", "b_name", "c_name"]
+    flat = Code()
+    flat.bits = {q: dict.fromkeys(flat.bits[q], 0.0) for q in flat.bits}
+    assert parses(text, code=flat)[0][1] == [text]
+
+
+def test_known_values_turn_the_choice(spark):
+    """``R|D`` is known from quoted lists, so it is one value where ``R`` and ``D`` are unknown ones."""
+    rows = [(i, f'"R|D";name_{i % 7}', 1) for i in range(60)] + [(100, "name_1;R|D", 1), (101, "name_1|name_2", 1), (102, "name_3;P|Q", 1)]
+    df = spark.createDataFrame(rows, "row_id long, f string, at long")
+    got = {}
+    for r in split_packed(df, "row_id", "f", "at").orderBy("row_id", "pos").collect():
+        got.setdefault(r.row_id, []).append(r["item"])
+    assert got[0] == ["R|D", "name_0"]
+    assert got[100] == ["name_1", "R|D"]
+    assert got[101] == ["name_1", "name_2"]
+    assert got[102] == ["name_3", "P", "Q"]
+
+
+def test_code_learns_from_all_rows(spark):
+    """Values that hold commas in plain texts of the column make a comma cheap."""
+    rare = learn_code(spark.createDataFrame([(f"name_{i}",) for i in range(500)], "text string"))
+    assert rare.bits[False][","] > 12
+    quoted = learn_code(spark.createDataFrame([('"a, b, c";d',)] * 300, "text string"))
+    assert quoted.bits[True][","] < 4

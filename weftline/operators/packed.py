@@ -1,33 +1,41 @@
 """Several values packed in one field: one value per row, with its place.
 
-The dialect of each field (which characters separate, which quote, whether brackets wrap the
-list) is chosen by minimum description length:
-
-1. every distinct text is parsed under each dialect whose characters it contains; dialects that
-   give the same values collapse into one parse;
-2. each parse gives its values an equal part of the text's weight, and these counts are summed over
-   the whole table: a value's code length is -log2 of its share plus, shared out over its
-   occurrences, the bits to spell it once;
-3. a parse costs its values' code lengths, its dialect's bits, and a fine for each break of the
-   writer's grammar: a separator or an unpaired quote inside a value that is not quoted;
-4. each text is read by its cheapest parse, ties by the simpler dialect.
+The dialect of each text (which characters separate, which quote, whether brackets wrap the list) is
+chosen by minimum description length. A parse costs the bits of its dialect and the code lengths of its
+values; both codes are learned from the whole table, by counts that the executors sum:
+
+1. spelling a value costs the code lengths of its characters and of its end, by what values that are
+   quoted and values that are not hold. The characters that separate, quote or wrap are counted apart, so
+   a separator left inside a value that is not quoted costs what its rarity there says. First the
+   counts come from texts that can be read in one way only, then once more from the parses chosen by
+   them;
+2. naming a value that was found before costs -log2 of its share and its part of spelling it once. This
+   can only turn a choice where a parse that lost holds a known value with such a character in it; those
+   texts, and only those, are joined to the counts of all values and chosen anew;
+3. each text is read by its cheapest parse, ties by the simpler dialect.
+
+Texts are parsed where they lie: rows are shuffled once, to find each row's latest delivery.
 
 Defined results
 * null, blank and bracket-only texts hold no values; empty pieces (quoted ones too) are no values
   and take no place; repeated values count each; positions count from 1;
 * a doubled quote inside quotes stands for one; an opening quote that never closes is ordinary text;
 * white space outside quotes is trimmed; inside quotes outer white space is trimmed too;
-* the same text is parsed once, however many rows hold it, so hot texts cost nothing more.
+* a text that occurs again in a batch is not parsed again; each row weighs as one in the counts.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.session import Staging
@@ -35,8 +43,17 @@ from weftline.session import Staging
 #: Characters that may separate, and that may quote.
 SEPARATORS = (";", "；", ",", "|", "\n", "\t")
 QUOTES = ('"', "'")
-FINE = 40.0
-SPELL_BITS = 6.0
+BRACKETS = ("[", "]")
+MARK = re.compile(r"[;；,|\n\t\"'\[\]]|\s")
+#: Classes of characters that the code tells apart: the marks, white space, any other, and the end of a value.
+BLANK, OTHER, END = " ", "x", "end"
+CLASSES = (*SEPARATORS, *QUOTES, *BRACKETS, BLANK, OTHER, END)
+#: Prior counts: before anything is counted, values are mostly made of other characters, and quotes are there
+#: for the sake of separators and white space.
+PRIOR = {OTHER: 100.0, END: 20.0}
+QUOTED_PRIOR = dict.fromkeys((*SEPARATORS, BLANK), 8.0) | PRIOR
+LEAST_PRIOR = 0.5
+OTHER_BITS = 5.0  # to tell which of the other characters it is
 
 
 @dataclass(frozen=True)
@@ -66,11 +83,18 @@ def dialects_for(text: str, atomic: bool = False) -> list[Dialect]:
     return sorted({Dialect(s, q, b, w) for s in sets for q in quotes for b in blanks for w in wraps}, key=lambda d: (d.bits, sorted(d.separators), sorted(d.quotes)))
 
 
+@lru_cache(maxsize=1024)
+def _splitter(d: Dialect) -> re.Pattern:
+    return re.compile("|".join([*map(re.escape, sorted(d.separators)), *([r"\s"] if d.blank_separates else [])]) or r"(?!)")
+
+
 def parse(text: str, d: Dialect) -> list[tuple[str, bool]]:
     """The values of a text under a dialect, each with whether it was quoted."""
     t = text.strip()
     if d.brackets:
         t = t[1:-1]
+    if not d.quotes:
+        return [(v, False) for x in _splitter(d).split(t) if (v := x.strip())]
     out: list[tuple[str, bool]] = []
     i, n = 0, len(t)
     while i < n:
@@ -115,61 +139,136 @@ def _quoted(t: str, i: int, d: Dialect) -> tuple[str, int]:
     return "", -1
 
 
-def _fines(values: list[tuple[str, bool]], atomic: bool) -> int:
-    """Breaks of the writer's grammar: separators, and quotes at an edge, in values that are not quoted."""
-    broken = 0
-    for v, quoted in values:
-        if atomic:
-            broken += sum(c.isspace() for c in v)
-        if not quoted:
-            broken += sum(v.count(c) for c in SEPARATORS) + (v[0] in QUOTES) + (v[-1] in QUOTES)
-            broken += (v[0] == "[") + (v[-1] == "]")
-    return broken
+class Code:
+    """Code lengths of values from counts of classes of characters, for values that are quoted and for those that are not."""
+
+    def __init__(self, counts: dict[tuple[bool, str], float] | None = None) -> None:
+        self.bits: dict[bool, dict[str, float]] = {}
+        for quoted, prior in ((False, PRIOR), (True, QUOTED_PRIOR)):
+            n = {k: prior.get(k, LEAST_PRIOR) + (counts or {}).get((quoted, k), 0.0) for k in CLASSES}
+            whole = sum(n.values())
+            self.bits[quoted] = {k: -math.log2(v / whole) + (OTHER_BITS if k == OTHER else 0.0) for k, v in n.items()}
+
+    def spell(self, value: str, quoted: bool) -> float:
+        b = self.bits[quoted]
+        marks = MARK.findall(value)
+        return b[END] + (len(value) - len(marks)) * b[OTHER] + sum(b.get(m, b[BLANK]) for m in marks)
 
 
-def parses(text: str, atomic: bool = False) -> list[tuple[float, list[str]]]:
-    """Different parses of a text as (dialect bits and fines, values); each parse by its cheapest dialect."""
-    best: dict[tuple[str, ...], float] = {}
+def parses(text: str, atomic: bool = False, code: Code | None = None) -> list[tuple[float, list[str], list[bool], float]]:
+    """Different parses of a text, cheapest first: (bits, values, which are quoted, bits of the dialect alone).
+
+    Each parse has its cheapest dialect; ties go to the simpler dialect.
+    """
+    spell = (code or Code()).spell
+    if not MARK.search(text):
+        return [(spell(text, False), [text], [False], 0.0)]
+    best: dict[tuple[str, ...], tuple[float, list[bool]]] = {}
     for d in dialects_for(text, atomic):
         values = parse(text, d)
         key = tuple(v for v, _ in values)
-        cost = d.bits + FINE * _fines(values, atomic)
-        if key not in best or cost < best[key]:
-            best[key] = cost
-    return [(c, list(k)) for k, c in sorted(best.items(), key=lambda x: (x[1], x[0]))]
+        if key not in best or d.bits < best[key][0]:
+            best[key] = (d.bits, [q for _, q in values])
+    found = [(bits + sum(map(spell, k, q)), list(k), q, bits) for k, (bits, q) in best.items()]
+    return sorted(found, key=lambda x: (round(x[0], 6), x[3], x[1]))
+
+
+def _key(value: str) -> int:
+    return xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass")) - 2**63
+
+
+COUNTED = "quoted boolean, kind string, n double"
+
+
+def _counter(atomic: bool, code: Code):  # noqa: ANN202
+    """texts -> how often each class of characters stands in the values of the chosen parses, once per partition."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for b in batches:
+            for text, times in Counter(t for t in b.column(0).to_pylist() if t).items():
+                _, values, quoted, _ = parses(text, atomic, code)[0]
+                for v, q in zip(values, quoted):
+                    marks = MARK.findall(v)
+                    n[q, END] += times
+                    n[q, OTHER] += times * (len(v) - len(marks))
+                    for m in marks:
+                        n[q, m if m in CLASSES else BLANK] += times
+        cols = [[q for q, _ in n], [k for _, k in n], [float(v) for v in n.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.bool_(), pa.string(), pa.float64()))], ["quoted", "kind", "n"])
+
+    return run
+
+
+READ = "items array<string>, kept array<bigint>, odd array<bigint>"
+
+
+def _reader(carried: int, names: list[str], atomic: bool, code: Code):  # noqa: ANN202
+    """carried columns and a text -> the cheapest parse; ``kept`` are its values with marks, ``odd`` those of other parses, as hashes."""
+
+    def read(text: str | None) -> tuple[list[str], list[int], list[int]]:
+        first, *rest = parses(text, atomic, code) if text else [(0.0, [], [], 0.0)]
+        mine = {v for v in first[1] if MARK.search(v)}
+        other = {v for p in rest for v in p[1] if MARK.search(v)} - mine
+        return first[1], sorted(map(_key, mine)), sorted(map(_key, other))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known: dict = {}
+            cols: tuple[list, list, list] = ([], [], [])
+            for t in b.column(carried).to_pylist():
+                if t not in known:
+                    known[t] = read(t)
+                for c, v in zip(cols, known[t]):
+                    c.append(v)
+            kinds = (pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(carried)), *(pa.array(c, k) for c, k in zip(cols, kinds))], [*names, "items", "kept", "odd"])
+
+    return run
 
 
-PARSED = "text string, n bigint, parse_no int, n_parses int, base_bits double, items array<string>"
+OPEN = "row_id bigint, parse_no int, base double, items array<string>, spelled array<double>"
 
 
-def _parser(atomic: bool):  # noqa: ANN202
+def _all_parses(atomic: bool, code: Code):  # noqa: ANN202
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for text, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = parses(text, atomic)
-                rows += [(text, n, k, len(found), bits, items) for k, (bits, items) in enumerate(found)]
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["text", "n", "parse_no", "n_parses", "base_bits", "items"])
+            rows = [(i, n, p[3], p[1], [code.spell(v, q) for v, q in zip(p[1], p[2])]) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for n, p in enumerate(parses(t, atomic, code))]
+            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["row_id", "parse_no", "base", "items", "spelled"])
 
     return run
 
 
-def choose_parses(texts: DataFrame, atomic: bool = False) -> DataFrame:
-    """``texts`` has one string column ``text`` (nulls allowed). Result: text, items: its cheapest parse."""
-    counted = texts.filter(F.col("text").isNotNull() & F.col("text").rlike(r"\S")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
-    parsed = Staging(texts.sparkSession, "packed").put(counted.mapInArrow(_parser(atomic), PARSED))
-    # Code lengths from counts over the whole table; a text's weight is shared by its parses.
-    part = parsed.select("n_parses", "n", F.explode("items").alias("item"))
-    code = part.groupBy("item").agg(F.sum(F.col("n") / F.col("n_parses")).alias("c"))
-    total = code.agg(F.sum("c").alias("total")).scalar()
-    bits = -F.log2(F.col("c") / total) + F.lit(SPELL_BITS) * F.length("item") / F.greatest(F.col("c"), F.lit(1.0))
-    code = code.select("item", bits.alias("bits"))
-    open_ = parsed.filter(F.col("n_parses") > 1).select("text", "parse_no", "base_bits", "items", F.explode_outer("items").alias("item"))
-    scored = open_.join(code, "item", "left").groupBy("text", "parse_no").agg((F.first("base_bits") + F.coalesce(F.sum("bits"), F.lit(0.0))).alias("cost"), F.first("items").alias("items"))
-    won = scored.groupBy("text").agg(F.min_by("items", F.struct(F.round("cost", 6), "parse_no")).alias("items"))
-    return parsed.filter(F.col("n_parses") == 1).select("text", "items").unionByName(won)
+def learn_code(texts: DataFrame, atomic: bool = False) -> Code:
+    """The code of a column ``text``, from counts over all rows: plain texts first, then the parses these choose."""
+    plain = F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))
+    one_way = ~plain.rlike("[;；,|\n\t\"'\\[\\]]") & (plain != "")
+    blanks = F.length(plain) - F.length(F.regexp_replace(plain, r"\s", ""))
+    if atomic:
+        one_way = one_way & (blanks == 0)
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    n, blank, every = texts.filter(one_way).agg(F.count(F.lit(1)).cast("double"), zero(blanks), zero(F.length(plain))).first()
+    first = Code({(False, END): n, (False, BLANK): blank, (False, OTHER): every - blank})
+    counted = texts.select("text").mapInArrow(_counter(atomic, first), COUNTED).groupBy("quoted", "kind").agg(F.sum("n").alias("n"))
+    return Code({(r["quoted"], r["kind"]): r["n"] for r in counted.collect()})  # a row per class of characters
+
+
+def _named(read: DataFrame, rows: DataFrame, code: Code, atomic: bool, st: Staging) -> DataFrame:
+    """(row_id, items) of the rows where naming known values may turn the choice."""
+    kept = read.select(F.explode("kept").alias("h")).distinct()
+    doubtful = read.select("row_id", F.explode("odd").alias("h")).join(kept, "h", "left_semi").select("row_id").distinct()
+    texts = rows.select("row_id", "text").join(doubtful, "row_id", "left_semi")
+    every = st.put(texts.mapInArrow(_all_parses(atomic, code), OPEN))
+    part = every.select("row_id", "parse_no", F.posexplode("items").alias("p", "item"), "spelled").select("row_id", "parse_no", "item", F.get("spelled", F.col("p")).alias("spelled"))
+    seen = read.select(F.explode("items").alias("item"))
+    total = seen.count()
+    counts = seen.join(part.select("item").distinct(), "item", "left_semi").groupBy("item").agg(F.count(F.lit(1)).alias("c"))
+    by_name: Column = -F.log2(F.col("c") / F.lit(float(max(total, 1)))) + F.col("spelled") / F.col("c")
+    bits = part.join(counts, "item", "left").groupBy("row_id", "parse_no").agg(F.sum(F.least("spelled", by_name)).alias("bits"))
+    cost = every.join(bits, ["row_id", "parse_no"], "left").withColumn("cost", F.round(F.col("base") + F.coalesce("bits", F.lit(0.0)), 6))
+    return cost.groupBy("row_id").agg(F.min_by("items", F.struct("cost", "base", "parse_no")).alias("items"))
 
 
 def split_packed(df: DataFrame, row_id: str, field: str, at: str, atomic: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -180,7 +279,15 @@ def split_packed(df: DataFrame, row_id: str, field: str, at: str, atomic: bool =
     """
     best = F.max(F.struct(F.col(at), F.col(field).alias("text"), *[F.col(c) for c in carry if c != at])).alias("b")
     one = df.filter(F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("row_id")).agg(best)
-    rows = Staging(df.sparkSession, "rows").put(one.select("row_id", "b.text", *[F.col("b")[c].alias(c) for c in carry]).filter(F.col("text").isNotNull()))
-    chosen = choose_parses(rows.select("text"), atomic)
-    x = rows.join(chosen, "text").select("row_id", *carry, F.posexplode("items").alias("p", "item"))
-    return x.select("row_id", *carry, (F.col("p") + 1).cast("int").alias("pos"), "item")
+    st = Staging(df.sparkSession, "packed")
+    rows = st.put(one.select("row_id", *[F.col("b")[c].alias(c) for c in carry], "b.text").filter(F.col("text").rlike(r"\S")))
+    code = learn_code(rows, atomic)
+    names = ["row_id", *carry]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    read = st.put(rows.mapInArrow(_reader(len(names), names, atomic, code), f"{kinds}, {READ}"))
+    again = st.put(_named(read, rows.withColumn("row_id", F.col("row_id").cast("bigint")), code, atomic, st)) if read.filter(F.size("odd") > 0).limit(1).count() else None
+    st.drop(rows)
+    if again is not None and again.limit(1).count():
+        turned = again.withColumnRenamed("items", "named")
+        read = read.join(turned, "row_id", "left").withColumn("items", F.coalesce("named", "items"))
+    return read.select(*names, F.posexplode("items").alias("p", "item")).select(*names, (F.col("p") + 1).cast("int").alias("pos"), "item")
