@@ -1,8 +1,9 @@
 """Registered queries and the SQL that checks them."""
 
 from weftline.plans.algebra import algebra
+from weftline.plans.interchange import interchange
 from weftline.plans.records import records
 from weftline.plans.relational import relational
 from weftline.plans.scalar import scalar
 
-CORE = [relational, algebra, scalar, records]
+CORE = [relational, algebra, scalar, records, interchange]

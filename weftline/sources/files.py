@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
+import hashlib
 import io
+import json
+import os
 import re
+import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.text import first_present
+from weftline.functions.text import first_present, sanitize_name
+from weftline.operators.relational import numbered
+
+#: Fixed value: the name space of sheets.
+SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 
 
 def trimmed(df: DataFrame) -> DataFrame:
@@ -21,10 +32,13 @@ def trimmed(df: DataFrame) -> DataFrame:
     return df.toDF(*names).select(*[F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")).alias(c) for c in names])
 
 
-def read_csv(spark: SparkSession, path: str, *, malformed: str = "keep", delimiter: str = ",") -> DataFrame:
-    """CSV with a header as evidence rows; ``malformed``: keep ragged rows, drop them, or fail."""
+def read_csv(spark: SparkSession, path: str, *, malformed: str = "keep", delimiter: str = ",", multiline: bool = False) -> DataFrame:
+    """CSV with a header as evidence rows; ``malformed``: keep ragged rows, drop them, or fail.
+
+    With ``multiline`` quoted cells may hold line ends; such files cannot be split, so each is one task.
+    """
     mode = {"keep": "PERMISSIVE", "drop": "DROPMALFORMED", "fail": "FAILFAST"}[malformed]
-    return trimmed(spark.read.csv(path, header=True, mode=mode, sep=delimiter, multiLine=True, escape='"'))
+    return trimmed(spark.read.csv(path, header=True, mode=mode, sep=delimiter, multiLine=multiline, enforceSchema=True, escape='"'))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -95,6 +109,31 @@ def language_of(path: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv]), ext)
 
 
+def walk_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, content) of the files below a ``records`` folder; partial, Parquet and contract files are left out."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    inner = F.substring_index("path", path.rstrip("/") + "/", -1)
+    keep = inner.rlike(r"^(.*/)?records/") & ~inner.rlike(r"\.partial(/|$)|\.parquet$|contract|(^|/)[._][^/]*$")
+    return raw.filter(keep).select(F.col("path").alias("file_path"), "content")
+
+
+def map_keys_long(df: DataFrame, key: str, features: str, name: str) -> DataFrame:
+    """(key, name): a row per key of a map; null and empty maps give none."""
+    return df.select(key, F.explode(F.map_keys(features)).alias(name))
+
+
+def load_dimension(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """A dimension from JSON lines, one row per key (the least of several); null keys are left out."""
+    x = read_jsonl(spark, path, schema).filter(F.col(key).isNotNull())
+    rest = [c for c in x.columns if c != key]
+    return x.groupBy(key).agg(F.min(F.struct(*rest)).alias("__b")).select(key, "__b.*")
+
+
+def shard(df: DataFrame, order: list[str], n: int, k: int) -> DataFrame:
+    """Rows whose place (from 0) in a total order is k modulo n."""
+    return numbered(df, order, "__at").filter(F.pmod(F.col("__at") - 1, F.lit(n)) == k).drop("__at")
+
+
 def _zip_members(suffix: str):  # noqa: ANN202
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,7 +155,7 @@ def zip_members(files: DataFrame, suffix: str = "") -> DataFrame:
 
 
 def _sheet(content: bytes) -> list[list[str]]:
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    ns = {"m": SHEET}
     z = zipfile.ZipFile(io.BytesIO(content))
     words: list[str] = []
     if "xl/sharedStrings.xml" in z.namelist():
@@ -164,20 +203,113 @@ def write_sorted_csv(df: DataFrame, path: str) -> None:
     text.orderBy(*df.columns).write.mode("overwrite").csv(path, header=True, quoteAll=False, escape='"')
 
 
+def write_jsonl(df: DataFrame, path: str, compressed: bool = False) -> None:
+    """One JSON object a line."""
+    df.write.mode("overwrite").json(path, compression="gzip" if compressed else "none")
+
+
 def write_by_family(df: DataFrame, family: str, path: str) -> None:
-    """One folder per family."""
-    df.write.mode("overwrite").partitionBy(family).parquet(path)
+    """One folder per family, its name sanitised, in a column ``family``; families with equal names share one."""
+    df.withColumn("family", sanitize_name(F.col(family))).write.mode("overwrite").partitionBy("family").parquet(path)
+
+
+KEY_BUCKETS = 64
 
 
 def append_new(df: DataFrame, key: str, path: str) -> int:
-    """Append the rows whose key the target does not hold yet; the number appended. A second run appends nothing."""
+    """Append the rows whose key the target does not hold yet; the number appended. A second run appends nothing.
+
+    The target is laid out by a hash of the key. Only the keys of the buckets that the new rows fall into are read.
+    """
     spark = df.sparkSession
-    fresh = df.dropDuplicates([key])
+    fresh = df.dropDuplicates([key]).withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int"))
     if exists(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-    before = spark.read.parquet(path).count() if exists(spark, path) else 0
-    fresh.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+        wanted = [r[0] for r in fresh.select("key_bucket").distinct().collect()]  # at most KEY_BUCKETS
+        have = spark.read.parquet(path).filter(F.col("key_bucket").isin(wanted)).select(key)
+        fresh = fresh.join(have, key, "left_anti")
+    seen = Observation()
+    fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("key_bucket").parquet(path)
+    return int(seen.get["n"])
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """A checkpoint written beside the old one and then renamed over it, so that no reader sees a part."""
+    spark = df.sparkSession
+    fresh, old = f"{path}.{uuid.uuid4().hex[:8]}", f"{path}.old"
+    df.write.parquet(fresh)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.delete(path_of(old), True)
+    if fs.exists(path_of(path)):
+        fs.rename(path_of(path), path_of(old))
+    fs.rename(path_of(fresh), path_of(path))
+    fs.delete(path_of(old), True)
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """One file per row (name, content) in the shared folder ``path``, each written whole and then renamed.
+
+    Executors write them; ``path`` must be a folder they share (``file:`` or a plain path).
+    """
+    folder = re.sub(r"^file:/*", "/", path)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                part = os.path.join(folder, f".{os.path.basename(name)}.{uuid.uuid4().hex[:8]}")
+                with open(part, "wb") as f:
+                    f.write(content or b"")
+                os.replace(part, os.path.join(folder, os.path.basename(name)))
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["name"])
+
+    files.select("name", "content").filter("name IS NOT NULL").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
+def _grouped_files(df: DataFrame, group: str, order: str, make, suffix: str, path: str) -> None:  # noqa: ANN001
+    """A file per group made by ``make`` from its rows in order; a group must fit the archive it becomes."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.sort_by(order).to_pylist()
+        return pa.table({"name": [f"{rows[0][group]}{suffix}"], "content": pa.array([make(rows)], pa.binary())})
+
+    write_files(df.groupBy(group).applyInArrow(run, "name string, content binary"), path)
+
+
+def write_zips(members: DataFrame, path: str) -> None:
+    """A ZIP file per ``archive`` of its (member, content) rows."""
+
+    def make(rows: list[dict]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for r in rows:
+                z.writestr(r["member"], r["content"] or b"")
+        return out.getvalue()
+
+    _grouped_files(members, "archive", "member", make, ".zip", path)
+
+
+def write_sheets(rows: DataFrame, path: str) -> None:
+    """A workbook of one sheet per ``book`` of its (row_no, cells) rows, all cells text."""
+
+    def make(found: list[dict]) -> bytes:
+        body = "".join(f"<row>{''.join(f'<c t=\"inlineStr\"><is><t>{escape(c or "")}</t></is></c>' for c in r['cells'])}</row>" for r in found)
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{SHEET}"><sheetData>{body}</sheetData></worksheet>')
+        return out.getvalue()
+
+    _grouped_files(rows, "book", "row_no", make, ".xlsx", path)
+
+
+def write_bundles(members: DataFrame, path: str) -> None:
+    """A bundle per ``bundle`` of its (member, content) rows, as ``bundle_members`` reads them."""
+
+    def make(rows: list[dict]) -> bytes:
+        listed = [{"path": r["member"], "content": base64.b64encode(r["content"]).decode(), "sha256": hashlib.sha256(r["content"]).hexdigest()} for r in rows]
+        return base64.b64encode(gzip.compress(json.dumps(listed).encode(), mtime=0))
+
+    _grouped_files(members, "bundle", "member", make, ".bundle", path)
 
 
 def summary_json(df: DataFrame, **counters: Column) -> DataFrame:
@@ -196,11 +328,6 @@ def bundle_members(files: DataFrame) -> DataFrame:
 
     A bundle that cannot be opened gives one row with null member and verified false.
     """
-    import base64
-    import gzip
-    import hashlib
-    import json
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
