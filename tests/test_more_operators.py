@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+from itertools import combinations
+
 import base64
 import gzip
 import hashlib
@@ -57,9 +61,39 @@ def test_matches(spark):
 def test_covers(spark):
     p = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "a"), (3, "b"), (4, "c")], "o int, x string")
     assert rows(X.undominated(p, "o", "x")) == [(1,), (4,)]
-    assert X.exact_cover_size({"p": frozenset("abc"), "q": frozenset("abd"), "r": frozenset("cef"), "s": frozenset("de")}) == ["q", "r"]
-    with pytest.raises(ValueError, match="too many"):
-        X.exact_cover_size({str(i): frozenset("a") for i in range(65)})
+    assert X.smallest_cover({"p": frozenset("abc"), "q": frozenset("abd"), "r": frozenset("cef"), "s": frozenset("de")}) == ["q", "r"]
+    many = {f"s{i:03d}": frozenset({i, i + 1, (7 * i) % 300}) for i in range(300)}
+    got = X.smallest_cover({k: v for k, v in many.items() if int(k[1:]) % 2 == 0} | {"all": frozenset(range(302))})
+    assert got == ["all"]
+    r = random.Random(5)
+    for _ in range(20):
+        sets = {f"s{i}": frozenset(r.sample(range(9), r.randrange(1, 4))) for i in range(8)}
+        every = frozenset().union(*sets.values())
+        best = next(n for n in range(1, 9) if any(frozenset().union(*(sets[k] for k in c)) == every for c in combinations(sets, n)))
+        got = X.smallest_cover(sets)
+        assert len(got) == best and frozenset().union(*(sets[k] for k in got)) == every
+
+
+def test_rectangle_cover(spark):
+    """A staircase of three by three needs a rectangle per step; equal rows add nothing."""
+    cells = [("r1", "a"), ("r1", "b"), ("r1", "c"), ("r2", "b"), ("r2", "c"), ("r3", "c"), ("r4", "c"), ("r1", None)]
+    got = X.rectangle_cover(spark.createDataFrame(cells, "i string, j string").selectExpr("*", "1 AS x"), "i", "j").collect()
+    assert len(got) == 3 and sum(r.n_cells for r in got) >= 6
+    assert X.rectangle_cover(spark.createDataFrame([], "i string, j string"), "i", "j").collect() == []
+
+
+def test_greedy_rounds_equal_one_choice_at_a_time(spark):
+    r = random.Random(2)
+    pairs = {(r.randrange(40), r.randrange(120)) for _ in range(500)} | {(7, a) for a in range(40)}
+    got = X.greedy_cover(spark.createDataFrame(sorted(pairs), "o int, a int"), "o", "a").collect()
+    left, want = set(pairs), []
+    while left:
+        n = Counter(o for o, _ in left)
+        o = min(n, key=lambda k: (-n[k], k))
+        want.append((o, n[o]))
+        gone = {a for k, a in left if k == o}
+        left = {p for p in left if p[1] not in gone}
+    assert sorted((x.o, x.n_new) for x in got) == sorted(want)
 
 
 def test_bundles_and_discovery(spark, tmp_path):

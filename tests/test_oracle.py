@@ -14,7 +14,7 @@ import __spark_entry__ as entry
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="needs the test tables")
 #: Deep recursions take long here; the driver compares them.
-SLOW = {"reach_roots", "unknown_propagation", "transitive_closure", "graph_cycles", "reach_count_order", "stream_counts", "stream_dedup"}
+SLOW = {"reach_roots", "unknown_propagation", "transitive_closure", "graph_cycles", "reach_count_order", "stream_counts", "stream_dedup", "iteration_log", "definite_assignment"}
 
 
 def plain(v):

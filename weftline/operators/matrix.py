@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.relational import numbered, pairs_within
+
 
 def from_pairs(df: DataFrame, row: str, col: str) -> DataFrame:
     """0/1 incidence of distinct pairs."""
@@ -53,8 +55,100 @@ def matrix_vector(m: DataFrame, v: DataFrame) -> DataFrame:
 
 
 def gram(m: DataFrame) -> DataFrame:
-    """M x M'."""
-    return multiply(m, transpose(m))
+    """M x M': the triangle i <= j by a join on the inner index, then mirrored."""
+    x = m.select("i", F.col("j").alias("k"), F.col("v").alias("va")).join(m.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("vb")), "k").filter("i <= j")
+    half = x.groupBy("i", "j").agg(F.sum(F.col("va") * F.col("vb")).alias("v")).filter("v <> 0")
+    cell = lambda a, b: F.struct(F.col(a).alias("i"), F.col(b).alias("j"))
+    return half.select(F.explode(F.when(F.col("i") == F.col("j"), F.array(cell("i", "j"))).otherwise(F.array(cell("i", "j"), cell("j", "i")))).alias("c"), "v").select("c.i", "c.j", "v")
+
+
+def dot(u: DataFrame, v: DataFrame) -> DataFrame:
+    """One row: the product of two vectors (j, v); 0 where they share no place."""
+    x = u.join(v.select("j", F.col("v").alias("w")), "j")
+    return x.agg(F.coalesce(F.sum(F.col("v") * F.col("w")), F.lit(0.0)).alias("v"))
+
+
+def vector_or(u: DataFrame, v: DataFrame) -> DataFrame:
+    """Places that are not zero in one of two vectors (j, v), as ones."""
+    return u.unionByName(v).filter("v <> 0").select("j", F.lit(1.0).alias("v")).distinct()
+
+
+def select_rows(m: DataFrame, basis: DataFrame) -> DataFrame:
+    """Rows named by a one-hot basis (i)."""
+    return m.join(basis.select("i").distinct(), "i", "left_semi")
+
+
+def grow_axis(axis: DataFrame, labels: DataFrame) -> DataFrame:
+    """An axis (label, at) with new labels appended after the last place, in their order; no label is lost."""
+    old = axis.select("label", F.col("at").cast("bigint").alias("at"))
+    new = labels.select("label").filter("label IS NOT NULL").distinct().join(old, "label", "left_anti")
+    end = old.agg(F.coalesce(F.max("at"), F.lit(-1)).alias("end"))
+    return old.unionByName(numbered(new, ["label"], "n").crossJoin(F.broadcast(end)).select("label", (F.col("n") + F.col("end")).cast("bigint").alias("at")))
+
+
+def grow(m: DataFrame, old: tuple[int, int], new: tuple[int, int]) -> DataFrame:
+    """The same cells in a larger shape; a smaller one is refused."""
+    if new[0] < old[0] or new[1] < old[1]:
+        raise ValueError("a matrix cannot shrink")
+    return m
+
+
+def boolean_product(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cells of A x B that are not zero for 0/1 matrices, as ones: a join of row sets."""
+    x = a.filter("v <> 0").select("i", F.col("j").alias("k")).join(b.filter("v <> 0").select(F.col("i").alias("k"), "j"), "k")
+    return x.select("i", "j").distinct().withColumn("v", F.lit(1.0))
+
+
+def column_any(m: DataFrame) -> DataFrame:
+    """Columns with a cell that is not zero."""
+    return m.filter("v <> 0").select("j").distinct()
+
+
+def column_counts(m: DataFrame) -> DataFrame:
+    """Cells that are not zero per column."""
+    return m.filter("v <> 0").groupBy("j").agg(F.count(F.lit(1)).alias("n"))
+
+
+def project_checked(v: DataFrame, m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """v x M for v(i, k, v) and M(k, j, v), sums correctly rounded from 38 digits, and the keys of v that M lacks.
+
+    A key that occurs twice in one row of v is refused.
+    """
+    twice = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("a key occurs twice in one row"))).otherwise(F.first("v"))
+    one = v.groupBy("i", "k").agg(twice.alias("v"))
+    x = one.join(m.select("k", "j", F.col("v").alias("w")), "k")
+    exact = F.sum((F.col("v") * F.col("w")).cast("decimal(28,9)")).cast("double")
+    return x.groupBy("i", "j").agg(exact.alias("v")), one.select("k").distinct().join(m.select("k").distinct(), "k", "left_anti")
+
+
+def resolve(refs: DataFrame, defs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """References with their definitions, and the keys that have none."""
+    return refs.join(defs, key), refs.select(key).distinct().join(defs.select(key).distinct(), key, "left_anti")
+
+
+def basis_overlap(atoms: DataFrame, ids: DataFrame) -> DataFrame:
+    """(atom, id, n_direct, n_all): how many basis elements an atom shares with an id, by direct evidence and at all.
+
+    atoms(atom, basis, direct boolean), ids(id, basis).
+    """
+    a = atoms.groupBy("atom", "basis").agg(F.bool_or("direct").alias("direct"))
+    x = a.join(ids.select("id", "basis").distinct(), "basis")
+    return x.groupBy("atom", "id").agg(F.count_if(F.col("direct")).alias("n_direct"), F.count(F.lit(1)).alias("n_all"))
+
+
+def design_audit(x: DataFrame, effect: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """X'X with bounds and X'E of a 0/1 design.
+
+    x(i, j) and effect(i, e) are sets of pairs. First: (a, b, n_both, least, most), what two columns share beside
+    what their sizes allow at least and at most. Second: (j, e, n).
+    """
+    p = x.select("i", "j").distinct()
+    rows = p.select("i").distinct().agg(F.count(F.lit(1)).alias("n_rows"))
+    size = p.groupBy("j").agg(F.count(F.lit(1)).alias("n"))
+    both = pairs_within(p, ["i"], "j").groupBy(F.col("j_a").alias("a"), F.col("j_b").alias("b")).agg(F.count(F.lit(1)).alias("n_both"))
+    y = both.join(size.select(F.col("j").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("j").alias("b"), F.col("n").alias("nb")), "b").crossJoin(F.broadcast(rows))
+    bounds = y.select("a", "b", "n_both", F.greatest(F.col("na") + F.col("nb") - F.col("n_rows"), F.lit(0)).alias("least"), F.least("na", "nb").alias("most"))
+    return bounds, p.join(effect.select("i", "e").distinct(), "i").groupBy("j", "e").agg(F.count(F.lit(1)).alias("n"))
 
 
 def l1_normalize(m: DataFrame) -> DataFrame:
@@ -98,17 +192,28 @@ def numeric_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 # ---------------------------------------------------------------- requirements against support
 
 
+def deficits(required: DataFrame, support: DataFrame) -> DataFrame:
+    """(need, target, n_supported, d): S and D = R (K - S)' over known features, by one join on the feature.
+
+    required(need, feature); support(target, feature, supported boolean), null or absent is unknown. Pairs without
+    a known required feature have no row.
+    """
+    known = support.filter("supported IS NOT NULL").groupBy("target", "feature").agg(F.bool_or("supported").alias("supported"))
+    x = required.select("need", "feature").distinct().join(known, "feature")
+    return x.groupBy("need", "target").agg(F.count_if(F.col("supported")).alias("n_supported"), F.count_if(~F.col("supported")).alias("d"))
+
+
 def plan_targets(required: DataFrame, support: DataFrame, targets: DataFrame) -> DataFrame:
     """Per (need, target): how many required features are supported, missing and unknown.
 
-    required(need, feature); support(target, feature, supported boolean), absent rows are unknown;
-    targets(target) is a small dimension.
+    The counts come from ``deficits``; unknown is what is left of a need's size, so features are never paired
+    with all targets. The result itself has a row per need and target.
     """
-    grid = required.select("need", "feature").distinct().crossJoin(F.broadcast(targets.select("target").distinct()))
-    x = grid.join(support.select("target", "feature", "supported"), ["target", "feature"], "left")
-    return x.groupBy("need", "target").agg(
-        F.count_if(F.col("supported")).alias("n_supported"), F.count_if(~F.col("supported")).alias("n_missing"), F.count_if(F.col("supported").isNull()).alias("n_unknown")
-    )
+    size = required.select("need", "feature").distinct().groupBy("need").agg(F.count(F.lit(1)).alias("n_need"))
+    grid = size.crossJoin(targets.select("target").distinct())
+    x = grid.join(deficits(required, support), ["need", "target"], "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    return x.select("need", "target", n("n_supported").alias("n_supported"), n("d").alias("n_missing"), (F.col("n_need") - n("n_supported") - n("d")).alias("n_unknown"))
 
 
 def eligible(plan: DataFrame) -> DataFrame:

@@ -6,9 +6,13 @@ that pruning loses no rule. Confidence is a whole percentage, cut off, as the ev
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import Staging
+
 
 def facts_long(df: DataFrame, case: str, columns: dict[str, str]) -> DataFrame:
     """(case_id, fact) with facts ``prefix:value``; nulls and blanks make no fact. columns: prefix -> column."""
@@ -80,21 +84,34 @@ def concept_closure(pairs: DataFrame, obj: str, attr: str) -> DataFrame:
     return common.groupBy("a", "extent_size").agg(F.array_join(F.array_sort(F.collect_list(F.col("b").cast("string"))), ";").alias("intent"))
 
 
-def greedy_cover(pairs: DataFrame, obj: str, attr: str, most: int = 10_000) -> list[tuple]:
-    """Objects chosen greedily until every attribute is covered: (object, newly covered), ties by the least object.
+def greedy_cover(pairs: DataFrame, obj: str, attr: str) -> DataFrame:
+    """(object, n_new, round): objects chosen greedily, most newly covered first, ties by the least object, until all is covered.
 
-    Each choice is one distributed aggregation that returns one row.
+    A round chooses every object that comes before each other one it shares an uncovered attribute with: these
+    choices cannot disturb each other, so the result is that of choosing one at a time. What is left is staged.
     """
-    left = pairs.select(F.col(obj).alias("o"), F.col(attr).alias("a")).distinct()
-    chosen: list[tuple] = []
-    for _ in range(most):
-        best = left.groupBy("o").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "o").first()
-        if best is None:
-            return chosen
-        chosen.append((best["o"], best["n"]))
-        covered = left.filter(F.col("o") == F.lit(best["o"])).select("a")
-        left = left.join(covered, "a", "left_anti")
-    raise RuntimeError("greedy_cover: bound of choices reached")
+    st = Staging(pairs.sparkSession, "cover")
+    left = st.put(pairs.select(F.col(obj).alias("o"), F.col(attr).alias("a")).filter("o IS NOT NULL AND a IS NOT NULL").distinct())
+    chosen: list[DataFrame] = []
+    rounds = 0
+    while left.limit(1).count():
+        rounds += 1
+        n = left.groupBy("o").agg((-F.count(F.lit(1))).alias("n"))
+        ranked = left.join(n, "o")
+        first = ranked.groupBy("a").agg(F.min(F.struct("n", "o")).alias("f"))
+        won = ranked.join(first, "a").groupBy("o").agg(F.bool_and(F.col("o") == F.col("f.o")).alias("all"), F.first("n").alias("n")).filter("all")
+        now = st.put(won.select(F.col("o").alias(obj), (-F.col("n")).alias("n_new"), F.lit(rounds).alias("round")))
+        chosen.append(now)
+        covered = left.join(now.select(F.col(obj).alias("o")), "o", "left_semi").select("a")
+        after = st.put(left.join(covered.distinct(), "a", "left_anti"))
+        st.drop(left)
+        left = after
+        if len(chosen) > 16:  # many small tables make slow plans
+            whole = st.put(reduce(DataFrame.unionByName, chosen))
+            st.drop(*chosen)
+            chosen = [whole]
+    none = pairs.select(F.col(obj), F.lit(0).cast("bigint").alias("n_new"), F.lit(0).alias("round")).limit(0)
+    return reduce(DataFrame.unionByName, chosen, none)
 
 
 def undominated(pairs: DataFrame, obj: str, attr: str) -> DataFrame:
@@ -106,26 +123,113 @@ def undominated(pairs: DataFrame, obj: str, attr: str) -> DataFrame:
     return n.join(x.select("o").distinct(), "o", "left_anti").select(F.col("o").alias(obj))
 
 
-def exact_cover_size(sets: dict[str, frozenset], most: int = 64) -> list[str]:
-    """A smallest choice of sets that covers everything: branch and bound on the driver, for at most ``most`` sets.
+def smallest_cover(sets: dict[str, frozenset], most_steps: int = 1_000_000) -> list[str]:
+    """A smallest choice of sets that covers everything, for a table of a few hundred sets on the driver.
 
-    Larger tables are reduced by ``undominated`` and covered by ``greedy_cover``.
+    Reduced first, again and again: a set that is part of another goes, an element that is held wherever another is goes, a set
+    that alone holds an element is chosen. What is left is searched by branch and bound; beyond ``most_steps`` branches
+    it is refused, never cut.
     """
-    if len(sets) > most:
-        raise ValueError("too many sets for an exact cover")
+    left = {k: set(v) for k, v in sets.items() if v}
+    chosen: list[str] = []
+    changed = True
+    while changed and left:
+        changed = False
+        for k in sorted(left, key=lambda k: (len(left[k]), k), reverse=False):
+            if any(left[k] < left[j] or (left[k] == left[j] and j < k) for j in left if j != k):
+                del left[k]
+                changed = True
+        holders: dict = {}
+        for k, v in left.items():
+            for x in v:
+                holders.setdefault(x, set()).add(k)
+        keep: list = []
+        for x in sorted(holders, key=lambda x: (len(holders[x]), str(x))):
+            if not any(holders[y] <= holders[x] for y in keep):
+                keep.append(x)
+        if len(keep) < len(holders):
+            changed = True
+            left = {k: v & set(keep) for k, v in left.items()}
+        for x in keep:
+            if len(holders[x]) == 1 and (k := next(iter(holders[x]))) in left:
+                chosen.append(k)
+                gone = left.pop(k)
+                left = {j: v - gone for j, v in left.items()}
+                changed = True
+        left = {k: v for k, v in left.items() if v}
+    return sorted([*chosen, *_searched({k: frozenset(v) for k, v in left.items()}, most_steps)])
+
+
+def _searched(sets: dict[str, frozenset], most_steps: int) -> list[str]:
     every = frozenset().union(*sets.values()) if sets else frozenset()
-    best: list[str] = sorted(sets)
-
-    def go(left: frozenset, chosen: list[str]) -> None:
-        nonlocal best
-        if not left:
+    best: list[str] = []
+    todo = set(every)
+    while todo:  # greedy upper bound
+        k = min(sets, key=lambda k: (-len(sets[k] & todo), k))
+        best.append(k)
+        todo -= sets[k]
+    steps = 0
+
+    def go(open_: frozenset, chosen: list[str]) -> None:
+        nonlocal best, steps
+        steps += 1
+        if steps > most_steps:
+            raise RuntimeError("smallest_cover: too many branches")
+        if not open_:
             best = list(chosen) if len(chosen) < len(best) else best
             return
-        if len(chosen) + 1 >= len(best):
+        widest = max(len(s & open_) for s in sets.values())
+        if len(chosen) + -(-len(open_) // widest) >= len(best):
             return
-        rare = min(left, key=lambda x: (sum(x in s for s in sets.values()), str(x)))
-        for k in sorted((k for k, s in sets.items() if rare in s), key=lambda k: (-len(sets[k] & left), k)):
-            go(left - sets[k], [*chosen, k])
+        rare = min(open_, key=lambda x: (sum(x in s for s in sets.values()), str(x)))
+        for k in sorted((k for k, s in sets.items() if rare in s), key=lambda k: (-len(sets[k] & open_), k)):
+            go(open_ - sets[k], [*chosen, k])
 
     go(every, [])
-    return sorted(best)
+    return best
+
+
+def rectangles(cells: set[tuple[str, str]]) -> dict[str, frozenset]:
+    """The maximal rectangles of a 0/1 matrix: rows that share columns, with all the columns they share."""
+    rows: dict[str, set[str]] = {}
+    for i, j in cells:
+        rows.setdefault(i, set()).add(j)
+    intents = {frozenset(c) for c in rows.values()}
+    grown = set(intents)
+    while grown:
+        grown = {a & b for a in grown for b in intents} - intents - {frozenset()}
+        intents |= grown
+    out = {}
+    for c in intents:
+        extent = sorted(i for i, have in rows.items() if c <= have)
+        out[f"{','.join(extent)} x {','.join(sorted(c))}"] = frozenset((i, j) for i in extent for j in c)
+    return out
+
+
+def rectangle_cover(cells: DataFrame, row: str, col: str) -> DataFrame:
+    """(rectangle, n_cells): fewest full rectangles that cover a 0/1 matrix, exactly.
+
+    Rows with equal columns and columns with equal rows are one first; what is left, a few hundred cells at most, is solved on
+    the driver.
+    """
+    spark = cells.sparkSession
+    p = cells.select(F.col(row).cast("string").alias("i"), F.col(col).cast("string").alias("j")).filter("i IS NOT NULL AND j IS NOT NULL").distinct()
+    for a, b in (("i", "j"), ("j", "i")):
+        sig = p.groupBy(a).agg(F.bit_xor(F.xxhash64(b)).alias("x"), F.bit_xor(F.xxhash64(b, F.lit(1))).alias("y"), F.count(F.lit(1)).alias("n"))
+        first = sig.groupBy("x", "y", "n").agg(F.min(a).alias(a))
+        p = p.join(first.select(a), a, "left_semi")
+    few = {(r["i"], r["j"]) for r in p.limit(MOST_CELLS + 1).collect()}
+    if len(few) > MOST_CELLS:
+        raise ValueError("rectangle_cover: too many different rows and columns")
+    found = rectangles(few)
+    return spark.createDataFrame([(k, len(found[k])) for k in smallest_cover(found)], "rectangle string, n_cells int")
+
+
+MOST_CELLS = 2000
+
+
+def strongest_rules(rules: DataFrame) -> DataFrame:
+    """Of rules with the same antecedent and consequent, the one of most support, then most joint."""
+    rest = [c for c in rules.columns if c not in ("antecedent", "consequent")]
+    best = rules.groupBy("antecedent", "consequent").agg(F.max(F.struct("support", "joint", *[c for c in rest if c not in ("support", "joint")])).alias("b"))
+    return best.select("antecedent", "consequent", *[F.col(f"b.{c}").alias(c) for c in rest])

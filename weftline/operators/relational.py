@@ -6,9 +6,10 @@ do not depend on the order of arrival. Extra columns pass through only where a f
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +18,21 @@ from weftline.session import Staging
 # ---------------------------------------------------------------- de-duplication and latest rows
 
 
+def origins(df: DataFrame, key: str, origin: Column) -> DataFrame:
+    """(key, origin, n_members): what a key was found in, a row per origin, whatever their number."""
+    return df.groupBy(key, origin.alias("origin")).agg(F.count(F.lit(1)).alias("n_members"))
+
+
 def dedup_with_provenance(df: DataFrame, key: str, order: str, provenance: Column, sep: str = "|") -> DataFrame:
     """One row per ``key``, the one with the least ``order``; ``provenance`` joins all sorted distinct origins.
 
-    Null keys form one group. The origins of a group are one text, so they should be short ids.
+    Null keys form one group. The joined text is for origins of a bounded set (sources, kinds); where each row has
+    its own, take ``origins``, which gives them as rows.
     """
     rest = [c for c in df.columns if c != key]
     best = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__b"))
     first = best.select(key, *[F.col(f"__b.{c}").alias(c) for c in rest])
-    origin = df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(provenance)), sep).alias("provenance"), F.count(F.lit(1)).alias("n_members"))
+    origin = origins(df, key, provenance).groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("origin")), sep).alias("provenance"), F.sum("n_members").alias("n_members"))
     return first.join(origin.withColumnRenamed(key, "__k"), F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
 
 
@@ -80,11 +87,20 @@ def set_quotient(pairs: DataFrame, row: str, col: str) -> DataFrame:
 
 
 def containment_join(need: DataFrame, have: DataFrame, need_id: str, have_id: str, item: str) -> DataFrame:
-    """(need_id, have_id): every item needed is had. One equi-join and a count; empty needs give no row."""
+    """(need_id, have_id): every item needed is had; empty needs give no row.
+
+    Each need meets only the holders of its rarest item; the other items are then looked up for those pairs.
+    """
     n, h = need.select(need_id, item).distinct(), have.select(have_id, item).distinct()
-    size = n.groupBy(need_id).agg(F.count(F.lit(1)).alias("__need"))
-    hit = n.join(h, item).groupBy(need_id, have_id).agg(F.count(F.lit(1)).alias("__hit"))
-    return hit.join(size, need_id).filter("__hit = __need").select(need_id, have_id)
+    held = h.groupBy(item).agg(F.count(F.lit(1)).alias("__f"))
+    per = n.join(held, item, "left").groupBy(need_id).agg(F.count(F.lit(1)).alias("__need"), F.min(F.struct(F.coalesce("__f", F.lit(0)).alias("f"), F.col(item).alias("i"))).alias("__r"))
+    rare = per.filter("__r.f > 0").select(need_id, "__need", F.col("__r.i").alias(item))
+    met = rare.join(h, item)
+    alone = met.filter("__need = 1").select(need_id, have_id)
+    rest = n.join(rare.select(need_id, item), [need_id, item], "left_anti")
+    hit = met.filter("__need > 1").select(need_id, have_id, "__need").join(rest, need_id).join(h, [have_id, item], "left_semi")
+    full = hit.groupBy(need_id, have_id).agg(F.first("__need").alias("__need"), F.count(F.lit(1)).alias("__hit")).filter("__hit = __need - 1")
+    return alone.unionByName(full.select(need_id, have_id))
 
 
 def vector_relations(pairs: DataFrame, vector: str, place: str) -> DataFrame:
@@ -121,8 +137,9 @@ def pairs_within(df: DataFrame, keys: Sequence[str], item: str, block: int = 409
     """
     have = reduce(lambda a, c: a & F.col(c).isNotNull(), [*keys, item], F.lit(True))
     one = df.filter(have).select(*keys, item).distinct()
-    size = one.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__parts"), F.count(F.lit(1)).alias("__k")).filter("__k > 1").drop("__k")
-    x = one.join(size, list(keys)).withColumn("__at", F.pmod(F.xxhash64(item), "__parts").cast("int"))
+    hot = one.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__parts")).filter("__parts > 1")
+    x = one.join(hot, list(keys), "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    x = x.withColumn("__at", F.pmod(F.xxhash64(item), "__parts").cast("int"))
     a = x.select(*keys, F.col(item).alias(f"{item}_a"), F.col("__at").alias("__p"), F.explode(F.sequence("__at", F.col("__parts") - 1)).alias("__q"))
     b = x.select(*keys, F.col(item).alias(f"{item}_b"), F.explode(F.sequence(F.lit(0), "__at")).alias("__p"), F.col("__at").alias("__q"))
     left, right = F.col(f"{item}_a"), F.col(f"{item}_b")
@@ -155,9 +172,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 def cooccurrence(pairs: DataFrame, case: str, item: str) -> DataFrame:
     """Joint case counts of items a < b (the Gram matrix above the diagonal)."""
-    p = pairs.select(case, item).distinct()
-    a, b = p.select(case, F.col(item).alias("a")), p.select(case, F.col(item).alias("b"))
-    return a.join(b, case).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_both"))
+    p = pairs_within(pairs.select(F.col(case).alias("case"), F.col(item).alias("item")), ["case"], "item")
+    return p.groupBy(F.col("item_a").alias("a"), F.col("item_b").alias("b")).agg(F.count(F.lit(1)).alias("n_both"))
 
 
 def transitions(before: DataFrame, after: DataFrame, key: str, status: str) -> DataFrame:
@@ -170,10 +186,28 @@ def transitions(before: DataFrame, after: DataFrame, key: str, status: str) -> D
 
 
 def islands(df: DataFrame, keys: Sequence[str], place: str) -> DataFrame:
-    """Closed ranges of consecutive places per key."""
-    w = Window.partitionBy(*keys).orderBy(place)
-    x = df.select(*keys, place).distinct().withColumn("__g", F.col(place) - F.row_number().over(w))
-    return x.groupBy(*keys, "__g").agg(F.min(place).alias("range_start"), F.max(place).alias("range_end")).drop("__g")
+    """Closed ranges of consecutive places per key.
+
+    Places are cut into ranges of (keys, place), so a hot key is spread over all of them. Runs inside a range are
+    final; only the first and last run of a key that goes on in another range are joined to their neighbours.
+    """
+    spark = df.sparkSession
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    one = df.select(*keys, F.col(place).alias("__x")).filter("__x IS NOT NULL").distinct()
+    laid = Staging(spark, "islands").put(one.repartitionByRange(parts, *keys, "__x").withColumn("__pid", F.spark_partition_id()))
+    inside = Window.partitionBy("__pid", *keys).orderBy("__x")
+    runs = laid.withColumn("__g", F.col("__x") - F.row_number().over(inside)).groupBy("__pid", *keys, "__g").agg(F.min("__x").alias("__s"), F.max("__x").alias("__e"))
+    ends = laid.groupBy("__pid", *keys).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    wide = ends.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")  # a key cut by a range: fewer than ranges
+    edge = ends.join(F.broadcast(wide), list(keys), "left_semi") if keys else ends
+    marked = runs.join(F.broadcast(edge), ["__pid", *keys], "left")
+    at_edge = F.coalesce((F.col("__s") == F.col("__lo")) | (F.col("__e") == F.col("__hi")), F.lit(False))
+    done = marked.filter(~at_edge).select(*keys, "__s", "__e")
+    along = Window.partitionBy(*keys).orderBy("__s")  # at most two runs per range and key
+    gap = F.when(F.col("__s") == F.lag("__e").over(along) + 1, 0).otherwise(1)
+    loose = marked.filter(at_edge).select(*keys, "__s", "__e").withColumn("__new", gap).withColumn("__g", F.sum("__new").over(along))
+    joined = loose.groupBy(*keys, "__g").agg(F.min("__s").alias("__s"), F.max("__e").alias("__e")).drop("__g")
+    return done.unionByName(joined).select(*keys, F.col("__s").alias("range_start"), F.col("__e").alias("range_end"))
 
 
 def lag_changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
@@ -197,22 +231,39 @@ def first_divergence(a: DataFrame, b: DataFrame, keys: Sequence[str], step: str,
 def greedy_units(df: DataFrame, key: str, order: Sequence[str], cost: str, most_cost: float, most_items: int) -> DataFrame:
     """Units filled in order within each key: a new unit where the cost or the number of items would pass its bound.
 
-    The fold runs over one key's ordered costs inside the JVM; keys should be groups of a bounded size.
-    Result: key, unit, n_items, unit_cost.
+    Rows stream in order through one pass that carries the open unit only, so a key of any size needs no memory.
+    A null cost counts 0. Result: key, unit, n_items, unit_cost.
     """
-    seq = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("double").alias("__c")))), lambda s: s["__c"]).alias("__cs"))
-    start = F.array().cast("array<struct<n:int,c:double>>")
-
-    def place(acc: Column, c: Column) -> Column:
-        n = F.size(acc)
-        last = F.element_at(acc, F.greatest(n, F.lit(1)))
-        fresh = F.struct(F.lit(1).alias("n"), c.alias("c"))
-        grown = F.struct((last["n"] + 1).alias("n"), (last["c"] + c).alias("c"))
-        new = (n == 0) | (last["c"] + c > most_cost) | (last["n"] >= most_items)
-        return F.when(new, F.concat(acc, F.array(fresh))).otherwise(F.concat(F.slice(acc, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(grown)))
-
-    x = seq.select(key, F.posexplode(F.aggregate("__cs", start, place)).alias("u", "s"))
-    return x.select(key, (F.col("u") + 1).alias("unit"), F.col("s.n").alias("n_items"), F.col("s.c").alias("unit_cost"))
+    kind = dict(df.dtypes)[key]
+    laid = df.select(key, *[c for c in order if c != key], F.coalesce(F.col(cost).cast("double"), F.lit(0.0)).alias("__c")).repartition(F.col(key)).sortWithinPartitions(key, *order)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list = []  # key, unit, items, cost
+        type_ = None
+
+        def rows(found: list[list]) -> pa.RecordBatch:
+            cols = list(zip(*found)) if found else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (type_, pa.int32(), pa.int32(), pa.float64()))], [key, "unit", "n_items", "unit_cost"])
+
+        for b in batches:
+            type_ = b.column(0).type
+            out: list[list] = []
+            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if open_ and open_[0] == k:
+                    if open_[3] + c > most_cost or open_[2] >= most_items:
+                        out.append(open_)
+                        open_ = [k, open_[1] + 1, 1, c]
+                    else:
+                        open_ = [k, open_[1], open_[2] + 1, open_[3] + c]
+                else:
+                    if open_:
+                        out.append(open_)
+                    open_ = [k, 1, 1, c]
+            yield rows(out)
+        if open_:
+            yield rows([open_])
+
+    return laid.select(key, "__c").mapInArrow(run, f"`{key}` {kind}, unit int, n_items int, unit_cost double")
 
 
 # ---------------------------------------------------------------- unions

@@ -67,9 +67,11 @@ def l1_normalise(spark: SparkSession, d: str) -> DataFrame:
     return M.l1_normalize(_a(spark, d)).withColumn("v", F.round("v", 9))
 
 
-@q(f"WITH {A} SELECT i, true AS is_stochastic FROM a GROUP BY 1")
+@q(f"WITH {A}, m AS (SELECT i, j, CASE WHEN i % 3 = 0 THEN v ELSE v / sum(v) OVER (PARTITION BY i) END AS v FROM a) SELECT i, abs(sum(v) - 1) < 1e-9 AS is_stochastic FROM m GROUP BY 1")
 def row_stochastic(spark: SparkSession, d: str) -> DataFrame:
-    return M.row_stochastic(M.l1_normalize(_a(spark, d)))
+    """Two thirds of the rows add up to one, the others hold counts."""
+    a = _a(spark, d)
+    return M.row_stochastic(M.l1_normalize(a.filter("i % 3 <> 0")).unionByName(a.filter("i % 3 = 0")))
 
 
 @q("SELECT p_partkey AS i, j, v FROM (SELECT p_partkey, 'p_size' AS j, p_size::DOUBLE AS v FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part) WHERE v <> 0")
@@ -130,9 +132,13 @@ def target_plan(spark: SparkSession, d: str) -> DataFrame:
     return M.plan_targets(*_support(spark, d))
 
 
-@q(f"WITH {SUPPORT} SELECT need, target FROM g GROUP BY 1, 2 HAVING count(*) = count(*) FILTER (WHERE supported)")
+@q(f"""WITH {SUPPORT}, wanted AS (SELECT 'as ' || target AS need, feature FROM sup WHERE supported AND feature IS NOT NULL AND ascii(feature) % 4 = 0)
+      SELECT need, t.target FROM wanted CROSS JOIN t LEFT JOIN sup s ON s.target = t.target AND s.feature = wanted.feature GROUP BY 1, 2 HAVING count(*) = count(*) FILTER (WHERE s.supported)""")
 def route_search(spark: SparkSession, d: str) -> DataFrame:
-    return M.eligible(M.plan_targets(*_support(spark, d)))
+    """Targets that support all that another one supports, of the features whose first letter's code divides by four."""
+    _, sup, targets = _support(spark, d)
+    need = sup.filter("supported AND feature IS NOT NULL").filter(F.ascii("feature") % 4 == 0).select(F.concat(F.lit("as "), "target").alias("need"), "feature")
+    return M.eligible(M.plan_targets(need, sup, targets))
 
 
 @q(f"""WITH {SUPPORT}, o AS (SELECT need, target, coalesce(string_agg(DISTINCT feature, ';' ORDER BY feature) FILTER (WHERE NOT supported), '') AS missing, coalesce(string_agg(DISTINCT feature, ';' ORDER BY feature) FILTER (WHERE supported IS NULL), '') AS unknown FROM g GROUP BY 1, 2)
@@ -311,7 +317,5 @@ def concept_closure_packages(spark: SparkSession, d: str) -> DataFrame:
 
 @q()
 def greedy_cover(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers chosen greedily until every part type and brand is covered."""
-    x = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    p = Staging(spark, "cover").put(x.select("l_suppkey", F.concat_ws("/", "p_brand", "p_type").alias("what")).distinct())
-    return spark.createDataFrame(X.greedy_cover(p, "l_suppkey", "what"), "s_suppkey long, n_new long")
+    """Suppliers chosen greedily until every part is covered."""
+    return X.greedy_cover(table(spark, d, "lineitem").select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey")

@@ -336,13 +336,21 @@ def mode_preference(spark: SparkSession, d: str) -> DataFrame:
 NORMAL = "regexp_replace(regexp_replace(regexp_replace(text, E'\\r\\n?', E'\\n', 'g'), E'[ \\t]+(\\n|$)', E'\\\\1', 'g'), E'\\n+$', '') || E'\\n'"
 
 
-@q(f"""WITH n AS (SELECT doc_id, source, sha256({NORMAL}) AS h FROM documents WHERE text IS NOT NULL)
-      SELECT h AS content_hash, min(doc_id) AS doc_id, count(*) AS n_members, string_agg(DISTINCT coalesce(source, '') || ':' || CAST(doc_id AS VARCHAR), '|' ORDER BY coalesce(source, '') || ':' || CAST(doc_id AS VARCHAR)) AS provenance FROM n GROUP BY 1""")
+@q(f"""WITH n AS (SELECT doc_id, coalesce(source, '') AS source, sha256({NORMAL}) AS h FROM documents WHERE text IS NOT NULL)
+      SELECT h AS content_hash, min(doc_id) AS doc_id, count(*) AS n_members, string_agg(DISTINCT source, '|' ORDER BY source) AS provenance FROM n GROUP BY 1""")
 def dedup_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by the hash of their normalised text: the least id survives, all origins are kept."""
-    x = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "source", X.content_hash(X.normalize_source(F.col("text"))).alias("content_hash"))
-    origin = F.concat(F.coalesce("source", F.lit("")), F.lit(":"), F.col("doc_id").cast("string"))
-    return R.dedup_with_provenance(x, "content_hash", "doc_id", origin).select("content_hash", "doc_id", "n_members", "provenance")
+    """Documents by the hash of their normalised text: the least id survives, with the sources it was found in."""
+    return R.dedup_with_provenance(_hashed_documents(spark, d), "content_hash", "doc_id", F.col("source")).select("content_hash", "doc_id", "n_members", "provenance")
+
+
+def _hashed_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), X.content_hash(X.normalize_source(F.col("text"))).alias("content_hash"))
+
+
+@q(f"SELECT sha256({NORMAL}) AS content_hash, coalesce(source, '') || ':' || CAST(doc_id AS VARCHAR) AS origin, count(*) AS n_members FROM documents WHERE text IS NOT NULL GROUP BY 1, 2")
+def document_origins(spark: SparkSession, d: str) -> DataFrame:
+    """Every origin of every text, a row each, so that a text held by a third of all documents is no single row."""
+    return R.origins(_hashed_documents(spark, d), "content_hash", F.concat("source", F.lit(":"), F.col("doc_id").cast("string")))
 
 
 @q("""SELECT count(*) AS n_docs, count(DISTINCT sha256(text)) AS n_hashes, CAST(sum(n_chars) AS BIGINT) AS n_chars, count(DISTINCT package_name) AS n_packages, count(*) FILTER (WHERE lang IS NULL) AS n_no_lang FROM documents""")
