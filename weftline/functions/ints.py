@@ -127,3 +127,14 @@ def compare(a: Column, b: Column, op: str) -> Column:
     """equal, not_equal, less, less_equal, greater, greater_equal; sign-aware, as values are in range."""
     x, y = _dec(a), _dec(b)
     return {"equal": x == y, "not_equal": x != y, "less": x < y, "less_equal": x <= y, "greater": x > y, "greater_equal": x >= y}[op]
+
+
+def value(x: Column, width: int, signed: bool) -> Column:
+    """A plain number taken into a domain; one that does not fit ends the query."""
+    fits = wrap(x, width, signed) == _dec(x)
+    return F.when(x.isNull() | fits, _dec(x)).otherwise(F.raise_error(F.concat(F.lit("outside the domain: "), x.cast("string"))))
+
+
+def format_value(x: Column, width: int, signed: bool) -> Column:
+    """Decimal text of a number of a domain."""
+    return value(x, width, signed).cast("decimal(38,0)").cast("string")

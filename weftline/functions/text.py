@@ -101,3 +101,39 @@ def dirname(c: Column) -> Column:
     """Folder part of a path; ``.`` where there is none."""
     t = F.regexp_replace(c, r"[/\\]+$", "")
     return F.when(t.rlike(r"[/\\]"), F.regexp_replace(t, r"[/\\][^/\\]*$", "")).otherwise(F.lit("."))
+
+
+def labels_of(c: Column, labels: dict[str, str]) -> Column:
+    """All labels whose word a text holds, in any case, in the order of ``labels``; none for null."""
+    low = F.lower(c)
+    return F.filter(F.array(*[F.when(low.contains(w), F.lit(k)) for w, k in labels.items()]), lambda x: x.isNotNull())
+
+
+def dispatch(c: Column, rules: list[tuple[str, tuple[str, ...]]], names: tuple[str, ...]) -> Column:
+    """A struct of the names: the values of the first rule whose word the text holds, else ``UNKNOWN`` in each."""
+    shaped = lambda values: F.struct(*[F.lit(v).alias(n) for n, v in zip(names, values)])
+    out = shaped(("UNKNOWN",) * len(names))
+    for word, values in reversed(rules):
+        out = F.when(F.lower(c).contains(word), shaped(values)).otherwise(out)
+    return out
+
+
+def validity(status: Column, yes: str, no: str) -> tuple[Column, Column]:
+    """Known and value of a status: unknown is neither."""
+    known = F.coalesce(status.isin(yes, no), F.lit(False))
+    return known, known & (status == yes)
+
+
+def sha_tagged(tag: str, c: Column) -> Column:
+    """SHA-256 of tag, NUL and text."""
+    return F.sha2(F.concat(F.lit(tag + "\x00"), c), 256)
+
+
+def tagged_digest(tag: str, record: Column) -> Column:
+    """The digest of a record's canonical JSON (members by name) under a tag."""
+    return sha_tagged(tag, canonical_json(record))
+
+
+def canonical_json(record: Column) -> Column:
+    """JSON text whose members stand by name, at every depth: read as a variant, which keeps them sorted."""
+    return F.to_json(F.parse_json(F.to_json(record)))

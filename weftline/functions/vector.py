@@ -7,10 +7,11 @@ runtime (infinities, NaN, 0), also under ANSI mode. An empty operand gives an em
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -204,3 +205,74 @@ def lgamma(x: pd.Series) -> pd.Series:
             return math.inf
 
     return x.map(one, na_action="ignore")
+
+
+def grep(pattern: str, a: Column) -> Column:
+    """1-based places of the elements that match."""
+    return which(F.transform(a, lambda x: F.coalesce(x.rlike(pattern), F.lit(False))))
+
+
+def colon(first: Column, last: Column) -> Column:
+    """first..last by ones, upwards or downwards."""
+    return F.sequence(first.cast("int"), last.cast("int"))
+
+
+def is_na(x: Column) -> Column:
+    """Null or NaN."""
+    return x.isNull() | F.isnan(x)
+
+
+def is_infinite(x: Column) -> Column:
+    return F.coalesce(F.abs(x.cast("double")) == float("inf"), F.lit(False))
+
+
+def is_finite(x: Column) -> Column:
+    return ~(is_na(x) | is_infinite(x))
+
+
+#: What the runtime calls Spark's types.
+TYPE_NAMES = {"string": "character", "boolean": "logical", "tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "float": "double", "double": "double"}
+
+
+def type_of(x: Column) -> Column:
+    """The runtime's name of a value's kind; null is ``NULL``, arrays and other nested values are lists."""
+    names = F.create_map(*[F.lit(v) for kv in TYPE_NAMES.items() for v in kv])
+    kind = F.typeof(x)
+    return F.when(x.isNull(), "NULL").otherwise(F.coalesce(F.try_element_at(names, kind), F.when(kind.startswith("decimal"), "double"), F.lit("list")))
+
+
+def sys_time() -> Column:
+    """Seconds since 1970 with their fraction."""
+    return F.unix_micros(F.current_timestamp()) / 1e6
+
+
+def sys_date() -> Column:
+    """Days since 1970."""
+    return F.unix_date(F.current_date())
+
+
+def stop(message: Column) -> Column:
+    """Ends the query with a message where it is evaluated."""
+    return F.raise_error(message)
+
+
+class Formula:
+    """A function of columns from a formula: ``arguments`` are names, some with a default after ``=``; the body is an SQL expression.
+
+    Arguments are given by place or by name; one without value or default is refused, as is an unknown name.
+    """
+
+    def __init__(self, name: str, arguments: str, body: str) -> None:
+        parsed = [a.partition("=") for a in arguments.split(",")]
+        self.name, self.names = name, [a.strip() for a, _, _ in parsed]
+        self.defaults = {a.strip(): F.expr(v) for a, eq, v in parsed if eq}
+        self.body = re.sub(r"\b(" + "|".join(map(re.escape, self.names)) + r")\b", r"__given.\1", body)
+
+    def apply(self, df: DataFrame, out: str, *given: Column, **named: Column) -> DataFrame:
+        """``df`` with the formula's value in ``out``; names of other columns cannot get in the way."""
+        if len(given) > len(self.names) or set(named) - set(self.names):
+            raise TypeError(f"{self.name}: arguments do not fit")
+        bound = self.defaults | dict(zip(self.names, given)) | named
+        if missing := [n for n in self.names if n not in bound]:
+            raise TypeError(f"{self.name}: no value for {', '.join(missing)}")
+        return df.withColumn("__given", F.struct(*[bound[n].alias(n) for n in self.names])).withColumn(out, F.expr(self.body)).drop("__given")

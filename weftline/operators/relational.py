@@ -342,3 +342,21 @@ def split_known(candidates: DataFrame, exact: DataFrame, parameterised: DataFram
     """(key, residual): EXACT where the key is known, PARAMETERISED where its family is, else NEW."""
     x = candidates.select(key, family).join(exact.select(key).distinct().withColumn("__e", F.lit(1)), key, "left").join(parameterised.select(family).distinct().withColumn("__p", F.lit(1)), family, "left")
     return x.select(key, F.when(F.col("__e") == 1, "EXACT").when(F.col("__p") == 1, "PARAMETERISED").otherwise("NEW").alias("residual"))
+
+
+def feasible_triples(edges: DataFrame) -> DataFrame:
+    """(src, mid, dst, only_by_mid): routes over one intermediate between three different nodes, and whether no direct edge does it."""
+    e = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct()
+    hops = e.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").filter("src <> dst")
+    return hops.join(e.withColumn("__d", F.lit(True)), ["src", "dst"], "left").select("src", "mid", "dst", F.col("__d").isNull().alias("only_by_mid"))
+
+
+def reverse_lookup(df: DataFrame, text: str, part: str, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose text holds a part and whose key is among ``ids``."""
+    return df.filter(F.col(text).contains(part)).join(ids.select(key), key, "left_semi")
+
+
+def ordered_children(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: str, sep: str = ",") -> DataFrame:
+    """(keys, joined): a group's items in order as one text; for groups of bounded size, as a node's operands are."""
+    rows = F.array_sort(F.collect_list(F.struct(*order)))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda s: s[item]), sep).alias("joined"))

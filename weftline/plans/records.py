@@ -37,7 +37,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("grp").alias("trace_id"), F.col("node").alias("node_id"), F.col("root").alias("root_node_id"), F.col("depth").cast("int").alias("node_depth"))
 
 
-@records.query()
+@records.query(f"""WITH RECURSIVE {TREES}, {LOOPS}, b AS (SELECT trace_id, node_id AS a, node_id, CAST(0 AS BIGINT) AS distance FROM d UNION ALL SELECT b.trace_id, b.a, n.node_id, b.distance + 1 FROM b JOIN n ON n.trace_id = b.trace_id AND n.parent = b.node_id),
+      s AS (SELECT trace_id, a AS node_id, count(*) - 1 AS n_below FROM b GROUP BY 1, 2), h AS (SELECT d.trace_id, d.node_id, d.root, d.depth, n.parent, s.n_below FROM d JOIN n USING (trace_id, node_id) JOIN s USING (trace_id, node_id)),
+      e AS (SELECT *, coalesce(sum(2 * (n_below + 1)) OVER (PARTITION BY trace_id, parent, CASE WHEN parent IS NULL THEN node_id END ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS step FROM h),
+      p AS (SELECT b.trace_id, b.node_id, sum(e.step) AS entry FROM b JOIN e ON e.trace_id = b.trace_id AND e.node_id = b.a GROUP BY 1, 2)
+      SELECT e.trace_id, e.node_id, e.root AS root_node_id, e.depth AS node_depth, CAST(p.entry AS BIGINT) AS entry, CAST(p.entry + 2 * e.n_below + 1 AS BIGINT) AS exit, e.n_below FROM e JOIN p USING (trace_id, node_id)
+      UNION ALL SELECT trace_id, src, -1, CASE WHEN bool_or(src = dst) THEN -1 ELSE -2 END, -1, -1, NULL FROM c GROUP BY 1, 2""")
 def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node: root, depth, interval and number of nodes below."""
     t = trace_tours(spark, sf_dir)
@@ -59,6 +64,15 @@ def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("grp").alias("trace_id"), F.col("ancestor").alias("node_id"), F.col("node").alias("below_node_id"), "distance")
 
 
+#: The evidence ids of a field, cut at every separator, without brackets and quotes: what SQL can say of p4 for ids.
+LOST = r"""g AS (SELECT row_id, observed_at, evidence_ids FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY observed_at DESC, evidence_ids DESC NULLS LAST) AS r FROM frontend_compiler_m_lang) WHERE r = 1),
+      i AS (SELECT row_id, observed_at, upper(trim(unnest(regexp_split_to_array(evidence_ids, '[;；,|\s\[\]"'']+')))) AS evidence_id FROM g WHERE row_id IS NOT NULL),
+      k AS (SELECT DISTINCT trace_id, TRY_CAST(trim(node_id, E' \t\n') AS BIGINT) AS node_id, min(recorded_at) AS born FROM semantic_trace_node GROUP BY 1, 2),
+      lost AS (SELECT 'semantic_contract_reference' AS src_table, ref_id AS src_id, 'node_id' AS field_name, CAST(node_id AS VARCHAR) AS ref_key, strftime(referenced_at, '%Y-%m') AS ref_period FROM semantic_contract_reference r WHERE node_id IS NOT NULL AND trace_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.trace_id = r.trace_id AND k.node_id = r.node_id AND k.born <= r.referenced_at)
+      UNION SELECT 'semantic_contract_reference', ref_id, 'contract_id', CAST(contract_id AS VARCHAR), strftime(referenced_at, '%Y-%m') FROM semantic_contract_reference r WHERE contract_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM semantic_contract c WHERE c.contract_id = r.contract_id AND created_at <= referenced_at AND (deleted_at IS NULL OR referenced_at < deleted_at))
+      UNION SELECT 'frontend_compiler_m_lang', row_id, 'evidence_ids', evidence_id, strftime(observed_at, '%Y-%m') FROM i WHERE evidence_id <> '' AND NOT EXISTS (SELECT 1 FROM frontend_compiler_evidence e WHERE upper(trim(e.evidence_id)) = i.evidence_id AND published_at <= observed_at AND (retired_at IS NULL OR observed_at < retired_at)))"""
+
+
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = table(spark, sf_dir, "semantic_contract_reference")
     nodes = table(spark, sf_dir, "semantic_trace_node").select("trace_id", whole_number("node_id").alias("node_id"), "recorded_at")
@@ -84,7 +98,7 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@records.query()
+@records.query(f"WITH {LOST} SELECT * FROM lost")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References to nodes, contracts and evidence that did not exist when named."""
     return _orphans(spark, sf_dir)
@@ -98,7 +112,7 @@ def p3_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("ref_id", "contract_id", orphans.period_text(F.col("period")).alias("ref_period"))
 
 
-@records.query()
+@records.query(f"WITH {LOST} SELECT src_table, field_name, ref_period, count(*) AS n_orphans FROM lost GROUP BY 1, 2, 3")
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphans per table, field and month."""
     return orphans.orphan_report(_orphans(spark, sf_dir), "src_table", "field_name", "ref_period")

@@ -174,8 +174,8 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q()
+@q("SELECT p_partkey, round(gamma(p_size / 8.0), 6) AS gamma_v, round(lgamma(p_size), 6) AS lgamma_v FROM part")
 def gamma_funcs(spark: SparkSession, d: str) -> DataFrame:
     """Gamma and log-gamma of part sizes (no JVM function exists; one Arrow call per batch)."""
     x = F.col("p_size").cast("double")
-    return table(spark, d, "part").select("p_partkey", V.gamma(x).alias("gamma_v"), V.lgamma(x).alias("lgamma_v"))
+    return table(spark, d, "part").select("p_partkey", F.round(V.gamma(x / 8), 6).alias("gamma_v"), F.round(V.lgamma(x), 6).alias("lgamma_v"))
