@@ -57,10 +57,10 @@ def test_streams(spark, tmp_path):
     src, schema = str(tmp_path / "in"), "k string, at timestamp"
     add = lambda rows, n: spark.createDataFrame(rows, "k string").selectExpr("k", "timestamp'2024-01-01 00:00:00' AS at").coalesce(1).write.mode("append").parquet(src)  # noqa: E731, ARG005
     add([("a",), ("b",), ("a",)], 1)
-    run = lambda: T.run_counts(T.folder_stream(spark, src, schema), ["k"], "t_counts", str(tmp_path / "ck")).awaitTermination()
+    run = lambda: T.run_counts(T.folder_stream(spark, src, schema), ["k"], str(tmp_path / "counts"), str(tmp_path / "ck")).awaitTermination()
     run()
-    assert {tuple(r) for r in spark.table("t_counts").collect()} == {("a", 2), ("b", 1)}
-    dd = lambda: T.run_dedup(T.folder_stream(spark, src, schema), "k", str(tmp_path / "dd"), str(tmp_path / "ck2")).awaitTermination()
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "counts")).collect()} == {("a", 2), ("b", 1)}
+    dd = lambda: T.run_dedup(T.folder_stream(spark, src, schema), "k", str(tmp_path / "dd"), str(tmp_path / "ck2"), "at").awaitTermination()
     dd()
     add([("a",), ("c",)], 2)
     dd()

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.relational import numbered, pairs_within
 from weftline.session import Staging
 
 
@@ -36,15 +37,23 @@ def rules_one(facts: DataFrame, min_support: int = 2, min_joint: int = 2) -> Dat
 
 
 def rules_two(facts: DataFrame, min_support: int = 4, min_joint: int = 2) -> DataFrame:
-    """Two antecedents x < y -> z."""
-    n = _frequent(facts, min_support)
-    f = facts.join(n.select("fact"), "fact", "left_semi")
-    x, y = f.select("case_id", F.col("fact").alias("x")), f.select("case_id", F.col("fact").alias("y"))
-    pair = x.join(y, "case_id").filter("x < y")
-    support = pair.groupBy("x", "y").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_support)
-    z = facts.select("case_id", F.col("fact").alias("z"))
-    joint = pair.join(support.select("x", "y"), ["x", "y"], "left_semi").join(z, "case_id").filter("z <> x AND z <> y").groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("joint")).filter(F.col("joint") >= min_joint)
-    return joint.join(support, ["x", "y"]).select("x", "y", "z", "support", "joint", F.expr("joint * 100 div support").alias("confidence_percent"))
+    """Two antecedents x < y -> z.
+
+    Facts are numbered in their order; the pairs of a case come from blocks, so that a case with very many facts is
+    spread, and are staged once. Only frequent pairs meet the third fact.
+    """
+    st = Staging(facts.sparkSession, "rules")
+    named = st.put(numbered(facts.groupBy("fact").agg(F.count(F.lit(1)).alias("support")), ["fact"], "f").select("fact", "support", F.col("f").cast("bigint").alias("f")))
+    coded = st.put(facts.join(named.select("fact", "f"), "fact").select("case_id", "f"))
+    often = coded.join(named.filter(F.col("support") >= min_support).select("f"), "f", "left_semi")
+    pair = st.put(pairs_within(often, ["case_id"], "f").select("case_id", F.col("f_a").alias("fx"), F.col("f_b").alias("fy")))
+    support = pair.groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_support)
+    z = coded.select("case_id", F.col("f").alias("fz"))
+    met = pair.join(support, ["fx", "fy"]).join(z, "case_id").filter("fz <> fx AND fz <> fy")
+    joint = met.groupBy("fx", "fy", "fz", "support").agg(F.count(F.lit(1)).alias("joint")).filter(F.col("joint") >= min_joint)
+    name = lambda k: named.select(F.col("f").alias(f"f{k}"), F.col("fact").alias(k))
+    x = joint.join(name("x"), "fx").join(name("y"), "fy").join(name("z"), "fz")
+    return x.select("x", "y", "z", "support", "joint", F.expr("joint * 100 div support").alias("confidence_percent"))
 
 
 def classify_rule(confidence: str, support: str, groups: str) -> F.Column:

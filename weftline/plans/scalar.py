@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from weftline.functions import ints as I
 from weftline.functions import text as X
 from weftline.functions import vector as V
 from weftline.plans.registry import Registry, table
-from weftline.session import shared_dir
+from weftline.session import Staging
 from weftline.streaming import evidence as S
 
 scalar = Registry()
@@ -152,26 +151,56 @@ def json_harvest(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("key_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _arrived(spark: SparkSession, d: str, root: str, shards: int) -> tuple[DataFrame, list]:
+    """A growing folder over events and what adds its shards, one at a time."""
+    e = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp")).drop("ts")
+    schema = ", ".join(f"{n} {t}" for n, t in e.dtypes)
+    e.limit(0).write.parquet(f"{root}/in")
+    adds = [lambda k=k: e.filter(F.pmod(F.col("event_id"), F.lit(shards)) == k).write.mode("append").parquet(f"{root}/in") for k in range(shards)]
+    return S.folder_stream(spark, f"{root}/in", schema), adds
+
+
 @q("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The counts kept by a checkpointed stream over the events folder, after all that is there has arrived."""
-    run = uuid.uuid4().hex[:12]
-    schema = table(spark, d, "events").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
-    s = S.folder_stream(spark, d, schema, pattern="events.parquet")
-    query = S.run_counts(s, ["event_type"], f"counts_{run}", f"{shared_dir(spark)}/stream-{run}")
-    query.awaitTermination()
-    return spark.table(f"counts_{run}")
+    """Counts kept by a checkpointed stream over a folder that grows between three runs of it."""
+    root = Staging(spark, "stream").root
+    s, adds = _arrived(spark, d, root, 3)
+    for add in adds:
+        add()
+        S.run_counts(s, ["event_type"], f"{root}/counts", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/counts")
 
 
 @q("SELECT user_id, count(*) AS n FROM events GROUP BY 1")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Events by user after a stream has kept the first arrival of each event."""
-    run = uuid.uuid4().hex[:12]
-    schema = table(spark, d, "events").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
-    s = S.folder_stream(spark, d, schema, pattern="events.parquet")
-    out = f"{shared_dir(spark)}/dedup-{run}"
-    S.run_dedup(s, "event_id", out, f"{shared_dir(spark)}/stream-{run}").awaitTermination()
-    return spark.read.parquet(out).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    """Events by user after a stream has kept the first arrival of each event; half of them arrive twice."""
+    root = Staging(spark, "stream").root
+    s, adds = _arrived(spark, d, root, 2)
+    for add in (adds[0], adds[1], adds[0]):
+        add()
+        S.run_dedup(s, "event_id", f"{root}/out", f"{root}/state", "at", "3650 days").awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("SELECT event_id, upper(event_type) AS kind, 1 AS n_times FROM events")
+def stream_resume(spark: SparkSession, d: str) -> DataFrame:
+    """Every record worked on once though the stream starts anew over all of it."""
+    root = Staging(spark, "stream").root
+    s, adds = _arrived(spark, d, root, 2)
+    for k, add in enumerate(adds):
+        add()
+        S.run_resumable(s, "event_id", lambda x: x.select("event_id", F.upper("event_type").alias("kind")), f"{root}/out", f"{root}/state-{k}").awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy("event_id", "kind").agg(F.count(F.lit(1)).cast("int").alias("n_times"))
+
+
+@q("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events WHERE ts < (SELECT date_trunc('day', max(ts) - INTERVAL 1 DAY) FROM events) GROUP BY 1, 2")
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Counts per day of event time, given out once the watermark of a day has passed the day."""
+    root = Staging(spark, "stream").root
+    s, adds = _arrived(spark, d, root, 1)
+    adds[0]()
+    S.run_windows(s, "at", "event_type", "1 day", "1 day", f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
 @q("SELECT p_partkey, round(gamma(p_size / 8.0), 6) AS gamma_v, round(lgamma(p_size), 6) AS lgamma_v FROM part")

@@ -216,19 +216,32 @@ def write_by_family(df: DataFrame, family: str, path: str) -> None:
 KEY_BUCKETS = 64
 
 
-def append_new(df: DataFrame, key: str, path: str) -> int:
-    """Append the rows whose key the target does not hold yet; the number appended. A second run appends nothing.
+def unseen(df: DataFrame, key: str, path: str) -> DataFrame:
+    """One row per key that the target does not hold yet, with the bucket it belongs to.
 
     The target is laid out by a hash of the key. Only the keys of the buckets that the new rows fall into are read.
     """
     spark = df.sparkSession
-    fresh = df.dropDuplicates([key]).withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int"))
-    if exists(spark, path):
-        wanted = [r[0] for r in fresh.select("key_bucket").distinct().collect()]  # at most KEY_BUCKETS
-        have = spark.read.parquet(path).filter(F.col("key_bucket").isin(wanted)).select(key)
-        fresh = fresh.join(have, key, "left_anti")
+    fresh = df.dropDuplicates([key]).withColumn("key_bucket", _bucket(key))
+    if not exists(spark, path):
+        return fresh
+    wanted = [r[0] for r in fresh.select("key_bucket").distinct().collect()]  # at most KEY_BUCKETS
+    return fresh.join(spark.read.parquet(path).filter(F.col("key_bucket").isin(wanted)).select(key), key, "left_anti")
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def append_rows(df: DataFrame, key: str, path: str) -> None:
+    """Append rows to a target laid out by a hash of the key."""
+    df.withColumn("key_bucket", _bucket(key)).write.mode("append").partitionBy("key_bucket").parquet(path)
+
+
+def append_new(df: DataFrame, key: str, path: str) -> int:
+    """Append the rows whose key the target does not hold yet; the number appended. A second run appends nothing."""
     seen = Observation()
-    fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("key_bucket").parquet(path)
+    append_rows(unseen(df, key, path).observe(seen, F.count(F.lit(1)).alias("n")), key, path)
     return int(seen.get["n"])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from weftline.sources.files import exists
+from weftline.sources.files import append_rows, replace_table, unseen
 
 
 def folder_stream(spark: SparkSession, path: str, schema: str, pattern: str = "*.parquet", per_trigger: int | None = None) -> DataFrame:
@@ -23,35 +23,34 @@ def folder_stream(spark: SparkSession, path: str, schema: str, pattern: str = "*
     return r.parquet(path)
 
 
-def run_counts(stream: DataFrame, keys: list[str], table: str, checkpoint: str) -> StreamingQuery:
-    """Counts per key over all that has arrived, kept complete in a memory table; a restart resumes from the checkpoint."""
+def run_counts(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> StreamingQuery:
+    """Counts per key over all that has arrived; after every batch the whole table replaces the last in the folder
+    ``out``, so nothing is gathered on the driver. A restart resumes from the checkpoint."""
     counts = stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: replace_table(df, out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_dedup(stream: DataFrame, key: str, out: str, checkpoint: str, event_time: str | None = None, lateness: str = "1 hour") -> StreamingQuery:
-    """First arrival per key, appended to Parquet. With an event time the state is bounded by the watermark."""
-    if event_time:
-        unique = stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark([key])
-    else:
-        unique = stream.dropDuplicates([key])
+def run_dedup(stream: DataFrame, key: str, out: str, checkpoint: str, event_time: str, lateness: str = "1 hour") -> StreamingQuery:
+    """First arrival per key, appended to Parquet; the state holds the keys within the watermark only."""
+    unique = stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark([key])
     return unique.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_resumable(stream: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Each new record once through ``work``; records whose key the result holds already are skipped,
-    so a batch that is run again after a failure adds nothing twice."""
+    """Each new record once through ``work``, which keeps the key; records whose key the result holds already are
+    skipped, so a batch that is run again after a failure adds nothing twice. Only the key buckets at hand are read."""
 
     def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        fresh = df.dropDuplicates([key])
-        if exists(spark, out):
-            fresh = fresh.join(spark.read.parquet(out).select(key), key, "left_anti")
-        work(fresh).write.mode("append").parquet(out)
+        append_rows(work(unseen(df, key, out).drop("key_bucket")), key, out)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_windows(stream: DataFrame, at: str, key: str, width: str, lateness: str, out: str, checkpoint: str) -> StreamingQuery:
+    """``windowed_counts`` appended to Parquet as windows close."""
+    return windowed_counts(stream, at, key, width, lateness).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(stream: DataFrame, at: str, key: str, width: str, lateness: str) -> DataFrame:
     """Counts per key and tumbling window of event time; late rows beyond the watermark are left out (an extension)."""
     return stream.withWatermark(at, lateness).groupBy(F.window(at, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
