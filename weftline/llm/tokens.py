@@ -1,12 +1,14 @@
 """Sizes of texts in tokens of a public tokenizer.
 
-The vocabulary is a ``.tiktoken`` rank file; its path is a parameter. Where none is given, the
-installed ``public_tokenizers`` package or the folder in ``$PUBLIC_TOKENIZERS`` provides it.
+The vocabulary is a ``.tiktoken`` rank file; its path on the driver is a parameter. Where none is given, the
+installed ``public_tokenizers`` package or the folder in ``$PUBLIC_TOKENIZERS`` provides it. Its content, of a
+size that the file fixes, is sent to the executors, which need no file of their own.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -30,13 +32,20 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
         return os.path.join("/opt/tokenizers", name)
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str):  # noqa: ANN201
+def _encoding(ranks: bytes):  # noqa: ANN202
     import tiktoken
 
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str):  # noqa: ANN201
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return _encoding(f.read())
+
+
+#: Encoders of this worker by the digest of their vocabulary.
+_BUILT: dict[str, object] = {}
 
 
 def count_tokens(text: str, path: str) -> int:
@@ -46,12 +55,18 @@ def count_tokens(text: str, path: str) -> int:
 
 def with_token_counts(docs: DataFrame, text: str, keep: list[str], path: str | None = None, out: str = "n_tokens") -> DataFrame:
     """``keep`` columns and the number of tokens of each text; a null text has 0. Only numbers leave the pass."""
-    where = path or vocabulary_path()
+    with open(path or vocabulary_path(), "rb") as f:
+        ranks = f.read()
+    digest = hashlib.sha256(ranks).hexdigest()
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if digest not in _BUILT:
+            _BUILT[digest] = _encoding(sent.value)
+        encode = _BUILT[digest].encode_ordinary
         for b in batches:
-            n = [count_tokens(t, where) if (t := x.as_py()) else 0 for x in b.column(len(keep))]
+            n = [len(encode(t)) if (t := x.as_py()) else 0 for x in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(n, pa.int64())], [*keep, out])
 
     return docs.select(*keep, F.col(text)).mapInArrow(run, f"{kinds}, `{out}` bigint")
