@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from weftline.llm.similar import SimilarSets, _multipliers, minhash_bits, radius_for, segments_for, sets_of
+from weftline.llm.similar import ENTRY, Near, SimilarSets, _block_pairs, _meet, _multipliers, minhash_bits, radius_for, segments_for, sets_of
 
 
 def made(seed: int) -> list[tuple[int, list | None, list | None, int]]:
@@ -46,7 +46,35 @@ def test_hot_group_of_copies(spark):
     """A third of all records share one set: every pair once, none among the rest."""
     rows = [(i, ["p", "q", "r", "s"], 1) for i in range(60)] + [(100 + i, [f"a{i}", f"b{i}", f"c{i}"], 1) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, x array<string>, at int")
-    assert SimilarSets(sets_of(df, "id", ["x"], "at")).record_pairs().count() == 60 * 59 // 2
+    s = SimilarSets(sets_of(df, "id", ["x"], "at"))
+    assert s.record_pairs().count() == 60 * 59 // 2
+    assert {(r.record, r.class_id, r.n_links) for r in s.classes().collect()} == {(i, 0 if i < 60 else i, 0) for i in [*range(60), *range(100, 220)]}
+
+
+def test_classes_and_representatives(spark):
+    """Copies are one class; links are counted between classes."""
+    a, b, c = ["p", "q", "r", "s", "t"], ["p", "q", "r", "s"], ["x", "y", "z"]
+    df = spark.createDataFrame([(1, a, 1), (2, a, 1), (3, b, 1), (4, b[::-1], 1), (5, c, 1), (6, ["x"], 1)], "id long, x array<string>, at int")
+    s = SimilarSets(sets_of(df, "id", ["x"], "at"))
+    assert {(r.record, r.class_id, r.n_links) for r in s.classes().collect()} == {(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 3, 1), (5, 5, 0)}
+    assert [(r.field, r.a, r.b) for r in s.representative_pairs().collect()] == [("x", 1, 3)]
+
+
+def test_hot_segments_as_block_pairs():
+    """Cores that agree in a hot segment are compared in blocks: the same pairs as in one piece."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    entry = np.zeros(57, ENTRY)
+    entry["c1"], entry["size"] = r.permutation(57), 5
+    entry["code"] = r.integers(0, 4, 57).astype(np.uint64)
+    t = pa.table({"part": pa.array([0], pa.int32()), "width": pa.array([1], pa.int32()), "cores": [entry.tobytes()], "keys": [np.zeros((57, 1), np.uint32).tobytes()]})
+    near = Near(3, 5, 1)
+    pairs = lambda x: {(a, b) for a, b, w in zip(x["a1"].to_pylist(), x["b1"].to_pylist(), x["x"].to_pylist()) if w is None}
+    whole, cut = _meet(near)(t), _meet(near, hot=10)(t)
+    assert pairs(cut) == set() and len(pairs(whole)) > 100
+    blocks = cut.filter(pa.compute.is_valid(cut["x"]))
+    assert pairs(pa.Table.from_batches(_block_pairs(near)(blocks.to_batches()))) == pairs(whole)
 
 
 def test_empty(spark):

@@ -70,10 +70,25 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.report(m.copies())
 
 
+def _similar(spark: SparkSession, sf_dir: str) -> similar.SimilarSets:
+    files = table(spark, sf_dir, "semantic_package_file")
+    return similar.SimilarSets(similar.sets_of(files, "file_id", ["symbols", "dependencies"], "imported_at"))
+
+
 @llm.query()
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of package files that share at least 0.6 of their symbols, or of their dependencies."""
-    files = table(spark, sf_dir, "semantic_package_file")
-    sets = similar.sets_of(files, "file_id", ["symbols", "dependencies"], "imported_at")
-    pairs = similar.SimilarSets(sets).record_pairs()
+    pairs = _similar(spark, sf_dir).record_pairs()
     return pairs.select(F.col("field").alias("field_name"), F.col("record_a").cast("bigint").alias("file_id_a"), F.col("record_b").cast("bigint").alias("file_id_b"))
+
+
+@llm.query()
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with a set of three values or more: the class of its set and the number of classes similar to it."""
+    return _similar(spark, sf_dir).classes().select(F.col("field").alias("field_name"), F.col("record").cast("bigint").alias("file_id"), "class_id", "n_links")
+
+
+@llm.query()
+def p1_class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of similar classes, each named by its least file: copies are not expanded into pairs."""
+    return _similar(spark, sf_dir).representative_pairs().select(F.col("field").alias("field_name"), F.col("a").cast("bigint").alias("file_id_a"), F.col("b").cast("bigint").alias("file_id_b"))

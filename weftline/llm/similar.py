@@ -530,6 +530,24 @@ class SimilarSets:
         """(ka, kb): classes, named by ``k1, k2``, with different sets that are similar."""
         return self._expanded(self.cores.select("c1", "c2", "own", "k1", "k2"), []).select("ka", "kb")
 
+    def _named(self) -> DataFrame:
+        """(k1, k2, field, class_id): classes by the least record that holds them now."""
+        return self.members.groupBy("k1", "k2").agg(F.first("field").alias("field"), F.min("record").alias("class_id"))
+
+    def representative_pairs(self) -> DataFrame:
+        """(field, a, b): pairs of similar classes by their least records, a < b."""
+        named = self.st.put(self._named())
+        side = lambda p: named.select(F.struct("k1", "k2").alias(f"k{p}"), F.col("field").alias(f"f{p}"), F.col("class_id").alias(f"r{p}"))
+        x = self.class_pairs().join(side("a"), "ka").join(side("b"), "kb")
+        return x.select(F.col("fa").alias("field"), F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+
+    def classes(self) -> DataFrame:
+        """(field, record, class_id, n_links): a row per record with a set; links are the other classes similar to its own."""
+        pairs = self.st.put(self.class_pairs())
+        links = pairs.select(F.explode(F.array("ka", "kb")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n_links")).select("k.k1", "k.k2", "n_links")
+        named = self._named().drop("field").join(links, ["k1", "k2"], "left")
+        return self.members.join(named, ["k1", "k2"]).select("field", "record", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
     def record_pairs(self) -> DataFrame:
         """(field, record_a, record_b): all similar pairs of records."""
         held = self.cores.select("c1", "c2", "own", "k1", "k2").join(self.members, ["k1", "k2"])
