@@ -10,23 +10,37 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LEX = re.compile(
-    r"""(?P<comment>//[^\n]*|\#[^\n]*|/\*(?:.*?\*/|.*))|(?P<string>"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`[^`]*`?)"""
-    r"""|(?P<number>0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<identifier>[^\W\d]\w*)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<operator>[^\s\w()\[\]{}"'`]+?)""",
-    re.S,
-)
+#: What begins a comment up to the line's end, by language; other languages take both.
+LINE_COMMENTS = {"c": "//", "cpp": "//", "csharp": "//", "go": "//", "java": "//", "javascript": "//", "typescript": "//", "rust": "//", "swift": "//", "kotlin": "//", "python": "#", "ruby": "#", "r": "#"}
+
+
+@lru_cache(maxsize=32)
+def lexer_for(language: str | None = None) -> re.Pattern:
+    """The tokens of a language; without one ``//`` and ``#`` both begin comments."""
+    marks = [LINE_COMMENTS[language]] if language in LINE_COMMENTS else ["//", "#"]
+    line = "|".join(re.escape(m) + r"[^\n]*" for m in marks)
+    block = r"|/\*(?:.*?\*/|.*)" if "//" in marks else ""
+    return re.compile(
+        rf"""(?P<comment>{line}{block})"""
+        r"""|(?P<string>"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`[^`]*`?)"""
+        r"""|(?P<number>0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<identifier>[^\W\d]\w*)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<operator>[^\s\w()\[\]{}"'`]+?)""",
+        re.S,
+    )
+
+
 PAIRS = {")": "(", "]": "[", "}": "{"}
 
 
-def lex(text: str) -> Iterator[tuple[str, str, int, int]]:
+def lex(text: str, language: str | None = None) -> Iterator[tuple[str, str, int, int]]:
     """(class, text, offset, depth) of each token."""
     depth = 0
-    for m in LEX.finditer(text):
+    for m in lexer_for(language).finditer(text):
         kind = m.lastgroup or "operator"
         if kind == "close":
             depth -= 1
@@ -98,9 +112,9 @@ def _table(df: DataFrame, key: str, text: str, names: list[str], kinds: list[pa.
     return df.select(key, text).mapInArrow(run, f"`{key}` {key_type}, {schema}")
 
 
-def token_stream(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token_class, token, token_offset, depth) of every text; null and blank texts give none."""
-    return _table(df, key, text, ["token_class", "token", "token_offset", "depth"], [pa.string(), pa.string(), pa.int32(), pa.int32()], "token_class string, token string, token_offset int, depth int", lambda t: lex(t or ""))
+def token_stream(df: DataFrame, key: str, text: str, language: str | None = None) -> DataFrame:
+    """(key, token_class, token, token_offset, depth) of every text; null and blank texts give none. ``language`` tells what a comment is."""
+    return _table(df, key, text, ["token_class", "token", "token_offset", "depth"], [pa.string(), pa.string(), pa.int32(), pa.int32()], "token_class string, token string, token_offset int, depth int", lambda t: lex(t or "", language))
 
 
 def bracket_pairs(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -6,7 +6,7 @@ do not depend on the order of arrival. Extra columns pass through only where a f
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -360,3 +360,59 @@ def ordered_children(df: DataFrame, keys: Sequence[str], order: Sequence[str], i
     """(keys, joined): a group's items in order as one text; for groups of bounded size, as a node's operands are."""
     rows = F.array_sort(F.collect_list(F.struct(*order)))
     return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda s: s[item]), sep).alias("joined"))
+
+
+def bind_arguments(arguments: DataFrame, parameters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(call, parameter, argument) of the arguments that bind, and (call, argument, fault) of those that do not.
+
+    arguments(call, callee, argument, place, name): bound by ``name`` where it has one, else by ``place``; parameters(callee,
+    place, parameter). Faults: ``unknown`` names no parameter, ``duplicate`` means a parameter bound more than once.
+    """
+    p = parameters.select("callee", F.col("place").alias("__at"), "parameter").distinct()
+    named = arguments.filter("name IS NOT NULL").join(p.drop("__at"), (arguments["callee"] == p["callee"]) & (F.col("name") == F.col("parameter")), "left").select("call", "argument", "parameter")
+    placed = arguments.filter("name IS NULL").join(p, (arguments["callee"] == p["callee"]) & (F.col("place") == F.col("__at")), "left").select("call", "argument", "parameter")
+    every = named.unionByName(placed)
+    lost = every.filter("parameter IS NULL").select("call", "argument", F.lit("unknown").alias("fault"))
+    bound = every.filter("parameter IS NOT NULL")
+    twice = bound.groupBy("call", "parameter").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
+    more = bound.join(twice, ["call", "parameter"], "left_semi").select("call", "argument", F.lit("duplicate").alias("fault"))
+    return bound.join(twice, ["call", "parameter"], "left_anti").select("call", "parameter", "argument"), lost.unionByName(more)
+
+
+def with_timeout(df: DataFrame, key: str, text: str, work: Callable[[str | None], str], seconds: float) -> DataFrame:
+    """(key, state, result) of ``work`` on each text: OK, ERROR with its message, or TIMEOUT after so many seconds; the others go on.
+
+    The clock is a signal of the worker process, so work that never returns to Python is not interrupted.
+    """
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import signal
+
+        class Late(BaseException):
+            pass
+
+        def late(*_: object) -> None:
+            raise Late
+
+        before = signal.signal(signal.SIGALRM, late)
+        try:
+            for b in batches:
+                state, result = [], []
+                for t in b.column(1).to_pylist():
+                    try:
+                        signal.setitimer(signal.ITIMER_REAL, seconds)
+                        got = ("OK", work(t))
+                    except Late:
+                        got = ("TIMEOUT", None)
+                    except Exception as e:  # noqa: BLE001
+                        got = ("ERROR", str(e))
+                    finally:
+                        signal.setitimer(signal.ITIMER_REAL, 0)
+                    state.append(got[0])
+                    result.append(got[1])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(state, pa.string()), pa.array(result, pa.string())], [key, "state", "result"])
+        finally:
+            signal.signal(signal.SIGALRM, before)
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, state string, result string")

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import formulas
 from weftline.functions import ints as I
 from weftline.functions import text as X
 from weftline.functions import vector as V
 from weftline.operators import mining
 from weftline.operators import relational as R
 from weftline.plans.registry import Registry, table
-from weftline.sources.files import row_range
+from weftline.session import Staging
+from weftline.sources import registries
+from weftline.sources.files import row_range, write_sorted_csv
 
 evidence = Registry()
 q = evidence.query
@@ -376,3 +379,93 @@ def derived_formulas(spark: SparkSession, d: str) -> DataFrame:
     p = V.Formula("AVERAGE2", "a, b=0", "(a + b) / 2").apply(p, "average_v", F.col("x"), b=F.col("y"))
     p = V.Formula("ALL2", "a, b=true", "a AND b").apply(p, "all_v", F.col("x") > 10, b=F.col("y") > 900)
     return p.select("p_partkey", F.col("x").alias("value_v"), "double_v", "average_v", "all_v")
+
+
+@q("""WITH v AS (SELECT o_custkey, list(k ORDER BY o_orderkey) AS a FROM (SELECT o_custkey, o_orderkey, (o_orderkey % 4)::DOUBLE AS k FROM orders WHERE o_orderstatus = 'P') GROUP BY 1)
+      SELECT o_custkey, round(list_sum(a) / len(a), 9) AS mean_v, round(sqrt(list_sum(list_transform(a, lambda x: x * x)) / len(a)), 9) AS rms_v, list_sum(list_transform(a, lambda x: x + x)) AS double_v, (a[1] + len(a)) / 2 AS average_v, list_bool_and(list_transform(a, lambda x: x <> 0)) AS all_v FROM v""")
+def formula_recipes(spark: SparkSession, d: str) -> DataFrame:
+    """Derived primitives read from their formulas; a customer's orders are few."""
+    o = table(spark, d, "orders").filter("o_orderstatus = 'P'").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 4).cast("double").alias("k"))
+    v = o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "k"))), lambda s: s["k"]).alias("a"))
+    a = F.col("a")
+    made = lambda text, args, arrays: formulas.build(formulas.read(text), args, frozenset(arrays))
+    return v.select(
+        "o_custkey", F.round(made("DIV(SUM($0),LENGTH($0))", [a], {0}), 9).alias("mean_v"), F.round(made("SQRT(DIV(SUM(MUL($0,$0)),LENGTH($0)))", [a], {0}), 9).alias("rms_v"), V.sum_(made("ADD($0,$0)", [a], {0})).alias("double_v"),
+        made("DIV(ADD($0,$1),CONST(2))", [a[0], F.size(a).cast("double")], ()).alias("average_v"), made("REDUCE_AND($0)", [a], {0}).alias("all_v"),
+    )
+
+
+def _registry(spark: SparkSession, d: str) -> DataFrame:
+    """A registry written from the parts, as a file of primitives."""
+    path = f"{Staging(spark, 'registry').root}/primitives"
+    p = table(spark, d, "part")
+    name = F.concat(F.lit("prim_"), (F.col("p_partkey") - F.when(F.col("p_partkey") % 50 == 1, 1).otherwise(0)).cast("string"))
+    write_sorted_csv(p.select(F.col("p_partkey").alias("table_index"), name.alias("name"), F.col("p_brand").alias("kernel"), (F.col("p_size") - 3).alias("arity"), F.round(F.col("p_retailprice") / 1000, 3).cast("string").alias("baseline_readiness")), path)
+    return registries.load_primitives(spark, path)
+
+
+PRIMS = "r AS (SELECT CAST(p_partkey AS INTEGER) AS table_index, 'prim_' || (p_partkey - CASE WHEN p_partkey % 50 = 1 THEN 1 ELSE 0 END) AS name, p_brand AS kernel, p_size - 3 AS arity, round(p_retailprice / 1000, 3) AS readiness FROM part)"
+
+
+@q(f"WITH {PRIMS} SELECT kernel, count(*) AS n, CAST(sum(arity) AS BIGINT) AS arity, max(table_index) AS last_index FROM r GROUP BY 1")
+def primitive_registry(spark: SparkSession, d: str) -> DataFrame:
+    """A registry of primitives loaded from its file, by kernel."""
+    return _registry(spark, d).groupBy("kernel").agg(F.count(F.lit(1)).alias("n"), F.sum("arity").alias("arity"), F.max("table_index").alias("last_index"))
+
+
+@q(f"WITH {PRIMS} SELECT name, CASE WHEN arity < -1 THEN 'arity' ELSE 'readiness' END AS fault FROM r WHERE arity < -1 OR readiness > 1 UNION ALL SELECT name, 'duplicate' FROM r GROUP BY 1 HAVING count(*) > 1")
+def registry_faults(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with a registry."""
+    return registries.primitive_faults(_registry(spark, d))
+
+
+@q(f"WITH {PRIMS}, k AS (SELECT DISTINCT p_brand AS kernel, p_type AS m FROM part WHERE p_size > 10), a AS (SELECT DISTINCT p_type AS m, 'size' || p_size AS t FROM part WHERE p_size > 40) SELECT name, count(DISTINCT k.m) AS n_micro, count(DISTINCT a.t) AS n_atomic FROM r LEFT JOIN k USING (kernel) LEFT JOIN a ON a.m = k.m GROUP BY 1")
+def lowering_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Primitives by kernel to micro and atomic operations."""
+    p = table(spark, d, "part")
+    path = f"{Staging(spark, 'micro').root}/map"
+    write_sorted_csv(p.select(F.col("p_type").alias("micro_operation"), F.concat(F.lit("size"), F.col("p_size").cast("string")).alias("atomic_operation"), (F.col("p_size") > 40).cast("int").alias("required")).distinct(), path)
+    kernels = p.filter("p_size > 10").select(F.col("p_brand").alias("kernel"), F.col("p_type").alias("micro_operation")).distinct()
+    return registries.lowering_routes(_registry(spark, d), kernels, registries.load_micro_map(spark, path))
+
+
+@q("SELECT semantic_feature, " + ", ".join(f"coalesce(min(evidence_state) FILTER (WHERE lang_name = '{x}'), 'UNKNOWN') AS {x}" for x in ("Go", "Java", "Rust")) + " FROM frontend_compiler_m_lang GROUP BY 1")
+def implementation_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Operations by stages, from the long form."""
+    return registries.implementation_matrix(table(spark, d, "frontend_compiler_m_lang"), "semantic_feature", "lang_name", "evidence_state", ["Go", "Java", "Rust"])
+
+
+BIND = """p AS (SELECT semantic_operation AS callee, string_split(roles, ';')[1] AS parameter FROM (SELECT semantic_operation, min(operand_roles) AS roles FROM semantic_trace_node WHERE operand_roles <> '' AND semantic_operation IS NOT NULL GROUP BY 1)),
+      c AS (SELECT DISTINCT trace_id || '/' || node_id AS call, semantic_operation AS callee, operand_roles FROM semantic_trace_node WHERE operand_roles <> '' AND semantic_operation IS NOT NULL AND trace_id IS NOT NULL AND node_id IS NOT NULL), a AS (SELECT call, callee, unnest(string_split(operand_roles, ';')) AS argument FROM c)"""
+
+
+def _bound(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = table(spark, d, "semantic_trace_node").filter("operand_roles <> '' AND semantic_operation IS NOT NULL")
+    p = t.groupBy(F.col("semantic_operation").alias("callee")).agg(F.min("operand_roles").alias("r")).select("callee", F.lit(0).alias("place"), F.split("r", ";")[0].alias("parameter"))
+    c = t.filter("trace_id IS NOT NULL AND node_id IS NOT NULL").select(F.concat(F.col("trace_id").cast("string"), F.lit("/"), "node_id").alias("call"), F.col("semantic_operation").alias("callee"), "operand_roles").distinct()
+    a = c.select("call", "callee", F.posexplode(F.split("operand_roles", ";")).alias("place", "argument")).withColumn("name", F.col("argument"))
+    return R.bind_arguments(a, p)
+
+
+@q(f"WITH {BIND}, b AS (SELECT a.call, a.argument, p.parameter FROM a LEFT JOIN (SELECT DISTINCT * FROM p) p ON p.callee = a.callee AND p.parameter = a.argument) SELECT call, argument, CASE WHEN parameter IS NULL THEN 'unknown' ELSE 'duplicate' END AS fault FROM b WHERE parameter IS NULL OR (call, parameter) IN (SELECT (call, parameter) FROM b WHERE parameter IS NOT NULL GROUP BY call, parameter HAVING count(*) > 1)")
+def binding_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Operands that name another role than the first of their operation, or it twice."""
+    return _bound(spark, d)[1]
+
+
+def _slow(text: str | None) -> str:
+    import time
+
+    if text is None:
+        raise ValueError("no text")
+    if text.endswith("77"):
+        time.sleep(5)
+    return text[-2:]
+
+
+@q("SELECT c_custkey, CASE WHEN c_name LIKE '%77' THEN 'TIMEOUT' WHEN c_custkey % 31 = 0 THEN 'ERROR' ELSE 'OK' END AS state, CASE WHEN c_name LIKE '%77' THEN NULL WHEN c_custkey % 31 = 0 THEN 'no text' ELSE right(c_name, 2) END AS result FROM customer")
+def record_timeouts(spark: SparkSession, d: str) -> DataFrame:
+    """Records worked on by the executors, each with its own time and state."""
+    c = table(spark, d, "customer")
+    text = F.when((F.col("c_custkey") % 31 == 0) & ~F.col("c_name").endswith("77"), None).otherwise(F.col("c_name"))
+    return R.with_timeout(c.select("c_custkey", text.alias("t")), "c_custkey", "t", _slow, 0.05)
