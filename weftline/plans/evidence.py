@@ -335,7 +335,8 @@ def merkle_roots(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("n_regionkey").agg(X.sha_tagged("root", F.array_join(F.array_sort(F.collect_list("h")), "")).alias("root"))
 
 
-@q("SELECT row_id, coalesce(nullif(regexp_extract(source_url, '^([a-z]+)://', 1), ''), 'none') AS scheme, regexp_replace(coalesce(source_area, '') || ' at 17', ' at [0-9]+$', '') AS stripped, regexp_replace('x /* ' || coalesce(stage_name, '') || ' */ y // z', '/\*.*?\*/', '') AS c FROM frontend_compiler_evidence".replace("AS c FROM", "AS body FROM").replace("regexp_replace('x /* '", "rtrim(regexp_replace(regexp_replace('x /* '").replace("'/\*.*?\*/', '')", "'/\*.*?\*/', ''), '//.*$', ''))"))
+@q(r"""SELECT row_id, coalesce(nullif(regexp_extract(source_url, '^([a-z]+)://', 1), ''), 'none') AS scheme, regexp_replace(coalesce(source_area, '') || ' at 17', ' at [0-9]+$', '') AS stripped,
+      rtrim(regexp_replace(regexp_replace('x /* ' || coalesce(stage_name, '') || ' */ y // z', '/\*.*?\*/', ''), '//.*$', '')) AS body FROM frontend_compiler_evidence""")
 def text_cleaning(spark: SparkSession, d: str) -> DataFrame:
     """groups of patterns, offsets and comments."""
     e = table(spark, d, "frontend_compiler_evidence")

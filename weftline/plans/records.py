@@ -118,7 +118,25 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, sf_dir), "src_table", "field_name", "ref_period")
 
 
-@records.query()
+def _pieces(src: str, field: str, at: str, blanks: bool) -> str:
+    """SQL that cuts a field at all separators outside quotes, as its writers quote every value that holds one."""
+    gap = r"\s" if blanks else r"\n\t"
+    trimmed = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+    whole = trimmed.format(field)
+    inner = f"CASE WHEN starts_with({whole}, '[') AND ends_with({whole}, ']') THEN substr({whole}, 2, length({whole}) - 2) ELSE {whole} END"
+    pattern = r"""\s*"(?:[^"]|"")*"|\s*''(?:[^'']|'''')*''|[^;；,|GAP]+""".replace("GAP", gap)
+    items = f"list_transform(regexp_extract_all({inner}, '{pattern}'), lambda x: {trimmed.format('x')})"
+    bare = lambda q, twice: f"WHEN length(x) > 1 AND starts_with(x, '{q}') AND ends_with(x, '{q}') THEN trim(replace(substr(x, 2, length(x) - 2), '{twice}', '{q}'))"
+    plain = "list_transform(items, lambda x: CASE " + bare('"', '""') + " " + bare("''", "''''") + " ELSE x END)"
+    latest = f"(SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY {at} DESC NULLS LAST, {field} DESC NULLS LAST) AS r FROM {src})"
+    named = f"(SELECT row_id, list_filter({plain}, lambda x: x <> '') AS named FROM (SELECT row_id, {items} AS items FROM {latest} WHERE r = 1 AND row_id IS NOT NULL AND {field} IS NOT NULL))"
+    return f"SELECT '{src}' AS src_table, row_id, '{field}' AS field_name, CAST(generate_subscripts(named, 1) AS INTEGER) AS pos, unnest(named) AS item FROM {named}"
+
+
+PIECES = [("frontend_compiler_m_lang", "evidence_ids", "observed_at", True), ("frontend_compiler_evidence", "semantic_features", "published_at", False), ("frontend_compiler_evidence", "suggested_matrices", "published_at", False)]
+
+
+@records.query(" UNION ALL ".join(_pieces(*p) for p in PIECES))
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value of the packed fields with its place."""
     m, e = table(spark, sf_dir, "frontend_compiler_m_lang"), table(spark, sf_dir, "frontend_compiler_evidence")
