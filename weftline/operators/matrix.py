@@ -223,7 +223,8 @@ def eligible(plan: DataFrame) -> DataFrame:
 
 def demand_gate(required: DataFrame, support: DataFrame, targets: DataFrame) -> DataFrame:
     """(need, target, missing, unknown): sorted labels of what stands in the way."""
-    grid = required.select("need", "feature").distinct().crossJoin(F.broadcast(targets.select("target").distinct()))
+    need = required.select("need", "feature").distinct()
+    grid = need.select("need").distinct().crossJoin(targets.select("target").distinct()).join(need, "need")
     x = grid.join(support.select("target", "feature", "supported"), ["target", "feature"], "left")
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("feature").cast("string")))), ";")
     out = x.groupBy("need", "target").agg(labels(~F.col("supported")).alias("missing"), labels(F.col("supported").isNull()).alias("unknown"))

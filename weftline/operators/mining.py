@@ -28,11 +28,12 @@ def _frequent(facts: DataFrame, least: int) -> DataFrame:
 
 def rules_one(facts: DataFrame, min_support: int = 2, min_joint: int = 2) -> DataFrame:
     """antecedent -> consequent with support, joint, confidence_percent, counterexamples."""
-    n = _frequent(facts, min_support)
-    f = facts.join(n.select("fact"), "fact", "left_semi")
-    a, b = f.select("case_id", F.col("fact").alias("antecedent")), facts.select("case_id", F.col("fact").alias("consequent"))
-    both = a.join(b, "case_id").filter("antecedent <> consequent").groupBy("antecedent", "consequent").agg(F.count(F.lit(1)).alias("joint")).filter(F.col("joint") >= min_joint)
-    x = both.join(n.withColumnRenamed("fact", "antecedent"), "antecedent")
+    n = _frequent(facts, min(min_support, min_joint))
+    f = facts.join(n.select("fact"), "fact", "left_semi")  # a fact of less support is in no rule
+    met = pairs_within(f, ["case_id"], "fact").groupBy("fact_a", "fact_b").agg(F.count(F.lit(1)).alias("joint")).filter(F.col("joint") >= min_joint)
+    way = lambda a, b: F.struct(F.col(a).alias("antecedent"), F.col(b).alias("consequent"))
+    both = met.select(F.explode(F.array(way("fact_a", "fact_b"), way("fact_b", "fact_a"))).alias("r"), "joint").select("r.*", "joint")
+    x = both.join(n.filter(F.col("support") >= min_support).withColumnRenamed("fact", "antecedent"), "antecedent")
     return x.select("antecedent", "consequent", "support", "joint", F.expr("joint * 100 div support").alias("confidence_percent"), (F.col("support") - F.col("joint")).alias("counterexamples"))
 
 
@@ -73,7 +74,7 @@ def negative_rules(facts: DataFrame, least: int = 3) -> DataFrame:
     n = _frequent(facts, least).withColumn("prefix", F.substring_index("fact", ":", 1))
     a, b = n.select("prefix", F.col("fact").alias("a"), F.col("support").alias("support_a")), n.select("prefix", F.col("fact").alias("b"), F.col("support").alias("support_b"))
     f = facts.join(n.select("fact"), "fact", "left_semi")
-    met = f.select("case_id", F.col("fact").alias("a")).join(f.select("case_id", F.col("fact").alias("b")), "case_id").filter("a < b").select("a", "b").distinct()
+    met = pairs_within(f, ["case_id"], "fact").select(F.col("fact_a").alias("a"), F.col("fact_b").alias("b")).distinct()
     return a.join(b, "prefix").filter("a < b").join(met, ["a", "b"], "left_anti").select("a", "b", "support_a", "support_b")
 
 
@@ -88,8 +89,10 @@ def concept_closure(pairs: DataFrame, obj: str, attr: str) -> DataFrame:
     """Per attribute: its extent's size and its intent (attributes common to all objects that have it)."""
     p = pairs.select(F.col(obj).alias("o"), F.col(attr).alias("a")).distinct()
     size = p.groupBy("a").agg(F.count(F.lit(1)).alias("extent_size"))
-    both = p.join(p.select("o", F.col("a").alias("b")), "o").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    common = both.join(size, "a").filter("n = extent_size")
+    met = pairs_within(p, ["o"], "a").groupBy("a_a", "a_b").agg(F.count(F.lit(1)).alias("n"))
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = met.select(F.explode(F.array(way("a_a", "a_b"), way("a_b", "a_a"))).alias("r"), "n").select("r.*", "n")
+    common = both.join(size, "a").filter("n = extent_size").select("a", "extent_size", "b").unionByName(size.select("a", "extent_size", F.col("a").alias("b")))
     return common.groupBy("a", "extent_size").agg(F.array_join(F.array_sort(F.collect_list(F.col("b").cast("string"))), ";").alias("intent"))
 
 
@@ -127,9 +130,10 @@ def undominated(pairs: DataFrame, obj: str, attr: str) -> DataFrame:
     """Objects whose attributes are no proper part of another's; of equal ones the least object stays."""
     p = pairs.select(F.col(obj).alias("o"), F.col(attr).alias("a")).distinct()
     n = p.groupBy("o").agg(F.count(F.lit(1)).alias("n"))
-    both = p.join(p.select(F.col("o").alias("o2"), "a"), "a").filter("o <> o2").groupBy("o", "o2").agg(F.count(F.lit(1)).alias("k"))
-    x = both.join(n, "o").join(n.select(F.col("o").alias("o2"), F.col("n").alias("n2")), "o2").filter("k = n AND (n2 > n OR o2 < o)")
-    return n.join(x.select("o").distinct(), "o", "left_anti").select(F.col("o").alias(obj))
+    both = pairs_within(p, ["a"], "o").groupBy("o_a", "o_b").agg(F.count(F.lit(1)).alias("k"))
+    x = both.join(n.select(F.col("o").alias("o_a"), F.col("n").alias("na")), "o_a").join(n.select(F.col("o").alias("o_b"), F.col("n").alias("nb")), "o_b")
+    less = F.when((F.col("k") == F.col("na")) & (F.col("nb") > F.col("na")), F.col("o_a")).when(F.col("k") == F.col("nb"), F.col("o_b"))
+    return n.join(x.select(less.alias("o")).filter("o IS NOT NULL").distinct(), "o", "left_anti").select(F.col("o").alias(obj))
 
 
 def smallest_cover(sets: dict[str, frozenset], most_steps: int = 1_000_000) -> list[str]:

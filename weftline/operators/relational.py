@@ -107,8 +107,8 @@ def vector_relations(pairs: DataFrame, vector: str, place: str) -> DataFrame:
     """EXACT or IMPLICATION between 0/1 vectors a < b that share a place, from joint counts."""
     p = pairs.select(vector, place).distinct()
     n = p.groupBy(vector).agg(F.count(F.lit(1)).alias("n"))
-    a, b = p.select(F.col(vector).alias("a"), place), p.select(F.col(vector).alias("b"), place)
-    both = a.join(b, place).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_both"))
+    met = pairs_within(p.select(F.col(place).alias("p"), F.col(vector).alias("v")), ["p"], "v")
+    both = met.groupBy(F.col("v_a").alias("a"), F.col("v_b").alias("b")).agg(F.count(F.lit(1)).alias("n_both"))
     x = both.join(n.select(F.col(vector).alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col(vector).alias("b"), F.col("n").alias("nb")), "b")
     kind = F.when((F.col("n_both") == F.col("na")) & (F.col("na") == F.col("nb")), "EXACT").when(F.col("n_both") == F.least("na", "nb"), "IMPLICATION")
     return x.withColumn("relation", kind).filter("relation IS NOT NULL").select("a", "b", "n_both", "relation")

@@ -300,11 +300,11 @@ def rule_violations(spark: SparkSession, d: str) -> DataFrame:
     return X.rule_violations(X.rules_one(f).filter("confidence_percent >= 90 AND counterexamples > 0"), f)
 
 
-@q("""WITH p AS (SELECT DISTINCT p_brand AS o, p_size AS a FROM part WHERE p_retailprice > 995), n AS (SELECT a, count(*) AS extent_size FROM p GROUP BY 1),
+@q("""WITH p AS (SELECT DISTINCT p_brand AS o, p_size AS a FROM part), n AS (SELECT a, count(*) AS extent_size FROM p GROUP BY 1),
       c AS (SELECT x.a, y.a AS b, n.extent_size FROM p x JOIN p y ON x.o = y.o JOIN n ON n.a = x.a GROUP BY 1, 2, 3 HAVING count(*) = n.extent_size)
       SELECT a, extent_size, string_agg(CAST(b AS VARCHAR), ';' ORDER BY CAST(b AS VARCHAR)) AS intent FROM c GROUP BY 1, 2""")
 def concept_closure(spark: SparkSession, d: str) -> DataFrame:
-    return X.concept_closure(table(spark, d, "part").filter("p_retailprice > 995"), "p_brand", "p_size")
+    return X.concept_closure(table(spark, d, "part"), "p_brand", "p_size")
 
 
 @q("""WITH p AS (SELECT DISTINCT lang_id AS o, package_name AS a FROM semantic_package_file WHERE package_name IS NOT NULL AND lang_id IS NOT NULL), n AS (SELECT a, count(*) AS extent_size FROM p GROUP BY 1),

@@ -298,11 +298,11 @@ def sequences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text(V.colon(F.lit(10), s)).alias("colon_v"), text(V.sequence_length(s)).alias("len_v"), text(V.rep(F.array(s, F.lit(7)), F.lit(3))).alias("rep_v"), text(V.seq_by(F.lit(0.0), s.cast("double"), F.lit(5.0))).alias("by_v"))
 
 
-@q("""WITH v AS (SELECT o_custkey, list(k ORDER BY o_orderkey) AS a FROM (SELECT o_custkey, o_orderkey, (o_orderkey % 5 + 1)::DOUBLE AS k FROM orders WHERE o_orderstatus = 'P') GROUP BY 1)
+@q("""WITH v AS (SELECT o_custkey, list(k ORDER BY o_orderkey) AS a FROM (SELECT o_custkey, o_orderkey, (o_orderkey % 5 + 1)::DOUBLE AS k FROM orders) GROUP BY 1)
       SELECT o_custkey, list_product(a) AS prod_v, list_min(a) AS min_v, list_sum(list_transform(a, lambda x, i: list_product(a[1:i]))) AS cumprod_sum, list_sum(list_transform(a, lambda x, i: list_min(a[1:i]))) AS cummin_sum, list_bool_or(list_transform(a, lambda x: x > 4)) AS any_v, list_bool_and(list_transform(a, lambda x: x > 1)) AS all_v FROM v""")
 def reductions(spark: SparkSession, d: str) -> DataFrame:
     """Products, running products and minima, any and all; a customer's orders are few."""
-    o = table(spark, d, "orders").filter("o_orderstatus = 'P'").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 5 + 1).cast("double").alias("k"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 5 + 1).cast("double").alias("k"))
     v = o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "k"))), lambda s: s["k"]).alias("a"))
     a = F.col("a")
     return v.select(
@@ -382,11 +382,11 @@ def derived_formulas(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.col("x").alias("value_v"), "double_v", "average_v", "all_v")
 
 
-@q("""WITH v AS (SELECT o_custkey, list(k ORDER BY o_orderkey) AS a FROM (SELECT o_custkey, o_orderkey, (o_orderkey % 4)::DOUBLE AS k FROM orders WHERE o_orderstatus = 'P') GROUP BY 1)
+@q("""WITH v AS (SELECT o_custkey, list(k ORDER BY o_orderkey) AS a FROM (SELECT o_custkey, o_orderkey, (o_orderkey % 4)::DOUBLE AS k FROM orders) GROUP BY 1)
       SELECT o_custkey, round(list_sum(a) / len(a), 9) AS mean_v, round(sqrt(list_sum(list_transform(a, lambda x: x * x)) / len(a)), 9) AS rms_v, list_sum(list_transform(a, lambda x: x + x)) AS double_v, (a[1] + len(a)) / 2 AS average_v, list_bool_and(list_transform(a, lambda x: x <> 0)) AS all_v FROM v""")
 def formula_recipes(spark: SparkSession, d: str) -> DataFrame:
     """Derived primitives read from their formulas; a customer's orders are few."""
-    o = table(spark, d, "orders").filter("o_orderstatus = 'P'").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 4).cast("double").alias("k"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 4).cast("double").alias("k"))
     v = o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "k"))), lambda s: s["k"]).alias("a"))
     a = F.col("a")
     made = lambda text, args, arrays: formulas.build(formulas.read(text), args, frozenset(arrays))

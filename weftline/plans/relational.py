@@ -115,11 +115,11 @@ def containment_join(spark: SparkSession, d: str) -> DataFrame:
     return R.containment_join(need, table(spark, d, "part").select(F.col("p_size").alias("s"), F.col("p_brand").alias("b")), "o", "s", "b")
 
 
-@q("""WITH p AS (SELECT DISTINCT p_size AS v, p_brand AS b FROM part WHERE p_retailprice > 998), n AS (SELECT v, count(*) AS n FROM p GROUP BY 1),
+@q("""WITH p AS (SELECT DISTINCT p_size AS v, p_brand AS b FROM part), n AS (SELECT v, count(*) AS n FROM p GROUP BY 1),
       j AS (SELECT x.v AS a, y.v AS b, count(*) AS n_both FROM p x JOIN p y ON x.b = y.b AND x.v < y.v GROUP BY 1, 2)
       SELECT a, b, n_both, CASE WHEN n_both = na.n AND na.n = nb.n THEN 'EXACT' ELSE 'IMPLICATION' END AS relation FROM j JOIN n na ON na.v = a JOIN n nb ON nb.v = b WHERE n_both = least(na.n, nb.n)""")
 def vector_equal_or_subset(spark: SparkSession, d: str) -> DataFrame:
-    return R.vector_relations(table(spark, d, "part").filter("p_retailprice > 998").select(F.col("p_size").alias("v"), F.col("p_brand").alias("brand")), "v", "brand")
+    return R.vector_relations(table(spark, d, "part").select(F.col("p_size").alias("v"), F.col("p_brand").alias("brand")), "v", "brand")
 
 
 @q("""WITH p AS (SELECT DISTINCT package_name AS v, lang_id AS b FROM semantic_package_file WHERE package_name IS NOT NULL AND lang_id IS NOT NULL), n AS (SELECT v, count(*) AS n FROM p GROUP BY 1),
