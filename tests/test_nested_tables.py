@@ -12,6 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 from weftline.operators.nested import DOCUMENT_RULES, flatten_json, flatten_structs, write_tagged
+from weftline.session import Staging
 
 SF = Path("/root/testdata/sf0.001")
 TABLES = ["p5_statements", "p5_expressions", "p5_ast_nodes", "p5_ast_relations", "p5_trace_nodes", "p5_file_fields"]
@@ -98,7 +99,8 @@ def test_beyond_interpreter_limits(spark):
     digits = "9" * 5_000
     number = '{"root": {"kind": "long", "attributes": ' + digits + "}}"
     rows = [(1, deep, 1), (2, deep[:-1], 1), (3, chain, 1), (4, number, 1)]
-    emitted = flatten_json(spark.createDataFrame(rows, "id long, p string, at long"), "id", "p", "at").localCheckpoint()
+    emitted = flatten_json(spark.createDataFrame(rows, "id long, p string, at long"), "id", "p", "at")
+    emitted = Staging(spark, "deep").put(emitted)
     got = emitted.groupBy("record_id").count().collect()
     assert {r.record_id: r["count"] for r in got} == {1: 2, 3: 2_001, 4: 1}
     table = {(r.record_id, r.obj_path): r for r in write_tagged(spark, emitted, {"statement": "id int, kind string, attributes string"})["statement"].filter("record_id != 3").collect()}
@@ -110,3 +112,43 @@ def test_structs_without_time(spark):
     rows = [(1, [("a",)], None), (1, [("b",)], None), (2, [("old",)], None), (2, [("new",)], 1), (3, [("c",)], 1), (3, None, 2)]
     df = spark.createDataFrame(rows, "id long, files array<struct<x:string>>, at long")
     assert {(r.record_id, r.payload) for r in flatten_structs(df, "id", "files", "at", "file").collect()} == {(1, '{"x":"b"}'), (2, '{"x":"new"}')}
+
+
+def _put(root: dict, path: str, value) -> None:
+    """Sets the value at a path, making lists and objects on the way."""
+    steps = [int(x[1:-1]) if x[0] == "[" else x for x in re.findall(r"\[\d+\]|[^.\[\]]+", path.removeprefix("$."))]
+    at = root
+    for s, after in zip(steps, [*steps[1:], None]):
+        new = value if after is None else ([] if isinstance(after, int) else {})
+        if isinstance(at, list):
+            at += [None] * (s + 1 - len(at))
+            if after is None or at[s] is None:
+                at[s] = new
+        elif after is None or at.get(s) is None:
+            at[s] = new
+        at = at[s]
+
+
+def test_records_are_rebuilt_from_their_rows(spark):
+    """Documents put together again from their rows equal what was read but for nulls behind the last object of a list."""
+    text = json.dumps({"schema": "s", "origin": {"tool": {"v": [1, None]}}, "universal_ast": {"projection": "p", "nodes": [None, {"id": 1}, 5, {"id": 2, "fields": {}}]}, "trace": {"nodes": {"node_id": "7"}, "ok": True},
+        "root": {"kind": "Block", "statements": [None, {"expression": {"left": {"text": "1"}, "arguments": [{"name": "a", "value": {"k": 1}}, {"value": 3}]}, "effects": ["e"]}]}})
+    df = spark.createDataFrame([(1, text, 1), (2, "[1]", 1), (3, "{", 1)], "id long, p string, at long")
+    rows = flatten_json(df, "id", "p", "at", top_tag="document").collect()
+    assert {r.record_id for r in rows} == {1}
+    built: dict = {}
+    for r in sorted(rows, key=lambda r: (r.obj_path != "$", r.obj_path.count(".") + r.obj_path.count("["), r.obj_path)):
+        if r.obj_path == "$":
+            assert r.parent_path is None
+            built = json.loads(r.payload)
+        else:
+            _put(built, r.obj_path, json.loads(r.payload))
+    assert built == json.loads(text)
+
+
+def test_structs_with_their_record(spark):
+    rows = [(1, "a", [("x",), None, ("y",)], 1), (2, "b", None, 1), (3, None, [], None), (None, "z", [("q",)], 1)]
+    df = spark.createDataFrame(rows, "id long, name string, files array<struct<x:string>>, at long")
+    got = {(r.table_tag, r.record_id, r.obj_path, r.parent_path): r.payload for r in flatten_structs(df, "id", "files", "at", "file", top_tag="record").collect()}
+    assert got.keys() == {("record", i, "$", None) for i in (1, 2, 3)} | {("file", 1, "$.files[0]", "$"), ("file", 1, "$.files[2]", "$")}
+    assert json.loads(got["record", 1, "$", None]) == {"name": "a", "at": 1} and got["file", 1, "$.files[2]", "$"] == '{"x":"y"}'

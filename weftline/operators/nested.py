@@ -189,13 +189,16 @@ def _reach(obj: dict, steps: list[str], path: str) -> Iterator[tuple[dict, str]]
         yield from _reach(x, rest, p)
 
 
-def visit(record: Any, rules: dict[str, list[tuple[str, str, str]]], top: str) -> Iterator[tuple[str, str, str, str, dict]]:
-    """Depth first: (tag, path, path of the nearest enclosing row, role, object)."""
+def visit(record: Any, rules: dict[str, list[tuple[str, str, str]]], top: str, top_tag: str = "") -> Iterator[tuple[str, str, str | None, str, dict]]:
+    """Depth first: (tag, path, path of the nearest enclosing row, role, object).
+
+    With ``top_tag`` the record itself is a row too, at ``$`` and without parent.
+    """
     record = _opened(record)
     if not isinstance(record, dict):
         return
     compiled = {role: [(k.split("."), r, tag) for k, r, tag in found] for role, found in rules.items()}
-    stack = [("", top, "$", "", record)]
+    stack: list[tuple[str, str, str, str | None, dict]] = [(top_tag, top, "$", None, record)]
     while stack:
         tag, role, path, parent, obj = stack.pop()
         if tag:
@@ -263,7 +266,7 @@ def _payload(obj: dict, taken: dict) -> str:
     return text
 
 
-def _emitter(rules: dict, top: str, payload: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _emitter(rules: dict, top: str, payload: bool, top_tag: str = "") -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.set_int_max_str_digits(0)
         taken = {role: _taken(found) for role, found in rules.items()}
@@ -272,11 +275,11 @@ def _emitter(rules: dict, top: str, payload: bool) -> Callable[[Iterable[pa.Reco
             size = 0
             for rid, text in zip(b.column(0).to_pylist(), b.column(1)):
                 t = text.as_py()
-                for tag, path, parent, role, obj in visit(_loads(t) if t else None, rules, top):
+                for tag, path, parent, role, obj in visit(_loads(t) if t else None, rules, top, top_tag):
                     row = (tag, rid, path, parent, _payload(obj, taken[role]) if payload else None)
                     for c, v in zip(cols, row):
                         c.append(v)
-                    size += 64 + len(path) + len(parent) + len(row[4] or "")
+                    size += 64 + len(path) + len(parent or "") + len(row[4] or "")
                     if size > 32_000_000:
                         yield _batch(cols)
                         cols, size = [[], [], [], [], []], 0
@@ -296,15 +299,25 @@ def latest(df: DataFrame, key: str, at: str, *values: str) -> DataFrame:
     return df.groupBy(F.col(key)).agg(best).select(F.col(key), *[F.col(f"__best.__v{i}").alias(v) for i, v in enumerate(values)])
 
 
-def flatten_json(df: DataFrame, record_id: str, payload: str, at: str, rules: dict | None = None, top: str = "document", with_payload: bool = True) -> DataFrame:
-    """Tagged emission of the JSON texts in ``payload``: one row per object (columns ``EMITTED``)."""
+def flatten_json(df: DataFrame, record_id: str, payload: str, at: str, rules: dict | None = None, top: str = "document", with_payload: bool = True, top_tag: str = "") -> DataFrame:
+    """Tagged emission of the JSON texts in ``payload``: one row per object (columns ``EMITTED``), and with ``top_tag`` one per record."""
     one = latest(df.filter(F.col(record_id).isNotNull()), record_id, at, payload)
     picked = one.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(payload).alias("payload"))
-    return picked.mapInArrow(_emitter(rules or DOCUMENT_RULES, top, with_payload), EMITTED)
-
-
-def flatten_structs(df: DataFrame, record_id: str, member: str, at: str, tag: str) -> DataFrame:
-    """The same emission for an array-of-struct column; stays in the JVM."""
+    return picked.mapInArrow(_emitter(rules or DOCUMENT_RULES, top, with_payload, top_tag), EMITTED)
+
+
+def flatten_structs(df: DataFrame, record_id: str, member: str, at: str, tag: str, top_tag: str = "") -> DataFrame:
+    """The same emission for an array-of-struct column; stays in the JVM. With ``top_tag`` the record's other columns are a row."""
+    if top_tag:
+        rest = [c for c in df.columns if c not in (record_id, member)]
+        one = latest(df.filter(F.col(record_id).isNotNull()).withColumn("__rest", F.to_json(F.struct(*rest))), record_id, at, member, "__rest")
+        whole = F.struct(F.lit(top_tag).alias("table_tag"), F.lit("$").alias("obj_path"), F.lit(None).cast("string").alias("parent_path"), F.col("__rest").alias("payload"))
+        path = lambda i: F.concat(F.lit(f"$.{member}["), i.cast("string"), F.lit("]"))
+        part = lambda o, i: F.when(o.isNotNull(), F.struct(F.lit(tag).alias("table_tag"), path(i).alias("obj_path"), F.lit("$").alias("parent_path"), F.to_json(o).alias("payload")))
+        none = F.array().cast("array<struct<table_tag:string,obj_path:string,parent_path:string,payload:string>>")
+        every = F.explode(F.concat(F.array(whole), F.coalesce(F.transform(member, part), none))).alias("r")  # one pass over the record
+        x = one.select(F.col(record_id).cast("bigint").alias("record_id"), every).filter("r IS NOT NULL")
+        return x.select("r.table_tag", "record_id", "r.obj_path", "r.parent_path", "r.payload")
     one = latest(df.filter(F.col(record_id).isNotNull()), record_id, at, member)
     x = one.select(F.col(record_id).cast("bigint").alias("record_id"), F.posexplode(member).alias("__i", "__o")).filter(F.col("__o").isNotNull())
     return x.select(

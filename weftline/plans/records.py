@@ -155,6 +155,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Members of each kind of object, as the reference's records define them; parts of open form are JSON text.
 _NODE = "id bigint, kind string, scope bigint, type string, type_origin string, semantics string, effects array<string>, source string, attributes string, extensions string, name string"
 SCHEMAS = {
+    "document": "schema string, schema_version string, evaluation string, index_base bigint, origin string, universal_ast string, trace string",
+    "manifest": "package_name string, module_path string, schema_version int, go_requirements map<string,string>, root_dir string, package_hash string, licenses array<string>, dependencies array<string>, imported_at timestamp_ntz",
     "statement": f"{_NODE}, assign_op string",
     "expression": f"{_NODE}, typed_operation string, binding bigint, operator string, literal_kind string, text string, function string, arguments string, call_resolution string, double_index boolean",
     "ast_node": "id bigint, structural_kind string, semantic_facets array<string>, field_mask array<string>, fields string, source_span string, attributes string",
@@ -166,8 +168,8 @@ SCHEMAS = {
 
 def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All objects of both tables with their payloads, emitted once and written by tag."""
-    doc = nested.flatten_json(table(spark, sf_dir, "semantic_document"), "document_id", "payload", "received_at")
-    man = nested.flatten_structs(table(spark, sf_dir, "semantic_package_manifest"), "manifest_id", "files", "imported_at", "file")
+    doc = nested.flatten_json(table(spark, sf_dir, "semantic_document"), "document_id", "payload", "received_at", top_tag="document")
+    man = nested.flatten_structs(table(spark, sf_dir, "semantic_package_manifest"), "manifest_id", "files", "imported_at", "file", top_tag="manifest")
     return nested.stage_tagged(spark, doc.unionByName(man))
 
 
@@ -179,7 +181,8 @@ def _flat(spark: SparkSession, sf_dir: str, tag: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every object of the nested records with the path of its parent."""
     src = F.when(F.col("table_tag") == "file", "semantic_package_manifest").otherwise("semantic_document")
-    return _objects(spark, sf_dir).select(src.alias("src_table"), "record_id", "obj_path", "parent_path")
+    # The records themselves have a row each beside these.
+    return _objects(spark, sf_dir).filter(~F.col("table_tag").isin("document", "manifest")).select(src.alias("src_table"), "record_id", "obj_path", "parent_path")
 
 
 @records.query("""SELECT DISTINCT manifest_id AS record_id, '$.files[' || CAST(i - 1 AS VARCHAR) || ']' AS obj_path, f.file_path AS file_path FROM (SELECT manifest_id, unnest(files) AS f, generate_subscripts(files, 1) AS i FROM semantic_package_manifest) WHERE f IS NOT NULL""")
@@ -222,3 +225,19 @@ def p5_ast_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_trace_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of the trace's nodes."""
     return _flat(spark, sf_dir, "trace_node")
+
+
+@records.query("""SELECT record_id, payload->>'$.schema' AS schema_name, payload->>'$.schema_version' AS schema_version, payload->>'$.evaluation' AS evaluation, CAST(payload->>'$.index_base' AS BIGINT) AS index_base, payload->>'$.origin.language' AS origin_language
+      FROM (SELECT document_id AS record_id, payload, row_number() OVER (PARTITION BY document_id ORDER BY received_at DESC NULLS LAST, payload DESC NULLS LAST) AS r FROM semantic_document WHERE document_id IS NOT NULL) WHERE r = 1 AND json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT'""")
+def p5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of the documents themselves: what they hold beside their objects."""
+    x = _flat(spark, sf_dir, "document")
+    return x.select("record_id", F.col("schema").alias("schema_name"), "schema_version", "evaluation", "index_base", F.get_json_object("origin", "$.language").alias("origin_language"))
+
+
+@records.query("""SELECT manifest_id AS record_id, package_name, module_path, schema_version, root_dir, package_hash, array_to_string(licenses, ';') AS licenses, len(map_keys(go_requirements)) AS n_requirements, imported_at
+      FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY imported_at DESC NULLS LAST) AS r FROM semantic_package_manifest WHERE manifest_id IS NOT NULL) WHERE r = 1""")
+def p5_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of the manifests themselves."""
+    x = _flat(spark, sf_dir, "manifest")
+    return x.select("record_id", "package_name", "module_path", "schema_version", "root_dir", "package_hash", F.array_join("licenses", ";").alias("licenses"), F.when(F.col("go_requirements").isNotNull(), F.size("go_requirements")).cast("bigint").alias("n_requirements"), "imported_at")
