@@ -177,7 +177,21 @@ def _flat(spark: SparkSession, sf_dir: str, tag: str) -> DataFrame:
     return nested.tagged_table(_objects(spark, sf_dir), tag, SCHEMAS[tag])
 
 
-@records.query()
+_INDEX = r"(\[\d+\])?"
+_STATEMENT = rf"\$\.root{_INDEX}(\.(then|else|body|statements){_INDEX})*"
+_OPERAND = rf"(\.(left|right|value){_INDEX}|\.arguments{_INDEX}\.value{_INDEX})"
+_EXPRESSION = rf"{_STATEMENT}\.(expression|condition|sequence|patterns){_INDEX}{_OPERAND}*"
+_LEAF = rf"\$\.(universal_ast{_INDEX}\.(nodes|relations)|trace{_INDEX}\.nodes){_INDEX}"
+#: Every object of a document by its path, texts that hold JSON opened in place, and the path of the object above it.
+OBJECTS = rf"""t AS (SELECT document_id AS record_id, '$' AS base, payload AS p FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY received_at DESC NULLS LAST, payload DESC NULLS LAST) AS r FROM semantic_document WHERE document_id IS NOT NULL) WHERE r = 1 AND json_valid(payload)
+      UNION ALL SELECT t.record_id, t.base || substr(j.fullkey, 2), j.atom->>'$' FROM t, json_tree(t.p) j WHERE j.type = 'VARCHAR' AND regexp_matches(j.atom->>'$', '^\s*[\[{{]') AND json_valid(j.atom->>'$')),
+      o AS (SELECT DISTINCT t.record_id, t.base || substr(j.fullkey, 2) AS obj_path FROM t, json_tree(t.p) j WHERE j.type = 'OBJECT'),
+      found AS (SELECT 'semantic_document' AS src_table, record_id, obj_path, CASE WHEN regexp_full_match(obj_path, '{_LEAF}') OR regexp_full_match(obj_path, '\$\.root{_INDEX}') THEN '$' WHEN regexp_full_match(obj_path, '{_STATEMENT}') THEN regexp_replace(obj_path, '\.(then|else|body|statements){_INDEX}$', '')
+      ELSE regexp_replace(obj_path, '({_OPERAND}|\.(expression|condition|sequence|patterns){_INDEX})$', '') END AS parent_path FROM o WHERE regexp_full_match(obj_path, '{_LEAF}|{_STATEMENT}|{_EXPRESSION}')
+      UNION ALL SELECT DISTINCT 'semantic_package_manifest', manifest_id, '$.files[' || CAST(i - 1 AS VARCHAR) || ']', '$' FROM (SELECT manifest_id, unnest(files) AS f, generate_subscripts(files, 1) AS i FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY imported_at DESC NULLS LAST) AS r FROM semantic_package_manifest WHERE manifest_id IS NOT NULL) WHERE r = 1) WHERE f IS NOT NULL)"""
+
+
+@records.query(f"WITH RECURSIVE {OBJECTS} SELECT * FROM found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every object of the nested records with the path of its parent."""
     src = F.when(F.col("table_tag") == "file", "semantic_package_manifest").otherwise("semantic_document")
