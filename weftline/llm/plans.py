@@ -75,7 +75,14 @@ def _similar(spark: SparkSession, sf_dir: str) -> similar.SimilarSets:
     return similar.SimilarSets(similar.sets_of(files, "file_id", ["symbols", "dependencies"], "imported_at"))
 
 
-@llm.query()
+#: All pairs by a join on shared values, for the small tables: what the sketches must find.
+PAIRS = """f AS (SELECT file_id, symbols, dependencies FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY imported_at DESC NULLS LAST) AS r FROM semantic_package_file WHERE file_id IS NOT NULL) WHERE r = 1),
+      v AS (SELECT DISTINCT field_name, file_id, trim(x, E' \\t\\n\\r') AS x FROM (SELECT 'symbols' AS field_name, file_id, unnest(symbols) AS x FROM f UNION ALL SELECT 'dependencies', file_id, unnest(dependencies) FROM f) WHERE trim(x, E' \\t\\n\\r') <> ''),
+      n AS (SELECT field_name, file_id, count(*) AS n FROM v GROUP BY 1, 2 HAVING count(*) >= 3), s AS (SELECT a.field_name, a.file_id AS a, b.file_id AS b, count(*) AS k FROM v a JOIN v b ON a.field_name = b.field_name AND a.x = b.x AND a.file_id < b.file_id GROUP BY 1, 2, 3),
+      p AS (SELECT s.field_name, s.a AS file_id_a, s.b AS file_id_b FROM s JOIN n x ON x.field_name = s.field_name AND x.file_id = s.a JOIN n y ON y.field_name = s.field_name AND y.file_id = s.b WHERE 5 * s.k >= 3 * (x.n + y.n - s.k))"""
+
+
+@llm.query(f"WITH {PAIRS} SELECT * FROM p")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of package files that share at least 0.6 of their symbols, or of their dependencies."""
     pairs = _similar(spark, sf_dir).record_pairs()
