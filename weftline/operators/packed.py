@@ -261,7 +261,7 @@ def _named(read: DataFrame, rows: DataFrame, code: Code, atomic: bool, st: Stagi
     doubtful = read.select("row_id", F.explode("odd").alias("h")).join(kept, "h", "left_semi").select("row_id").distinct()
     texts = rows.select("row_id", "text").join(doubtful, "row_id", "left_semi")
     every = st.put(texts.mapInArrow(_all_parses(atomic, code), OPEN))
-    part = every.select("row_id", "parse_no", F.posexplode("items").alias("p", "item"), "spelled").select("row_id", "parse_no", "item", F.get("spelled", F.col("p")).alias("spelled"))
+    part = every.select("row_id", "parse_no", F.explode(F.arrays_zip("items", "spelled")).alias("v")).select("row_id", "parse_no", F.col("v.items").alias("item"), "v.spelled")
     seen = read.select(F.explode("items").alias("item"))
     total = seen.count()
     counts = seen.join(part.select("item").distinct(), "item", "left_semi").groupBy("item").agg(F.count(F.lit(1)).alias("c"))
