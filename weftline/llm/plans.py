@@ -13,7 +13,7 @@ llm = Registry()
 
 
 def _levels(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
-    return reading.read_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_sample"), doc_id="doc_id", text="text", sample_text="sample_text", sample_level="reading_level", keep=keep)
+    return reading.read_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_sample"), doc_id="doc_id", text="text", sample_text="sample_text", sample_level="reading_level", keep=keep, label="lang")
 
 
 @llm.query()

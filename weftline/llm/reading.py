@@ -13,7 +13,9 @@
 
 Defined results
 * null, blank and non-prose texts: ``n_words`` 0, ``level`` null, ``is_english`` false;
-* language is judged by the text, by function words of three languages, never by its label;
+* language is judged by the text, never by its own label: by character n-grams fitted on labelled texts of the corpus, a
+  sample of about ``language_rows`` rows drawn by hash; where labels are not given or name fewer than two languages, by
+  function words of three languages;
 * texts of any length are read whole; repeated texts get equal rows; extra columns are ignored;
 * an empty table gives an empty result; fewer than two graded levels are refused.
 """
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -32,6 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm import language
+from weftline.llm.language import Languages
+
 #: Frequent function words by language, to tell the language of a text.
 FUNCTION_WORDS = {
     "en": "the a an of to and in is it that this each every any some no with for on by not when if which because from as its your our you we they",
@@ -232,7 +237,7 @@ class Reader:
         self.knots = isotonic(((x - self.shift) / self.scale) @ self.weights, y)
         self.grades = Grades(list(zip(tokens, y)))
 
-    def read(self, text: str | None, notices: frozenset[str] = frozenset(), spelled: _Spelled | None = None) -> tuple[int, bool, float | None, float | None]:
+    def read(self, text: str | None, notices: frozenset[str] = frozenset(), spelled: _Spelled | None = None, languages: Languages | None = None) -> tuple[int, bool, float | None, float | None]:
         """Prose words, whether the prose is English, score and level."""
         spelled = _Spelled() if spelled is None else spelled
         spelled.tidy()
@@ -241,7 +246,8 @@ class Reader:
         if not n:
             return 0, False, None, None
         s = float((v - self.shift) / self.scale @ self.weights)
-        return n, is_english(tokens), s, float(np.interp(s, *self.knots))
+        english = languages.of(tokens) == "en" if languages else is_english(tokens)
+        return n, english, s, float(np.interp(s, *self.knots))
 
 
 def is_english(tokens: list[str]) -> bool:
@@ -250,6 +256,37 @@ def is_english(tokens: list[str]) -> bool:
     return en > max(de, es)
 
 
+def _gram_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """texts, labels -> grams counted by language, once per partition; the empty gram counts texts."""
+    found: Counter = Counter()
+    spelled = _Spelled()
+    for b in batches:
+        for text, label in zip(b.column(0), b.column(1).to_pylist()):
+            spelled.tidy()
+            tokens = tokens_of(prose_text(text.as_py()), spelled)
+            if (lang := language.label_of(label)) and tokens:
+                found[lang, ""] += 1
+                for w, n in Counter(t for t in tokens if t not in language.MARKS).items():
+                    for g in language.grams(w):
+                        found[lang, g] += n
+    cols = [[k for k, _ in found], [g for _, g in found], list(found.values())]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
+
+
+def fit_languages(docs: DataFrame, doc_id: str, text: str, label: str, rows: int = 2000) -> Languages | None:
+    """A model from about ``rows`` labelled rows drawn by hash of their id; None where they name fewer than two languages or no English."""
+    some = docs.filter(F.col(text).isNotNull() & F.col(label).isNotNull())
+    n = some.count()
+    if not n:
+        return None
+    drawn = some.filter(F.pmod(F.xxhash64(doc_id), F.lit(2**30)) < math.ceil(2**30 * min(1.0, rows / n))).select(text, label)
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for r in drawn.mapInArrow(_gram_counts, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():  # grams of a bounded sample
+        counts[r["lang"]][r["gram"]] = r["n"]
+    enough = {k: c for k, c in counts.items() if c.pop("", 0) >= language.LEAST_TEXTS}
+    return Languages(enough) if len(enough) > 1 and "en" in enough else None
+
+
 def edge_paragraphs(text: str) -> list[str]:
     """The first and the last paragraph."""
     p = [x for x in split_paragraphs(text)]
@@ -305,22 +342,23 @@ def find_notices(docs: DataFrame, text: str, share: float = 0.005, least: int =
 LEVELS = "n_words int, is_english boolean, score double, level double"
 
 
-def read_levels(docs: DataFrame, graded: DataFrame, *, doc_id: str, text: str, sample_text: str, sample_level: str, keep: list[str] | None = None, notice_share: float = 0.005) -> DataFrame:
+def read_levels(docs: DataFrame, graded: DataFrame, *, doc_id: str, text: str, sample_text: str, sample_level: str, keep: list[str] | None = None, notice_share: float = 0.005, label: str | None = None, language_rows: int = 2000) -> DataFrame:
     """(doc_id, kept columns, n_words, is_english, score, level) for every document.
 
     ``graded`` is the labelled sample; it is collected, so it must be of bounded size (thousands of texts).
     """
     spark = docs.sparkSession
     model = Reader([(r[0], float(r[1])) for r in graded.filter(F.col(sample_text).isNotNull() & F.col(sample_level).isNotNull()).select(sample_text, sample_level).collect()])
-    sent = spark.sparkContext.broadcast((model, find_notices(docs, text, notice_share)))
+    languages = fit_languages(docs, doc_id, text, label, language_rows) if label else None
+    sent = spark.sparkContext.broadcast((model, find_notices(docs, text, notice_share), languages))
     carried = [doc_id, *(keep or [])]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, notices = sent.value
+        m, notices, languages = sent.value
         spelled = _Spelled()
         for b in batches:
-            got = [m.read(t.as_py(), notices, spelled) for t in b.column(len(carried))]
+            got = [m.read(t.as_py(), notices, spelled, languages) for t in b.column(len(carried))]
             cols = list(zip(*got)) if got else [[], [], [], []]
             arrays = [b.column(i) for i in range(len(carried))] + [pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.bool_(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, [*carried, "n_words", "is_english", "score", "level"])
