@@ -50,6 +50,12 @@ def test_sinks(spark, tmp_path):
     assert [x for x in text.splitlines() if x != "id,t"] == ["10,b", "9,a"]
     out = str(tmp_path / "append")
     assert S.append_new(df, "id", out) == 2 and S.append_new(df.union(df.selectExpr("id + 5", "t")), "id", out) == 2
+    assert S.append_new(spark.createDataFrame([(None, "n"), (10, "b")], "id long, t string"), "id", out) == 0 and spark.read.parquet(out).count() == 4
+    S.replace_table(df, str(tmp_path / "now"))
+    S.replace_table(df.filter("id = 9"), str(tmp_path / "now"))
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "now")).collect()] == [9] and [p.name for p in tmp_path.glob("now*")] == ["now"]
+    S.write_by_family(df.withColumn("kind", F.when(F.col("id") == 9, " A/b ")), "kind", str(tmp_path / "family"))
+    assert sorted(p.name for p in (tmp_path / "family").glob("family=*")) == ["family=a_b", "family=unknown"]
     assert S.summary_json(df, n=F.count(F.lit(1))).first()[0] == '{"n":2}'
 
 

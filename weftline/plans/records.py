@@ -235,7 +235,15 @@ def p5_ast_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark, sf_dir, "ast_relation")
 
 
-@records.query()
+def _members(tag: str, where: str) -> str:
+    """SQL for the flat table of a tag whose members are all single values."""
+    kinds = [c.strip().split(" ") for c in SCHEMAS[tag].split(",")]
+    columns = ", ".join(f"CAST(w.v->>'$.{n}' AS BIGINT) AS {n}" if k == "bigint" else f"w.v->>'$.{n}' AS {n}" for n, k in kinds)
+    return f"""WITH RECURSIVE {OBJECTS}, w AS (SELECT DISTINCT t.record_id, t.base || substr(j.fullkey, 2) AS obj_path, j.value AS v FROM t, json_tree(t.p) j WHERE j.type = 'OBJECT')
+      SELECT f.record_id, f.obj_path, f.parent_path, {columns} FROM found f JOIN w USING (record_id, obj_path) WHERE f.src_table = 'semantic_document' AND {where}"""
+
+
+@records.query(_members("trace_node", "starts_with(f.obj_path, '$.trace')"))
 def p5_trace_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of the trace's nodes."""
     return _flat(spark, sf_dir, "trace_node")

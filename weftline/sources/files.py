@@ -220,9 +220,10 @@ def unseen(df: DataFrame, key: str, path: str) -> DataFrame:
     """One row per key that the target does not hold yet, with the bucket it belongs to.
 
     The target is laid out by a hash of the key. Only the keys of the buckets that the new rows fall into are read.
+    Rows with a null key cannot be told apart and are left out.
     """
     spark = df.sparkSession
-    fresh = df.dropDuplicates([key]).withColumn("key_bucket", _bucket(key))
+    fresh = df.filter(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("key_bucket", _bucket(key))
     if not exists(spark, path):
         return fresh
     wanted = [r[0] for r in fresh.select("key_bucket").distinct().collect()]  # at most KEY_BUCKETS
