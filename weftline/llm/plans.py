@@ -82,6 +82,10 @@ PAIRS = """f AS (SELECT file_id, symbols, dependencies FROM (SELECT *, row_numbe
       p AS (SELECT s.field_name, s.a AS file_id_a, s.b AS file_id_b FROM s JOIN n x ON x.field_name = s.field_name AND x.file_id = s.a JOIN n y ON y.field_name = s.field_name AND y.file_id = s.b WHERE 5 * s.k >= 3 * (x.n + y.n - s.k))"""
 
 
+CLASSES = f"""{PAIRS}, k AS (SELECT v.field_name, v.file_id, string_agg(x, chr(31) ORDER BY x) AS s FROM v JOIN n USING (field_name, file_id) GROUP BY 1, 2), c AS (SELECT field_name, file_id, min(file_id) OVER (PARTITION BY field_name, s) AS class_id FROM k),
+      l AS (SELECT DISTINCT p.field_name, least(a.class_id, b.class_id) AS file_id_a, greatest(a.class_id, b.class_id) AS file_id_b FROM p JOIN c a ON a.field_name = p.field_name AND a.file_id = p.file_id_a JOIN c b ON b.field_name = p.field_name AND b.file_id = p.file_id_b WHERE a.class_id <> b.class_id)"""
+
+
 @llm.query(f"WITH {PAIRS} SELECT * FROM p")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of package files that share at least 0.6 of their symbols, or of their dependencies."""
@@ -89,13 +93,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("field").alias("field_name"), F.col("record_a").cast("bigint").alias("file_id_a"), F.col("record_b").cast("bigint").alias("file_id_b"))
 
 
-@llm.query()
+@llm.query(f"WITH {CLASSES}, m AS (SELECT field_name, class_id, count(*) AS n_links FROM (SELECT field_name, file_id_a AS class_id FROM l UNION ALL SELECT field_name, file_id_b FROM l) GROUP BY 1, 2) SELECT c.field_name, c.file_id, c.class_id, coalesce(m.n_links, 0) AS n_links FROM c LEFT JOIN m USING (field_name, class_id)")
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file with a set of three values or more: the class of its set and the number of classes similar to it."""
     return _similar(spark, sf_dir).classes().select(F.col("field").alias("field_name"), F.col("record").cast("bigint").alias("file_id"), "class_id", "n_links")
 
 
-@llm.query()
+@llm.query(f"WITH {CLASSES} SELECT * FROM l")
 def p1_class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of similar classes, each named by its least file: copies are not expanded into pairs."""
     return _similar(spark, sf_dir).representative_pairs().select(F.col("field").alias("field_name"), F.col("a").cast("bigint").alias("file_id_a"), F.col("b").cast("bigint").alias("file_id_b"))
