@@ -90,7 +90,8 @@ class Mixer:
             if a >= self.most[k] * self.have[k][0] * (1 - CLOSE):
                 at[k] = math.inf  # every text as often as allowed
             else:
-                low[k], high[k], open_[k] = -200.0, 200.0, 0.0
+                # Where texts are of one size this is the solution already.
+                low[k], high[k], open_[k] = -200.0, 200.0, min(max(math.log(a / self.have[k][0]), -199.0), 199.0)
         for _ in range(ROUNDS):
             if not open_:
                 break
