@@ -48,6 +48,13 @@ def encoder(path: str):  # noqa: ANN201
 _BUILT: dict[str, object] = {}
 
 
+def _built(digest: str, ranks: bytes):  # noqa: ANN202
+    """This worker's encoder of a vocabulary, made once; found by import, so that tasks share it."""
+    if digest not in _BUILT:
+        _BUILT[digest] = _encoding(ranks)
+    return _BUILT[digest]
+
+
 def count_tokens(text: str, path: str) -> int:
     """Tokens of a text; 0 for an empty one."""
     return len(encoder(path).encode_ordinary(text))
@@ -62,9 +69,7 @@ def with_token_counts(docs: DataFrame, text: str, keep: list[str], path: str | N
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if digest not in _BUILT:
-            _BUILT[digest] = _encoding(sent.value)
-        encode = _BUILT[digest].encode_ordinary
+        encode = _built(digest, sent.value).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if (t := x.as_py()) else 0 for x in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(n, pa.int64())], [*keep, out])
