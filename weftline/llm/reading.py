@@ -259,6 +259,7 @@ def is_english(tokens: list[str]) -> bool:
 def _gram_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """texts, labels -> grams counted by language, once per partition; the empty gram counts texts."""
     found: Counter = Counter()
+    words: dict[str, Counter] = defaultdict(Counter)
     spelled = _Spelled()
     for b in batches:
         for text, label in zip(b.column(0), b.column(1).to_pylist()):
@@ -266,9 +267,11 @@ def _gram_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = tokens_of(prose_text(text.as_py()), spelled)
             if (lang := language.label_of(label)) and tokens:
                 found[lang, ""] += 1
-                for w, n in Counter(t for t in tokens if t not in language.MARKS).items():
-                    for g in language.grams(w):
-                        found[lang, g] += n
+                words[lang].update(tokens)
+    for lang, seen in words.items():  # each word's grams once, as often as the word stands
+        for w, n in seen.items():
+            for g in language.grams(w) if w not in language.MARKS else ():
+                found[lang, g] += n
     cols = [[k for k, _ in found], [g for _, g in found], list(found.values())]
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
 
