@@ -6,8 +6,11 @@ that pruning loses no rule. Confidence is a whole percentage, cut off, as the ev
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,17 +99,107 @@ def concept_closure(pairs: DataFrame, obj: str, attr: str) -> DataFrame:
     return common.groupBy("a", "extent_size").agg(F.array_join(F.array_sort(F.collect_list(F.col("b").cast("string"))), ";").alias("intent"))
 
 
-def greedy_cover(pairs: DataFrame, obj: str, attr: str) -> DataFrame:
+CHOSEN = "o bigint, n bigint, round int"
+
+
+def _pieces(ptr: np.ndarray, values: np.ndarray, keys: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, the values of their lists one after another and the lists' lengths, for runs of keys that have about ``most`` values together."""
+    n = (ptr[keys + 1] - ptr[keys]).astype(np.int32)
+    cuts = np.flatnonzero(np.diff(np.cumsum(n, dtype=np.int64) // most, prepend=-1))
+    for i, j in zip(cuts, [*cuts[1:], len(keys)], strict=False):
+        k, m = keys[i:j], n[i:j]
+        at = np.repeat((ptr[k] - np.cumsum(m, dtype=np.int64) + m).astype(np.int32), m)
+        at += np.arange(len(at), dtype=np.int32)
+        yield k, values[at], m
+
+
+def _lists(key: np.ndarray, value: np.ndarray, n_keys: int, step: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each key one after another (a counting sort in steps, so that little memory is taken besides), and where each key's begin."""
+    ptr = np.zeros(n_keys + 1, np.int64)
+    np.cumsum(np.bincount(key, minlength=n_keys), out=ptr[1:])
+    at, out = ptr[:-1].copy(), np.empty(len(value), np.int32)
+    for i in range(0, len(key), step):
+        k = key[i : i + step]
+        order = np.argsort(k, kind="stable")
+        k = k[order]
+        begins = np.flatnonzero(np.diff(k, prepend=-1))
+        n = np.diff(begins, append=len(k))
+        out[np.repeat(at[k[begins]] - begins, n) + np.arange(len(k))] = value[i : i + step][order]
+        at[k[begins]] += n
+    return ptr, out
+
+
+def cover_rounds(o: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(object, n_new, round) of all rounds over distinct pairs of whole numbers from 0.
+
+    An object that is not first remembers one attribute and the object before it there; it is looked at again only when
+    that attribute is covered or that object falls behind it, as its own count only falls.
+    """
+    n_o, n_a = int(o.max(initial=-1)) + 1, int(a.max(initial=-1)) + 1
+    of_o, attrs = _lists(o, a, n_o)
+    of_a, objs = _lists(a, o, n_a)
+    n, open_ = np.diff(of_o).astype(np.int32), np.ones(n_a, bool)
+    by_attr, by_obj = np.full(n_o, -1, np.int32), np.arange(n_o, dtype=np.int32)
+    out, rounds = [], 0
+    while True:
+        rank = np.arange(n_o - 1, -1, -1)  # greater comes first
+        rank += n.astype(np.int64) * n_o
+        stale = np.flatnonzero((n > 0) & ((by_attr < 0) | ~open_[by_attr] | (rank[by_obj] <= rank)))
+        if not len(stale):
+            return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+        rounds += 1
+        won = []
+        for i in range(0, len(stale), 1 << 18):
+            look, done, width = stale[i : i + (1 << 18)], 0, 4
+            while len(look):  # the next few attributes of each that is not beaten yet
+                size = of_o[look + 1] - of_o[look]
+                take = np.minimum(size - done, width)
+                who = np.repeat(np.arange(len(look)), take)
+                at = attrs[np.repeat(of_o[look] + done - np.cumsum(take) + take, take) + np.arange(len(who))]
+                keep = open_[at]
+                who, (at, which) = who[keep], np.unique(at[keep], return_inverse=True)
+                best = [np.maximum.reduceat(rank[held], np.cumsum(m) - m) for _, held, m in _pieces(of_a, objs, at)]
+                first = np.concatenate(best)[which] if best else np.empty(0, np.int64)
+                beaten = np.flatnonzero(first > rank[look[who]])
+                by_attr[look[who[beaten]]], by_obj[look[who[beaten]]] = at[which[beaten]], n_o - 1 - first[beaten] % n_o
+                alive = np.ones(len(look), bool)
+                alive[who[beaten]] = False
+                over = size <= done + width
+                won.append(look[alive & over])
+                look = look[alive & ~over]
+                done, width = done + width, min(2 * width, max(1, (1 << 21) // max(1, len(look))))
+        now = np.sort(np.concatenate(won))
+        out.append((now, n[now], np.full(len(now), rounds)))
+        for _, gone, _ in _pieces(of_o, attrs, now):
+            gone = gone[open_[gone]]  # winners of a round share none
+            open_[gone] = False
+            for _, held, _ in _pieces(of_a, objs, gone):
+                n -= np.bincount(held, minlength=n_o).astype(np.int32)
+
+
+def _cover_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    if parts:
+        pairs = [np.concatenate([p[k] for p in parts]) for k in (0, 1)]
+        del parts
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cover_rounds(*pairs), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["o", "n", "round"])
+
+
+def greedy_cover(pairs: DataFrame, obj: str, attr: str, at_once: int = 40_000_000) -> DataFrame:
     """(object, n_new, round): objects chosen greedily, most newly covered first, ties by the least object, until all is covered.
 
     A round chooses every object that comes before each other one it shares an uncovered attribute with: these
-    choices cannot disturb each other, so the result is that of choosing one at a time. What is left is staged.
+    choices cannot disturb each other, so the result is that of choosing one at a time. Rounds are jobs, with what is left
+    staged, while more than ``at_once`` pairs are left (an object counts as three, an attribute as two); the rounds
+    after that are done in one task over whole numbers, of 16 bytes a pair.
     """
     st = Staging(pairs.sparkSession, "cover")
     left = st.put(pairs.select(F.col(obj).alias("o"), F.col(attr).alias("a")).filter("o IS NOT NULL AND a IS NOT NULL").distinct())
     chosen: list[DataFrame] = []
     rounds = 0
-    while left.limit(1).count():
+    size = lambda *c: left.select(*c).distinct().count()
+    fits = lambda: (k := left.count()) <= at_once and k + 3 * size("o") + 2 * size("a") <= at_once
+    while not fits():
         rounds += 1
         n = left.groupBy("o").agg((-F.count(F.lit(1))).alias("n"))
         ranked = left.join(n, "o")
@@ -122,8 +215,11 @@ def greedy_cover(pairs: DataFrame, obj: str, attr: str) -> DataFrame:
             whole = st.put(reduce(DataFrame.unionByName, chosen))
             st.drop(*chosen)
             chosen = [whole]
-    none = pairs.select(F.col(obj), F.lit(0).cast("bigint").alias("n_new"), F.lit(0).alias("round")).limit(0)
-    return reduce(DataFrame.unionByName, chosen, none)
+    code = lambda c: st.put(numbered(left.select(c).distinct(), [c], "k").select(c, (F.col("k") - 1).cast("int").alias(f"{c}_k")))
+    objs = code("o")
+    coded = st.put(left.join(objs, "o").join(code("a"), "a").select("o_k", "a_k"))
+    last = coded.coalesce(1).mapInArrow(_cover_task, CHOSEN).withColumnRenamed("o", "o_k").join(objs, "o_k")
+    return reduce(DataFrame.unionByName, chosen, last.select(F.col("o").alias(obj), F.col("n").alias("n_new"), (F.col("round") + rounds).alias("round")))
 
 
 def undominated(pairs: DataFrame, obj: str, attr: str) -> DataFrame:
