@@ -6,10 +6,16 @@ made dense. Tri-state cells keep ``known`` beside ``support``: unknown is never
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.relational import numbered, pairs_within
+from weftline.session import Staging, parts_for
 
 
 def from_pairs(df: DataFrame, row: str, col: str) -> DataFrame:
@@ -54,14 +60,159 @@ def matrix_vector(m: DataFrame, v: DataFrame) -> DataFrame:
     return m.join(v.select("j", F.col("v").alias("w")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("w")).alias("v")).filter("v <> 0")
 
 
-def gram(m: DataFrame) -> DataFrame:
-    """M x M': the triangle i <= j by a join on the inner index, then mirrored."""
+def gram(m: DataFrame, block_rows: int = 4096, block_cells: int = 1 << 17) -> DataFrame:
+    """M x M': the triangle i <= j, then mirrored.
+
+    Where few rows share a column, by a join on the inner index and a sum per cell. Where columns are so full that the
+    products are more than the cells that all pairs of row blocks read, they are multiplied in blocks, and no product
+    is shuffled.
+    """
+    st = Staging(m.sparkSession, "gram")
+    m = st.put(m.filter("i IS NOT NULL AND j IS NOT NULL AND v IS NOT NULL").select("i", "j", "v"))
+    if dict(m.dtypes)["v"] == "double":
+        n = F.col("n").cast("double")
+        products = m.groupBy("j").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(n * (n + 1) / 2), F.lit(0.0))).first()[0]
+        cells, rows = m.count(), m.select("i").distinct().count()
+        if products > cells * (1 + rows / block_rows + cells / block_cells):
+            return _gram_blocks(st, m, rows, block_rows, block_cells)
     x = m.select("i", F.col("j").alias("k"), F.col("v").alias("va")).join(m.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("vb")), "k").filter("i <= j")
     half = x.groupBy("i", "j").agg(F.sum(F.col("va") * F.col("vb")).alias("v")).filter("v <> 0")
     cell = lambda a, b: F.struct(F.col(a).alias("i"), F.col(b).alias("j"))
     return half.select(F.explode(F.when(F.col("i") == F.col("j"), F.array(cell("i", "j"))).otherwise(F.array(cell("i", "j"), cell("j", "i")))).alias("c"), "v").select("c.i", "c.j", "v")
 
 
+def _gram_blocks(st: Staging, m: DataFrame, n_rows: int, block_rows: int, block_cells: int) -> DataFrame:
+    """The product of each pair of blocks of rows in one task; rows of the same cells are one class in a block.
+
+    A task gives rectangles (all members of classes with one value), which are spread into cells as they are written.
+    """
+    kind = dict(m.dtypes)
+    own = m.groupBy("i").agg(F.sort_array(F.collect_list(F.struct(F.col("j").alias("k"), "v"))).alias("c"))
+    laid = st.put(own.withColumn("h", F.xxhash64("c")))
+    hot = laid.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / (16 * block_rows)).cast("int").alias("s")).filter("s > 1")  # few: each has many rows
+    near = laid.join(F.broadcast(hot), "h", "left").repartition(parts_for(n_rows, 8 * block_rows), "h", F.pmod(F.xxhash64("i"), F.coalesce("s", F.lit(1)))).sortWithinPartitions("h").select("i", "c")
+    packed = st.put(near.mapInArrow(_packer(block_rows, block_cells), f"block bigint, labels array<{kind['i']}>, sizes array<int>, lens array<int>, ks array<{kind['j']}>, vs array<double>"))
+    ids = packed.select("block").withColumn("b", F.row_number().over(Window.orderBy("block")) - 1)  # one row per block
+    blocks = st.put(packed.join(F.broadcast(ids), "block").drop("block"))
+    n = blocks.count()
+    pairs = n * (n + 1) // 2
+    parts = max(1, min(pairs, 4000))
+    b, k = F.col("b").cast("bigint"), F.col("k").cast("bigint")
+    left = blocks.withColumn("k", F.explode(F.sequence("b", F.lit(n - 1)))).withColumn("pair", F.expr("CAST(k AS BIGINT) * (k + 1) div 2 + b")).withColumn("side", F.when(b == k, 2).otherwise(0))
+    right = blocks.filter("b > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).withColumn("pair", F.expr("CAST(b AS BIGINT) * (b + 1) div 2 + k")).withColumn("side", F.lit(1))
+    met = left.unionByName(right).repartitionById(parts, (F.col("pair") % parts).cast("int")).sortWithinPartitions("pair", "side").select("side", "labels", "sizes", "lens", "ks", "vs")
+    boxes = met.mapInArrow(_multiplier, f"x array<{kind['i']}>, y array<{kind['i']}>, v double")
+    return boxes.select(F.explode("x").alias("i"), "y", "v").select("i", F.explode("y").alias("j"), "v")
+
+
+def _listed(values: pa.Array, lens: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), values)
+
+
+def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one after another."""
+    return np.repeat(starts - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
+
+
+def _packer(block_rows: int, block_cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            lens = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.column(1).flatten()
+            ends = np.cumsum(lens)
+            k, v = flat.field(0), flat.field(1).to_numpy(zero_copy_only=False)
+            code = k.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            weight = np.cumsum(1 / block_rows + lens / block_cells)
+            piece = np.minimum(np.ceil(weight[-1:]) - 1, weight * np.ceil(weight[-1:]) / weight[-1:]).astype(int) if len(lens) else lens
+            for rows in np.split(np.arange(len(lens)), np.flatnonzero(np.diff(piece)) + 1) if len(lens) else []:
+                classes: dict[tuple[bytes, bytes], list[int]] = {}
+                for r in rows:
+                    at = slice(ends[r] - lens[r], ends[r])
+                    classes.setdefault((code[at].tobytes(), v[at].tobytes()), []).append(r)
+                members, one = list(classes.values()), np.array([x[0] for x in classes.values()])
+                sizes, at = np.array([len(x) for x in members]), _spans(ends[one] - lens[one], lens[one])
+                cols = (batch.column(0).take(pa.array(np.concatenate(members))), pa.array(sizes, pa.int32()), pa.array(lens[one], pa.int32()), k.take(pa.array(at)), pa.array(v[at]))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[_listed(c, np.array([len(c)])) for c in cols]], ["block", "labels", "sizes", "lens", "ks", "vs"])
+                number += 1
+
+    return run
+
+
+def _products(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], n_a: int, n_b: int) -> np.ndarray:
+    """The dense product of two sets of rows (row, column, value); cells given twice are added."""
+    common = np.intersect1d(a[1], b[1])
+    (ra, ka, va), (rb, kb, vb) = ((r[x], np.searchsorted(common, k[x]), v[x]) for r, k, v in (a, b) for x in [np.isin(k, common)])
+    out = np.zeros((n_a, n_b))
+    held = np.bincount(kb, minlength=len(common))
+    if n_a * n_b * len(common) <= 64 * held[ka].sum() and np.isfinite(va).all() and np.isfinite(vb).all():
+        for k in range(0, len(common), 512):
+            part = []
+            for r, c, v, n in ((ra, ka, va, n_a), (rb, kb, vb, n_b)):
+                w = min(512, len(common) - k)
+                x = (c >= k) & (c < k + w)
+                part.append(np.bincount(r[x] * w + c[x] - k, v[x], n * w).reshape(n, w))
+            out += part[0] @ part[1].T
+        return out
+    order = np.argsort(kb, kind="stable")
+    rb, vb, starts = rb[order], vb[order], np.cumsum(held) - held
+    n = held[ka]
+    for x in np.split(np.arange(len(ka)), np.flatnonzero(np.diff(np.cumsum(n) // (1 << 21))) + 1):
+        to = _spans(starts[ka[x]], n[x])
+        out += np.bincount(np.repeat(ra[x], n[x]) * n_b + rb[to], np.repeat(va[x], n[x]) * vb[to], n_a * n_b).reshape(n_a, n_b)
+    return out
+
+
+def _boxes(g: np.ndarray, first: int, a: tuple, b: tuple, mirror: bool) -> Iterator[pa.RecordBatch]:
+    """Rectangles of the cells of ``g`` that are not 0: a class of a from ``first`` on by all classes of b with one value. a, b: labels, their starts and numbers by class."""
+    plain = g.size and np.isfinite(g).all() and g.min() >= 0 and g.max() < 1 << 16 and (g == np.floor(g)).all()
+    order = np.argsort(g.astype(np.uint16) if plain else g, axis=1, kind="stable" if plain else None)
+    v = np.take_along_axis(g, order, 1)
+    new = np.ones(v.shape, bool)
+    new[:, 1:] = v[:, 1:] != v[:, :-1]
+    keep = v != 0
+    row, cls, v = np.nonzero(keep)[0] + first, order[keep], v[keep]
+    begin = np.flatnonzero(new[keep])
+    if not len(begin):
+        return
+    n_x, per = a[2][row[begin]], np.diff(begin, append=len(row))
+    n_y = np.add.reduceat(b[2][cls], begin)
+    for box in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(np.cumsum(n_x + n_y) // (1 << 21))) + 1):
+        own = cls[begin[box[0]] : begin[box[-1]] + per[box[-1]]]
+        x = _listed(a[0].take(pa.array(_spans(a[1][row[begin[box]]], n_x[box]))), n_x[box])
+        y = _listed(b[0].take(pa.array(_spans(b[1][own], b[2][own]))), n_y[box])
+        value = pa.array(v[begin[box]])
+        yield pa.RecordBatch.from_arrays([x, y, value], ["x", "y", "v"])
+        if mirror:
+            yield pa.RecordBatch.from_arrays([y, x, value], ["x", "y", "v"])
+
+
+def _multiplier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept: tuple = ()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            side = batch.column(0)[i].as_py()
+            labels, sizes, lens, ks, vs = (c[i].values for c in batch.columns[1:])
+            sizes, lens, vs = (x.to_numpy(zero_copy_only=False) for x in (sizes, lens, vs))
+            sizes, lens = sizes.astype(np.int64), lens.astype(np.int64)
+            block = (labels, np.cumsum(sizes) - sizes, sizes), lens, ks, vs
+            if side == 0:
+                kept = block
+                continue
+            (a, len_a, ks_a, va), (b, len_b, ks_b, vb) = (kept if side == 1 else block), block
+            code = pa.concat_arrays([ks_a, ks_b]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            ra, rb = np.repeat(np.arange(len(len_a)), len_a), np.repeat(np.arange(len(len_b)), len_b)
+            step = max(1, (1 << 21) // len(b[0]))
+            for r in range(0, len(len_a), step):
+                n = min(step, len(len_a) - r)
+                x = slice(*np.searchsorted(ra, [r, r + n]))
+                g = _products((ra[x] - r, code[: len(ra)][x], va[x]), (rb, code[len(ra) :], vb), n, len(len_b))
+                if side == 2:  # of a block by itself the upper triangle, and the diagonal once
+                    yield from _boxes(np.where(np.eye(n, len(len_b), r, dtype=bool), g, 0.0), r, a, b, False)
+                    g = np.triu(g, r + 1)
+                yield from _boxes(g, r, a, b, True)
+
+
 def dot(u: DataFrame, v: DataFrame) -> DataFrame:
     """One row: the product of two vectors (j, v); 0 where they share no place."""
     x = u.join(v.select("j", F.col("v").alias("w")), "j")
